@@ -27,7 +27,7 @@ def norm_frame(df: pd.DataFrame) -> list:
     for rec in df[cols].itertuples(index=False, name=None):
         out = []
         for v in rec:
-            if v is None or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
                 out.append("<null>")
             elif hasattr(v, "isoformat"):
                 out.append(v.isoformat())

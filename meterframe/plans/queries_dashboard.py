@@ -10,7 +10,7 @@ from meterframe.operators import aggregates as agg
 from meterframe.operators.filters import FilterParams, filter_by_request
 from meterframe.plans.registry import register
 from meterframe.plans.sql import with_events, with_sales
-from meterframe.sources.adapters import event_sales, sales
+from meterframe.sources.adapters import event_sales, sales_table as sales
 
 D = dt.date
 METRICS3 = "kwh,ghc,paymoney"

@@ -13,7 +13,7 @@ from meterframe.operators.filters import FilterParams
 from meterframe.plans.queries_dashboard import AND_TWO, AND_TWO_SQL
 from meterframe.plans.registry import register
 from meterframe.plans.sql import with_events, with_sales
-from meterframe.sources.adapters import event_sales, sales
+from meterframe.sources.adapters import event_sales, sales_table as sales
 
 D = dt.date
 RANGE_SQL = "chargedate BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"

@@ -11,7 +11,7 @@ from meterframe.operators import features as ft
 from meterframe.operators import forecast as fc
 from meterframe.plans.registry import register
 from meterframe.plans.sql import with_sales
-from meterframe.sources.adapters import sales
+from meterframe.sources.adapters import sales_table as sales
 
 D = dt.date
 AS_OF = D(2000, 9, 30)

@@ -14,7 +14,7 @@ from meterframe.plans.sql import with_sales
 from meterframe.session import scratch_path
 from meterframe.sources import readers as rd
 from meterframe.sources import sinks as sk
-from meterframe.sources.adapters import sales, sales_raw
+from meterframe.sources.adapters import build_sales_table, sales, sales_raw
 
 _ALL_PRESENT = (
     "key IS NOT NULL AND meterid IS NOT NULL AND chargedate IS NOT NULL AND loc IS NOT NULL "
@@ -22,6 +22,13 @@ _ALL_PRESENT = (
 )
 
 
+@register("a00_sales_build", with_sales("SELECT * FROM sales"), doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"])
+def q_a00(spark, sf):
+    """Build the billing table from the warehouse tables (lineitem pre-aggregated per
+    order, joined to orders, customers and nations), write it, scan it."""
+    return spark.read.parquet(build_sales_table(spark, sf))
+
+
 @register(
     "a01_csv_roundtrip",
     with_sales(f"SELECT DISTINCT key, meterid, chargedate, loc, res, kwh, ghc, paymoney, res_mapped FROM sales WHERE {_ALL_PRESENT}"),

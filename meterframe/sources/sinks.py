@@ -12,6 +12,7 @@ import datetime as _dt
 import os
 from typing import Iterable, Optional, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,8 +71,12 @@ def rebuild_from_csv(spark: SparkSession, paths, name: str = "prod.sales", roles
 
     An empty input is an error and leaves the existing table untouched.
     """
-    raw = read_csv(spark, paths)
-    if not raw.columns or raw.limit(1).count() == 0:
+    try:
+        raw = read_csv(spark, paths)
+        empty = not raw.columns or raw.limit(1).count() == 0
+    except AnalysisException:  # no file matched: nothing to infer a header from
+        empty = True
+    if empty:
         raise FileNotFoundError(f"no CSV rows found under {paths!r}; table {name} left unchanged")
     typed = type_ids(parse_dates(raw, roles, formats), roles)
     return replace_table(spark, typed, name, roles, clean=False)

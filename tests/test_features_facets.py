@@ -1,0 +1,113 @@
+import datetime as dt
+import math
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import rows
+from meterframe.operators import facets as fc
+from meterframe.operators import features as ft
+from meterframe.operators.filters import FilterParams
+
+D = dt.date
+SCHEMA = "key bigint, meterid bigint, chargedate date, loc string, res string, kwh double, ghc double, paymoney double"
+
+
+def _series(meter, values, start_key=0, loc="A", res="N-Resid [0]"):
+    return [
+        (start_key + i, meter, D(2020, 1 + i % 12, 1) if i < 12 else D(2021, 1 + i % 12, 1), loc, res,
+         v, None if v is None else v * 2, 0.0 if v is None else v)
+        for i, v in enumerate(values)
+    ]
+
+
+def test_rolling_with_nulls(spark):
+    df = spark.createDataFrame(_series(1, [1.0, 2.0, None, 4.0, 5.0, 6.0]), SCHEMA)
+    out = ft.build_features(df, drop_incomplete=False).orderBy("key")
+    assert [r[0] for r in rows(out, "kwh_roll3_mean")] == [None, 1.5, 1.5, 3.0, 4.5, 5.0]
+    # pandas reference for the 6-row frame with min 3 values
+    s = pd.Series([1.0, 2.0, None, 4.0, 5.0, 6.0])
+    want = s.rolling(6, min_periods=3).std().tolist()
+    got = [r[0] for r in rows(out, "kwh_roll6_std")]
+    for g, w in zip(got, want):
+        assert (g is None and math.isnan(w)) or g == pytest.approx(w)
+
+
+def test_short_meters_and_zero_denominators(spark):
+    data = _series(1, [5.0]) + _series(2, [1.0, 2.0, 3.0], 10) + _series(3, [0.0, 1.0, 2.0, 0.0], 20)
+    df = spark.createDataFrame(data, SCHEMA)
+    out = ft.build_features(df)
+    got = rows(out, "meterid", "key", "ghc_per_kwh", "paymoney_ratio")
+    assert got == [(3, 23, None, None)]  # only the 4th row of the 4-row meter has a third lag
+    prof = rows(ft.build_features(df, drop_incomplete=False).filter("meterid = 1"), "kwh_std", "kwh_count")
+    assert prof == [(None, 1)]
+
+
+def test_category_codes_sorted_and_null(spark):
+    data = _series(1, [1.0] * 4, loc="B") + _series(2, [1.0] * 4, 10, loc="A") + _series(3, [1.0] * 4, 20, loc=None)
+    out = ft.build_features(spark.createDataFrame(data, SCHEMA))
+    assert sorted(set(rows(out, "loc", "loc_enc")), key=str) == sorted({("A", 0), ("B", 1), (None, -1)}, key=str)
+
+
+def test_hot_meter_path_equals_window_path(spark):
+    rng = np.random.default_rng(5)
+    data = []
+    key = 0
+    for m in range(1, 5):
+        n = int(rng.integers(2, 30))
+        for i in range(n):
+            day = D(2019, 1, 1) + dt.timedelta(days=int(rng.integers(0, 40)))  # duplicate dates on purpose
+            v = None if rng.random() < 0.1 else float(rng.integers(0, 50))
+            data.append((key, m, day, "L", "R", v, None if v is None else v * 1.5, float(rng.integers(0, 9))))
+            key += 1
+    df = spark.createDataFrame(data, SCHEMA)
+    a = ft.build_features(df, with_targets=True, hot_key_rows=None).toPandas().sort_values("key").reset_index(drop=True)
+    b = ft.build_features(df, with_targets=True, hot_key_rows=0).toPandas().sort_values("key").reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
+    assert len(a) > 10
+
+
+def test_feature_plan_has_one_meter_exchange(spark, sf_small):
+    from meterframe.sources.adapters import sales_table
+
+    out = ft.build_features(sales_table(spark, sf_small), D(2000, 9, 30), hot_key_rows=None)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert plan.count("Window [") >= 1
+
+
+def test_latest_per_meter_tie_break(spark):
+    df = spark.createDataFrame([(2, 1, D(2020, 1, 1)), (1, 1, D(2020, 1, 1)), (3, 2, D(2019, 1, 1))], "key bigint, meterid bigint, chargedate date")
+    assert sorted(rows(ft.latest_per_meter(df), "meterid", "key")) == [(1, 1), (2, 3)]
+
+
+# ----------------------------------------------------------------- facets
+FACET_ROWS = [(1, 1, "N1", "Commercial"), (2, 10, "N2", "Residential"), (3, 21, None, "Commercial"), (4, 110, "N1", None)]
+FSCHEMA = "key bigint, meterid bigint, loc string, res_mapped string"
+
+
+def test_facets_one_scan_sorted_text(spark):
+    df = spark.createDataFrame(FACET_ROWS, FSCHEMA)
+    out = rows(fc.facet_values(df).orderBy("facet", "position"))
+    assert [r for r in out if r[0] == "meterid"] == [("meterid", "1", 0), ("meterid", "10", 1), ("meterid", "110", 2), ("meterid", "21", 3)]
+    assert [r[1] for r in out if r[0] == "loc"] == ["N1", "N2"]  # null dropped
+    capped = rows(fc.facet_values(df, caps={"meterid": 2}).filter("facet = 'meterid'"), "value")
+    assert capped == [("1",), ("10",)]
+
+
+def test_meter_options_ignore_own_selection(spark):
+    df = spark.createDataFrame(FACET_ROWS, FSCHEMA)
+    p = FilterParams(selections={"loc": ["N1"], "meterid": ["1"]})
+    assert rows(fc.meter_options(df, p, q="1")) == [("1",), ("110",)]
+    assert rows(fc.meter_options(df, q="1.", regex=False)) == []
+    assert rows(fc.meter_options_by_location(df, q="1", limit=3)) == [("1",), ("10",), ("21",)]  # numeric order
+
+
+def test_selected_first_and_relevance(spark):
+    opts = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "value string, position int")
+    assert rows(fc.selected_first(spark, ["c", "z"], opts).orderBy("position"), "value") == [("c",), ("z",), ("a",), ("b",)]
+    vals = spark.createDataFrame([("Banana",), ("apple",), ("Pineapple",), ("cherry",)], "value string")
+    out = rows(fc.relevance_order(vals, q="app", selected=["cherry"]).orderBy("position"), "value")
+    assert out == [("cherry",), ("apple",), ("Pineapple",), ("Banana",)]

@@ -25,14 +25,27 @@ def _stack(df: DataFrame, facets: Sequence[str]) -> DataFrame:
 
 
 def _capped(pairs: DataFrame, caps: Dict[str, Optional[int]]) -> DataFrame:
+    """Distinct values per facet with a 0-based position, first ``cap`` per facet.
+
+    Facets sharing a cap form one branch whose filter is a plain
+    ``row_number <= cap``: Spark turns exactly that shape into a WindowGroupLimit,
+    partial before the shuffle, so a capped facet moves at most ``cap`` values
+    per partition.  Uncapped facets are category columns (bounded by the number
+    of categories).  All branches reuse the one distinct-aggregation exchange.
+    """
     distinct = pairs.filter(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("facet").orderBy("value")
-    ranked = distinct.withColumn("position", (F.row_number().over(w) - 1).cast("int"))
-    cond = None
+    groups: Dict[Optional[int], List[str]] = {}
     for f, cap in caps.items():
-        c = (F.col("facet") == F.lit(f)) & (F.col("position") < F.lit(cap)) if cap is not None else (F.col("facet") == F.lit(f))
-        cond = c if cond is None else (cond | c)
-    return ranked.filter(cond) if cond is not None else ranked
+        groups.setdefault(cap, []).append(f)
+    out = None
+    for cap, fs in groups.items():
+        ranked = distinct.filter(F.col("facet").isin(fs)).withColumn("_rn", F.row_number().over(w))
+        if cap is not None:
+            ranked = ranked.filter(F.col("_rn") <= F.lit(cap))  # the shape the limit rule matches
+        ranked = ranked.select("facet", "value", (F.col("_rn") - 1).cast("int").alias("position"))
+        out = ranked if out is None else out.unionByName(ranked)
+    return out
 
 
 def facet_values(

@@ -225,6 +225,16 @@ def metric_stats(df: DataFrame, roles: Roles = DEFAULT_ROLES, exact_median: bool
     )
 
 
+def stats_display(stats: DataFrame) -> DataFrame:
+    """The stats panel's text: thousands separators, two decimals (count: none)."""
+    from meterframe.functions.scalars import thousands
+
+    return stats.select(
+        "metric", "label", thousands(F.col("n"), 0).alias("n"),
+        *[thousands(F.col(c), 2).alias(c) for c in ("sum", "mean", "median", "min", "max")],
+    )
+
+
 def dataset_summary(df: DataFrame, roles: Roles = DEFAULT_ROLES, approximate: bool = False) -> DataFrame:
     """Rows, cols, distinct meters, distinct locations, date min / max (ISO text)."""
     distinct = F.approx_count_distinct if approximate else F.countDistinct

@@ -247,6 +247,22 @@ def q_e07(spark, sf):
     return agg.metric_stats(sales(spark, sf))
 
 
+@register(
+    "i11_stats_display",
+    with_sales(
+        "SELECT metric, label, format('{:,}', COUNT(x)) AS n, format('{:,.2f}', SUM(x)) AS sum, "
+        "format('{:,.2f}', AVG(x)) AS mean, format('{:,.2f}', median(x)) AS median, "
+        "format('{:,.2f}', MIN(x)) AS min, format('{:,.2f}', MAX(x)) AS max FROM v GROUP BY metric, label HAVING COUNT(x) > 0",
+        "v AS (SELECT 'kwh' AS metric, 'kWh' AS label, kwh AS x FROM sales "
+        "UNION ALL SELECT 'paymoney', 'Pay', paymoney FROM sales "
+        "UNION ALL SELECT 'ghc', 'GHC', ghc FROM sales)",
+    ),
+)
+def q_i11(spark, sf):
+    """Metric stats rendered as panel text (1,234.57)."""
+    return agg.stats_display(agg.metric_stats(sales(spark, sf)))
+
+
 _SUMMARY_SQL = (
     "SELECT COUNT(*) AS \"rows\", CAST(9 AS BIGINT) AS cols, COUNT(DISTINCT meterid) AS meters, "
     "COUNT(DISTINCT loc) AS locations, COALESCE(CAST(MIN(chargedate) AS VARCHAR), '') AS date_min, "

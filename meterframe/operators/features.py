@@ -67,6 +67,17 @@ HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is
 
 
 # --------------------------------------------------------------------- category codes
+_CODES: Dict[tuple, StringIndexerModel] = {}
+
+
+def cached_category_codes(df: DataFrame, columns: Sequence[str] = ("loc", "res")) -> StringIndexerModel:
+    """``fit_category_codes`` once per (application, input plan, columns)."""
+    key = (df.sparkSession.sparkContext.applicationId, df.select(*columns).semanticHash(), tuple(columns))
+    if key not in _CODES:
+        _CODES[key] = fit_category_codes(df, columns)
+    return _CODES[key]
+
+
 def fit_category_codes(df: DataFrame, columns: Sequence[str] = ("loc", "res")) -> StringIndexerModel:
     """Fit alphabetical codes per category column (labels are collected: one per category)."""
     return StringIndexer(
@@ -195,7 +206,7 @@ def build_features(
         mt, d, roles.key, roles.location, roles.residence, *[nan_to_null(F.col(m)).alias(m) for m in METRIC_COLS]
     ).filter(F.col(mt).isNotNull())
     if codes is None:
-        codes = fit_category_codes(base, (roles.location, roles.residence))
+        codes = cached_category_codes(base, (roles.location, roles.residence))
     base = apply_category_codes(base, codes, (roles.location, roles.residence))
     base = (
         base.withColumn("month_num", F.month(d))

@@ -121,3 +121,14 @@ def test_filter_pushed_to_scan(spark, sf_small):
     assert "PushedFilters" in plan
     for frag in ("loc", "chargedate", "meterid"):
         assert frag in plan.split("PushedFilters")[1].split("]")[0]
+
+
+def test_to_sql_where_matches_predicate(spark):
+    df = spark.createDataFrame(SALES, SALES_SCHEMA)
+    df.createOrReplaceTempView("t_where")
+    p = FilterParams(start=D(1996, 1, 1), end=D(1996, 12, 31), selections={"loc": ["NATION_3"], "nosuch": ["x"]})
+    clause, params = p.to_sql_where("chargedate", df.columns)
+    assert clause == "CAST(chargedate AS DATE) BETWEEN ? AND ? AND CAST(loc AS STRING) IN (?)"
+    via_sql = sorted(r[0] for r in spark.sql(f"SELECT key FROM t_where WHERE {clause}", args=params).collect())
+    assert via_sql == sorted(r[0] for r in rows(p.apply(df), "key")) == [1, 4]
+    assert FilterParams().to_sql_where() == ("1=1", [])

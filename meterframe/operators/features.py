@@ -11,9 +11,10 @@ Physical plan
   join is the one shuffle of the ordinary path: its output is hash
   partitioned by ``meterid``, so all lags, leads and rolling frames run as
   window functions on that partitioning (a sort, no further exchange).
-* Hot meters (more than ``hot_key_rows`` rows) are split off first with a
-  broadcast of their profile rows (at most total_rows / hot_key_rows of
-  them), so neither the profile join nor a window ever groups a hot meter.  Their rows get a position inside the meter
+* Hot meters (more than ``hot_key_rows`` rows) are found first with a count
+  per meter; their ids (at most total_rows / hot_key_rows of them) come back
+  to the driver and are broadcast, so neither the profile join nor a window
+  ever groups a hot meter.  Without hot meters the plan is the window plan.  Their rows get a position inside the meter
   from per-(meter, day) counts (prefix sums over at most one row per day),
   then each row is copied to the positions that need it as lag 1..5 or
   lead 1 and re-grouped on the unique (meter, position) key.  Work for one
@@ -123,6 +124,16 @@ def _derived(df: DataFrame) -> DataFrame:
     return out.withColumn("ghc_per_kwh", safe_ratio("ghc", "kwh")).withColumn("paymoney_ratio", safe_ratio("paymoney", "ghc"))
 
 
+def hot_meters(base: DataFrame, hot_key_rows: int, roles: Roles = DEFAULT_ROLES) -> List:
+    """Meter ids with more than ``hot_key_rows`` rows (a partial + final count).
+
+    Every such meter has more than hot_key_rows rows, so the list holds at most
+    total_rows / hot_key_rows ids -- small enough for the driver and a broadcast.
+    """
+    counts = base.groupBy(roles.meter).agg(F.count(F.lit(1)).alias("_n"))
+    return [r[0] for r in counts.filter(F.col("_n") > hot_key_rows).select(roles.meter).collect()]
+
+
 def _window_features(rows: DataFrame, roles: Roles, with_targets: bool) -> DataFrame:
     """Ordinary meters: lags, leads and rolling frames as window functions."""
     w = Window.partitionBy(roles.meter).orderBy(roles.date, roles.key)
@@ -219,16 +230,25 @@ def build_features(
         prof_aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.count(m).alias(f"{m}_count")]
     profile = base.groupBy(mt).agg(*prof_aggs)
     if hot_key_rows is None:
-        ordinary = _window_features(base.join(profile, mt, "left"), roles, with_targets)
-        feats = _derived(ordinary).drop("_rows")
+        feats = _window_features(base.join(profile, mt, "left"), roles, with_targets)
+    elif hot_key_rows <= 0:
+        # Validation mode: every meter through the positional path.
+        feats = _positional_features(base.join(profile, mt, "left"), roles, with_targets)
     else:
-        # Every hot meter has more than hot_key_rows rows, so there are at most
-        # total_rows / hot_key_rows of them: a proven bound for the broadcast.
-        hot_profile = F.broadcast(profile.filter(F.col("_rows") > hot_key_rows))
-        ordinary_rows = base.join(hot_profile.select(mt), mt, "left_anti")
-        ordinary = _window_features(ordinary_rows.join(profile, mt, "left"), roles, with_targets)
-        hot = _positional_features(base.join(hot_profile, mt, "inner"), roles, with_targets)
-        feats = _derived(ordinary.unionByName(hot)).drop("_rows")
+        hot_ids = hot_meters(base, hot_key_rows, roles)
+        if not hot_ids:
+            feats = _window_features(base.join(profile, mt, "left"), roles, with_targets)
+        else:
+            spark = base.sparkSession
+            hot = spark.createDataFrame([(i,) for i in hot_ids], base.select(mt).schema)
+            # Broadcast sides built from the hot list: at most rows / hot_key_rows entries.
+            hot_profile = profile.join(F.broadcast(hot), mt, "inner")
+            ordinary = _window_features(
+                base.join(F.broadcast(hot), mt, "left_anti").join(profile, mt, "left"), roles, with_targets
+            )
+            hot_rows = _positional_features(base.join(F.broadcast(hot_profile), mt, "inner"), roles, with_targets)
+            feats = ordinary.unionByName(hot_rows)
+    feats = _derived(feats).drop("_rows")
     if drop_incomplete:
         feats = feats.dropna(subset=[f"{m}_lag3" for m in METRIC_COLS])
     lead = [mt, d, roles.key, roles.location, roles.residence]

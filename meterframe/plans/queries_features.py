@@ -72,8 +72,9 @@ def q_k01(spark, sf):
 
 @register("k01_features_skew_path", _K01_SQL, doubles=DOUBLE_FEATURES, dates=["chargedate"])
 def q_k01s(spark, sf):
-    """The same features with every meter forced through the hot-meter (positional) path."""
-    return ft.build_features(sales(spark, sf), AS_OF, hot_key_rows=0)
+    """The same features with a low hot-meter threshold: meters with more than ten
+    rows take the positional path, the rest the window path, results unioned."""
+    return ft.build_features(sales(spark, sf), AS_OF, hot_key_rows=10)
 
 
 @register(

@@ -51,7 +51,8 @@ def test_category_codes_sorted_and_null(spark):
     assert sorted(set(rows(out, "loc", "loc_enc")), key=str) == sorted({("A", 0), ("B", 1), (None, -1)}, key=str)
 
 
-def test_hot_meter_path_equals_window_path(spark):
+@pytest.mark.parametrize("threshold", [0, 10])
+def test_hot_meter_path_equals_window_path(spark, threshold):
     rng = np.random.default_rng(5)
     data = []
     key = 0
@@ -64,7 +65,7 @@ def test_hot_meter_path_equals_window_path(spark):
             key += 1
     df = spark.createDataFrame(data, SCHEMA)
     a = ft.build_features(df, with_targets=True, hot_key_rows=None).toPandas().sort_values("key").reset_index(drop=True)
-    b = ft.build_features(df, with_targets=True, hot_key_rows=0).toPandas().sort_values("key").reset_index(drop=True)
+    b = ft.build_features(df, with_targets=True, hot_key_rows=threshold).toPandas().sort_values("key").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b, check_exact=False, rtol=1e-9)
     assert len(a) > 10
 

@@ -14,7 +14,7 @@ from meterframe.plans.sql import with_sales
 from meterframe.session import scratch_path
 from meterframe.sources import readers as rd
 from meterframe.sources import sinks as sk
-from meterframe.sources.adapters import build_sales_table, sales, sales_raw
+from meterframe.sources.adapters import build_sales_table, sales_raw, sales_table
 
 _ALL_PRESENT = (
     "key IS NOT NULL AND meterid IS NOT NULL AND chargedate IS NOT NULL AND loc IS NOT NULL "
@@ -73,11 +73,11 @@ def q_a05(spark, sf):
     doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"],
 )
 def q_a08(spark, sf):
-    """Source chain: a missing table first, then the warehouse adapter."""
+    """Source chain: a missing table first, then the stored billing table."""
     from pyspark.sql import types as T
 
     empty = T.StructType([T.StructField("chargedate", T.DateType())])
-    return rd.load_first(spark, [lambda: spark.table("prod.no_such_table"), lambda: sales(spark, sf)], empty)
+    return rd.load_first(spark, [lambda: spark.table("prod.no_such_table"), lambda: sales_table(spark, sf)], empty)
 
 
 @register(
@@ -90,7 +90,7 @@ def q_a08(spark, sf):
 )
 def q_a18(spark, sf):
     """Daily totals through SQL text with bound positional parameters."""
-    sales(spark, sf).createOrReplaceTempView("mf_sales")
+    sales_table(spark, sf).createOrReplaceTempView("mf_sales")
     return rd.run_query(
         spark,
         "SELECT chargedate AS day, SUM(kwh) AS total_kwh FROM mf_sales "

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 DEFAULT_ACCURACY = 10000
 MAX_CANDIDATES = 2_000_000
+MAX_GROUPS = 10_000  # per-group bounds travel through the driver
 
 
 def _target_ranks(n: int, p: float):
@@ -46,10 +47,13 @@ def exact_percentiles(
     by: Iterable[str] = (),
     accuracy: int = DEFAULT_ACCURACY,
     max_candidates: int = MAX_CANDIDATES,
+    max_groups: int = MAX_GROUPS,
 ) -> DataFrame:
     """Returns ``by..., percentage, value`` with exact linear-interpolated percentiles.
 
     Null (and NaN) values are ignored; a group without values gives no row.
+    More than ``max_groups`` groups is refused (use ``percentile_approx``
+    per group instead): the per-group bounds would not stay small.
     """
     user_by = list(by)
     by = user_by or ["_g"]  # a constant key keeps every join an equi-join
@@ -64,12 +68,19 @@ def exact_percentiles(
 
     # Pass 1: counts, extremes and sketch bounds per group.
     probes = sorted({min(1.0, max(0.0, x)) for p in pcts for x in (p - 3 * eps, p + 3 * eps)})
-    stats = base.groupBy(*by).agg(
-        F.count("_v").alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", probes, accuracy).alias("_q"),
-    ).collect()
+    stats = (
+        base.groupBy(*by)
+        .agg(
+            F.count("_v").alias("_n"),
+            F.min("_v").alias("_min"),
+            F.max("_v").alias("_max"),
+            F.percentile_approx("_v", probes, accuracy).alias("_q"),
+        )
+        .limit(max_groups + 1)
+        .collect()
+    )
+    if len(stats) > max_groups:
+        raise ValueError(f"exact_percentiles: more than {max_groups} groups; use percentile_approx per group")
 
     bound_rows = []
     for r in stats:

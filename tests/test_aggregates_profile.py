@@ -151,3 +151,11 @@ def test_correlation_matches_pandas(spark):
     want = pdf.corr()
     for (a, b), v in out.items():
         assert v == pytest.approx(want.loc[a, b])
+
+
+def test_exact_percentiles_refuses_unbounded_groups(spark):
+    df = spark.range(50).selectExpr("id AS g", "CAST(id AS DOUBLE) AS v")
+    with pytest.raises(ValueError):
+        exact_percentiles(df, "v", [0.5], by=["g"], max_groups=10)
+    out = exact_percentiles(df, "v", [0.5]).collect()
+    assert out[0]["v"] == 24.5

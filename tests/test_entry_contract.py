@@ -51,6 +51,17 @@ def test_forecast_rows_one_per_meter(spark, sf_small):
     assert not pdf.isna().any().any()
     again = fc.predict_next_month(s, f, dt.date(2000, 9, 30)).toPandas()
     assert again.equals(pdf)
+    # Models and codes survive a save / load; predictions write as CSV.
+    import os
+    import tempfile
+
+    d = tempfile.mkdtemp(prefix="mf-models-")
+    fc.save_models(f.models, f.codes, os.path.join(d, "m"))
+    models, codes = fc.load_models(os.path.join(d, "m"))
+    loaded = fc.predict_next_month(s, fc.Forecaster(models=models, codes=codes), dt.date(2000, 9, 30)).toPandas()
+    assert loaded.equals(pdf)
+    fc.save_predictions(pred, os.path.join(d, "pred"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "pred")).count() == len(pdf)
     imp = fc.importance_table(spark, f.models)
     assert imp.count() == 3 * (len(fc.FEATURES) + 2)
     assert fc.top_per_target(imp, 10).count() == 30

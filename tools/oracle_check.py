@@ -87,6 +87,12 @@ def main():
             if a_rows != b_rows:
                 diff = [(x, y) for x, y in zip(a_rows, b_rows) if x != y][:3]
                 problems.append(f"values differ, e.g. {diff} cols={sorted(sdf.columns)}")
+        if not problems:
+            dt_s = {c: str(sdf[c].dtype) for c in sdf.columns}
+            dt_d = {c: str(ddf[c].dtype) for c in ddf.columns}
+            diff = {c: (dt_s[c], dt_d[c]) for c in dt_s if dt_s[c] != dt_d.get(c)}
+            if diff:
+                print(f"dtype {name}: {diff}")
         if problems:
             bad += 1
             print(f"FAIL  {name}: {'; '.join(problems)}")

@@ -364,3 +364,57 @@ def q_c01(spark, sf):
 def q_c03(spark, sf):
     """Request with upper-case key, blank and null values, an unknown column and a bad freq."""
     return filter_by_request(sales(spark, sf), CASE_AND_BLANK)
+
+
+# ----------------------------------------------------------------- request forms, sub-daily data
+JSON_REQUEST = {
+    "selections": {"LOC": ["NATION_3", "NATION_7", ""], "res_mapped": "Commercial", "nosuch": ["x"]},
+    "start_date": "1996-01-01", "end_date": "1996-06-30", "freq": "x",
+}
+
+
+@register(
+    "c03_request_filter_json",
+    with_sales(
+        "SELECT * FROM sales WHERE chargedate BETWEEN DATE '1996-01-01' AND DATE '1996-06-30' "
+        "AND CAST(loc AS VARCHAR) IN ('NATION_3', 'NATION_7')"
+    ),
+    doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"],
+)
+def q_c03j(spark, sf):
+    """JSON request form: case-insensitive keys, a non-list value skipped, blanks dropped."""
+    return filter_by_request(sales(spark, sf), JSON_REQUEST, enforce_exclusions=False, check_freq=False)
+
+
+_c_filt = _composition_sql("loc", "kwh", AND_TWO_SQL.replace("AND CAST(res_mapped AS VARCHAR) IN ('Commercial')", ""))
+
+
+@register("e04_composition_filtered", with_sales(_c_filt[0], _c_filt[1]), doubles=["value"])
+def q_e04f(spark, sf):
+    """Composition by location under a date range and a location selection."""
+    p = FilterParams(start=D(1996, 1, 1), end=D(1998, 12, 31), selections={"loc": ["NATION_3", "NATION_7"]}, metric="kwh")
+    return agg.composition(sales(spark, sf), p, segment="loc")
+
+
+@register(
+    "c07_end_of_day_bound",
+    with_events(
+        "SELECT COUNT(*) AS \"rows\" FROM event_sales WHERE chargedate BETWEEN DATE '2024-01-02' AND DATE '2024-01-05'"
+    ),
+)
+def q_c07(spark, sf):
+    """Inclusive end day on sub-daily rows: events late on the end date count."""
+    return agg.row_count(event_sales(spark, sf), FilterParams(start=D(2024, 1, 2), end=D(2024, 1, 5)))
+
+
+@register(
+    "e01_daily_series_events",
+    with_events(
+        "SELECT chargedate AS day, SUM(kwh) AS total_kwh FROM event_sales "
+        "WHERE chargedate BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' AND loc = 'click' GROUP BY 1"
+    ),
+    doubles=["total_kwh"], dates=["day"],
+)
+def q_e01e(spark, sf):
+    """Daily totals of one event type over the month of events."""
+    return agg.daily_series(event_sales(spark, sf), D(2024, 1, 1), D(2024, 1, 31), "kwh", loc="click")

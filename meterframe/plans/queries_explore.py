@@ -522,3 +522,23 @@ def q_b11(spark, sf):
 def q_h10(spark, sf):
     """Repeatable fixed-size sample (5000 rows) for scatter plots."""
     return pr.fixed_sample(sales(spark, sf), 5000, seed=1).select("key", "kwh", "ghc", "paymoney")
+
+
+# ----------------------------------------------------------------- sub-daily event data
+_he = _hist_sql("long AS (SELECT 'kwh' AS column_name, CAST(kwh AS DOUBLE) AS v FROM event_sales)")
+
+
+@register("e29_histogram_events", with_events(*_he), doubles=["bin_lo", "bin_hi"])
+def q_e29e(spark, sf):
+    """50-bin histogram of the event values."""
+    return pr.histogram(event_sales(spark, sf), ["kwh"], 50)
+
+
+@register(
+    "e32_percentile_events",
+    with_events("SELECT quantile_cont(kwh, 0.64) AS kwh_p64 FROM event_sales WHERE loc = 'purchase'"),
+    doubles=["kwh_p64"],
+)
+def q_e32e(spark, sf):
+    """Exact 64th percentile of one event type's values."""
+    return pr.percentile_under_filter(event_sales(spark, sf), "kwh", 0.64, F.col("loc") == F.lit("purchase"))

@@ -15,13 +15,13 @@ Shapes used throughout:
 from __future__ import annotations
 
 import math
-from typing import Iterable, List, Optional, Sequence
+from typing import List, Optional, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterframe.functions.dates import is_weekend, month_short_name, weekday_index, weekday_name
+from meterframe.functions.dates import is_weekend, weekday_index
 from meterframe.functions.quantiles import exact_percentiles
 from meterframe.functions.scalars import nan_to_null
 from meterframe.operators.clean import day_type, residence_display

@@ -8,7 +8,7 @@ range, a bucket frequency), never a sample of the data.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Callable, Dict, Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession

@@ -14,12 +14,12 @@ Physical plan
 * Hot meters (more than ``hot_key_rows`` rows) are found first with a count
   per meter; their ids (at most total_rows / hot_key_rows of them) come back
   to the driver and are broadcast, so neither the profile join nor a window
-  ever groups a hot meter.  Without hot meters the plan is the window plan.  Their rows get a position inside the meter
-  from per-(meter, day) counts (prefix sums over at most one row per day),
+  ever groups a hot meter.  Without hot meters the plan is the window plan.
+  Hot rows get a position inside the meter from per-chunk counts (a chunk is
+  one day and one range of 2^20 keys; prefix sums over one row per chunk),
   then each row is copied to the positions that need it as lag 1..5 or
   lead 1 and re-grouped on the unique (meter, position) key.  Work for one
-  hot meter is spread over all tasks; the only per-task group left is one
-  (meter, day).
+  hot meter is spread over all tasks; no window groups more than one chunk.
 * Category codes come from a fitted ``StringIndexer`` (labels sorted
   alphabetically, null -> -1), which can be persisted with the model.
 """
@@ -65,6 +65,7 @@ FEATURES = (
 ROLLS = {"roll3": (3, 2), "roll6": (6, 3)}
 MAX_LAG = 5  # the widest frame (6 rows) reaches 5 rows back
 HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is used
+CHUNK_KEYS = 1 << 20  # key range of one positioning chunk (at most this many rows)
 
 
 # --------------------------------------------------------------------- category codes
@@ -158,16 +159,28 @@ def _nb(shift: int) -> str:
 
 
 def _positional_features(rows: DataFrame, roles: Roles, with_targets: bool) -> DataFrame:
-    """Hot meters: positions from per-day prefix sums, then a keyed self-join by copies."""
+    """Hot meters: positions from per-chunk prefix sums, then a keyed self-join by copies.
+
+    A chunk is (day, key div CHUNK_KEYS): contiguous in (date, key) order (the
+    truncating division is monotone) and, keys being unique, never more than
+    CHUNK_KEYS rows -- so no window below groups more than that, however many
+    rows one meter has on one day.  The prefix sum runs over one row per chunk.
+    """
     mt, d, k = roles.meter, roles.date, roles.key
-    per_day = rows.groupBy(mt, d).agg(F.count(F.lit(1)).alias("_c"))
-    offsets = per_day.withColumn(
+    rows = rows.withColumn("_kb", F.expr(f"`{k}` div {CHUNK_KEYS}"))
+    per_chunk = rows.groupBy(mt, d, "_kb").agg(F.count(F.lit(1)).alias("_c"))
+    offsets = per_chunk.withColumn(
         "_off",
-        F.coalesce(F.sum("_c").over(Window.partitionBy(mt).orderBy(d).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        F.coalesce(
+            F.sum("_c").over(Window.partitionBy(mt).orderBy(d, "_kb").rowsBetween(Window.unboundedPreceding, -1)),
+            F.lit(0),
+        ),
     ).drop("_c")
-    positioned = rows.join(offsets, [mt, d]).withColumn(
-        "_pos", F.col("_off") + F.row_number().over(Window.partitionBy(mt, d).orderBy(k)) - 1
-    ).drop("_off")
+    positioned = (
+        rows.join(offsets, [mt, d, "_kb"])
+        .withColumn("_pos", F.col("_off") + F.row_number().over(Window.partitionBy(mt, d, "_kb").orderBy(k)) - 1)
+        .drop("_off", "_kb")
+    )
     shifts = list(range(1, MAX_LAG + 1)) + ([-1] if with_targets else [])
     copies = positioned.select(
         mt, F.explode(F.array(*[F.lit(s) for s in shifts])).alias("_s"), "_pos", *METRIC_COLS

@@ -7,6 +7,8 @@ narrow candidate window:
 
 1. one pass: per group ``count`` and ``percentile_approx`` bounds around each
    target rank (the sketch's rank error is at most n / accuracy);
+   When no group has more than ``max_candidates`` values, Spark's exact
+   ``percentile`` finishes in one more pass (its buffer is then bounded too);
 2. one pass: exact counts below / inside the bounds, to *verify* the bounds
    (a group whose bound check fails falls back to its full value range, so
    the result never depends on the sketch being right);
@@ -82,6 +84,15 @@ def exact_percentiles(
     if len(stats) > max_groups:
         raise ValueError(f"exact_percentiles: more than {max_groups} groups; use percentile_approx per group")
 
+    if all(r["_n"] <= max_candidates for r in stats):
+        # Every group is no larger than a candidate window: Spark's exact
+        # percentile buffers at most max_candidates values per group.
+        direct = base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in pcts])).alias("_p"))
+        return direct.select(
+            *user_by,
+            F.posexplode(F.arrays_zip(F.array(*[F.lit(p) for p in pcts]).alias("pc"), F.col("_p").alias("pv"))).alias("_i", "_z"),
+        ).select(*user_by, F.col("_z.pc").alias("percentage"), F.col("_z.pv").alias(value))
+
     bound_rows = []
     for r in stats:
         n = r["_n"]

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.operators.clean import date_first, parse_dates, preprocess
+from meterframe.operators.clean import coerce_metrics, date_first, parse_dates, preprocess
 from meterframe.schema import DEFAULT_ROLES, RAW_DATE_FORMATS, Roles
 from meterframe.session import scratch_path
 from meterframe.sources.readers import allowed_file, ensure_database, read_csv, read_parquet, type_ids
@@ -67,9 +67,9 @@ def analyze_table(spark: SparkSession, name: str = "prod.sales") -> None:
 
 def rebuild_from_csv(spark: SparkSession, paths, name: str = "prod.sales", roles: Roles = DEFAULT_ROLES,
                      formats=RAW_DATE_FORMATS) -> str:
-    """CSV files -> date normalised (no other cleaning, as in the source) -> replace.
-
-    An empty input is an error and leaves the existing table untouched.
+    """CSV files -> typed (date parsed, ids and metrics numeric, as a typed
+    CSV scan would give) -> replace.  No dedupe and no null drop, as in the
+    source.  An empty input is an error and leaves the existing table untouched.
     """
     try:
         raw = read_csv(spark, paths)
@@ -78,7 +78,7 @@ def rebuild_from_csv(spark: SparkSession, paths, name: str = "prod.sales", roles
         empty = True
     if empty:
         raise FileNotFoundError(f"no CSV rows found under {paths!r}; table {name} left unchanged")
-    typed = type_ids(parse_dates(raw, roles, formats), roles)
+    typed = coerce_metrics(type_ids(parse_dates(raw, roles, formats), roles), roles)
     return replace_table(spark, typed, name, roles, clean=False)
 
 

@@ -80,3 +80,26 @@ def test_streaming_upload_ingest_latest_upload_wins(spark):
     assert q.exception() is None
     got = rows(spark.table("t_stream.sales"), "chargedate", "meterid", "paymoney", "res_mapped")
     assert got == [(D(2021, 2, 7), 9, None, "Residential")]
+
+
+def test_rebuild_from_csv_parses_dates_only(spark):
+    d = tempfile.mkdtemp(prefix="mf-rebuild-")
+    _write(os.path.join(d, "a.csv"), "05-Jan-20,1,A,N-Resid [0],1,2,3\n05-Jan-20,1,A,N-Resid [0],1,2,3\n")
+    _write(os.path.join(d, "b.CSV"), "bad,2,B,Resid [1],4,,6\n")
+    _write(os.path.join(d, "skip.txt"), "x\n")
+    sk.rebuild_from_csv(spark, d, "t_rebuild.sales")
+    t = spark.table("t_rebuild.sales")
+    assert t.columns[0] == "chargedate"
+    got = sorted(rows(t, "meterid", "chargedate", "ghc"))
+    # no dedupe and no null drop on a rebuild (only the date is normalised)
+    assert got == [(1, D(2020, 1, 5), 2.0), (1, D(2020, 1, 5), 2.0), (2, None, None)]
+
+
+def test_source_csv_layout_round_trip(spark):
+    df = spark.createDataFrame([(D(1995, 3, 4), 7, 1.5)], "chargedate date, meterid bigint, kwh double")
+    text = sk.to_source_csv_layout(df)
+    assert rows(text) == [("04-Mar-95", "7", "1.5")]
+    from meterframe.operators.clean import preprocess
+
+    back = preprocess(rd.type_ids(text))
+    assert rows(back, "chargedate", "meterid", "kwh") == [(D(1995, 3, 4), 7, 1.5)]

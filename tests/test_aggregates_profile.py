@@ -159,3 +159,41 @@ def test_exact_percentiles_refuses_unbounded_groups(spark):
         exact_percentiles(df, "v", [0.5], by=["g"], max_groups=10)
     out = exact_percentiles(df, "v", [0.5]).collect()
     assert out[0]["v"] == 24.5
+
+
+def test_dashboard_panels_match_pandas_semantics(spark, sf_small):
+    """Pie, bar, stats and summary panels against an independent pandas computation."""
+    from meterframe.sources.adapters import sales_table
+
+    s = sales_table(spark, sf_small)
+    p = FilterParams(start=D(1996, 1, 1), end=D(1999, 12, 31), selections={"res_mapped": ["Commercial", "Residential"]}, metric="ghc")
+    pdf = s.toPandas()
+    pdf["chargedate"] = pd.to_datetime(pdf["chargedate"])
+    f = pdf[pdf["res_mapped"].astype(str).isin(["Commercial", "Residential"])]
+    f = f[(f["chargedate"] >= pd.Timestamp(D(1996, 1, 1))) & (f["chargedate"] <= pd.Timestamp(D(1999, 12, 31)))]
+
+    # pie: sum by loc, descending, top 8 + Other
+    grp = f.dropna(subset=["loc"]).dropna(subset=["ghc"]).groupby(f["loc"].astype(str))["ghc"].sum().sort_values(ascending=False)
+    want = list(grp.iloc[:8].items()) + [("Other", grp.iloc[8:].sum())]
+    got = [(r[1], r[2]) for r in rows(agg.composition(s, p, segment="loc").orderBy("position"))]
+    assert [g[0] for g in got] == [w[0] for w in want]
+    np.testing.assert_allclose([g[1] for g in got], [w[1] for w in want], rtol=1e-12)
+
+    # bar: all locations
+    bar = dict((r[0], r[1]) for r in rows(agg.totals_by_location(s, p)))
+    assert bar.keys() == grp.to_dict().keys()
+    np.testing.assert_allclose([bar[k] for k in grp.index], grp.to_numpy(), rtol=1e-12)
+
+    # stats panel
+    stats = {r["metric"]: r for r in agg.metric_stats(p.apply(s)).collect()}
+    for m in ("kwh", "ghc", "paymoney"):
+        col = pd.to_numeric(f[m], errors="coerce").dropna()
+        assert stats[m]["n"] == len(col)
+        np.testing.assert_allclose(
+            [stats[m][k] for k in ("sum", "mean", "median", "min", "max")],
+            [col.sum(), col.mean(), col.median(), col.min(), col.max()], rtol=1e-12)
+
+    # summary panel
+    summ = rows(agg.dataset_summary(p.apply(s)))[0]
+    assert summ == (len(f), len(s.columns), f["meterid"].nunique(), f["loc"].nunique(),
+                    f["chargedate"].min().date().isoformat(), f["chargedate"].max().date().isoformat())

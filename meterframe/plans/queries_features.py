@@ -208,7 +208,7 @@ def q_e37(spark, sf):
 def q_k08(spark, sf):
     """Train the three GBT models on the temporal split, refit, score the latest row per meter."""
     forecaster, _ = fc.train_forecaster(sales(spark, sf), AS_OF, TRAIN_END, VALID_START, VALID_END,
-                                        candidates=[fc.GBTParams(max_iter=10, max_depth=4)], refit=True)
+                                        candidates=[fc.GBTParams(max_iter=5, max_depth=4)], refit=True)
     return fc.predict_next_month(sales(spark, sf), forecaster, AS_OF)
 
 
@@ -216,5 +216,5 @@ def q_k08(spark, sf):
 def q_e35(spark, sf):
     """Mean GBT feature importance across the three targets."""
     forecaster, _ = fc.train_forecaster(sales(spark, sf), AS_OF, TRAIN_END, VALID_START, VALID_END,
-                                        candidates=[fc.GBTParams(max_iter=10, max_depth=4)], refit=False)
+                                        candidates=[fc.GBTParams(max_iter=5, max_depth=4)], refit=False)
     return fc.mean_importance(fc.importance_table(spark, forecaster.models))

@@ -72,11 +72,23 @@ def test_hot_meter_path_equals_window_path(spark, threshold, chunk, monkeypatch)
 
 
 def test_feature_plan_has_one_meter_exchange(spark, sf_small):
+    """With broadcasts and AQE off (the large-table plan): the rows are shuffled
+    once by meterid, the profile aggregate once, and the window reuses the
+    join's partitioning -- no third exchange."""
     from meterframe.sources.adapters import sales_table
 
-    out = ft.build_features(sales_table(spark, sf_small), D(2000, 9, 30), hot_key_rows=None)
-    plan = out._jdf.queryExecution().executedPlan().toString()
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ft.build_features(sales_table(spark, sf_small), D(2000, 9, 30), hot_key_rows=None)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+    assert plan.count("Exchange ") == 2
+    assert plan.count("Exchange hashpartitioning(meterid") == 2
     assert plan.count("Window [") >= 1
 
 

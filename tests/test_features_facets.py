@@ -166,3 +166,25 @@ def test_features_match_pandas_semantics(spark, sf_small):
         a = got[c].astype("float64").to_numpy()
         b = want[c].astype("float64").to_numpy()
         np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True, err_msg=c)
+
+
+def _plan_without_aqe(spark, build):
+    saved = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return build()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", saved)
+
+
+def test_composition_and_facet_plans(spark, sf_small):
+    from meterframe.operators import aggregates as agg
+    from meterframe.sources.adapters import sales_table
+
+    s = sales_table(spark, sf_small)
+    plan = _plan_without_aqe(spark, lambda: agg.composition(s, FilterParams(metric="ghc"), segment="loc"))
+    assert "TakeOrderedAndProject(limit=8" in plan  # top slices: each partition keeps 8 groups
+    assert "LeftAnti" in plan and "BroadcastExchange" in plan  # remainder against <= 8 labels
+    assert "ReusedExchange" in plan  # one aggregation shuffle for both branches
+    plan = _plan_without_aqe(spark, lambda: fc.facet_values(s))
+    assert "WindowGroupLimit" in plan and "Partial" in plan  # meter cap applied before the shuffle

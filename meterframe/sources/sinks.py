@@ -121,6 +121,15 @@ def export_csv(df: DataFrame, path: str, single_file: bool = False, quote_all: b
     w.csv(path)
 
 
+def export_filtered(df: DataFrame, params, folder: str, roles: Roles = DEFAULT_ROLES, prefix: str = "meter_export",
+                    single_file: bool = False) -> str:
+    """A12 end to end: the rows under a filter, written as CSV under a UTC-stamped
+    name inside ``folder``; returns the written path."""
+    path = os.path.join(folder, export_name(prefix))
+    export_csv(params.apply(df, roles), path, single_file=single_file)
+    return path
+
+
 def to_source_csv_layout(df: DataFrame, roles: Roles = DEFAULT_ROLES, date_format: str = "dd-MMM-yy") -> DataFrame:
     """Render rows the way the source's CSV exports look: text dates, text numbers."""
     cols = []

@@ -103,3 +103,13 @@ def test_source_csv_layout_round_trip(spark):
 
     back = preprocess(rd.type_ids(text))
     assert rows(back, "chargedate", "meterid", "kwh") == [(D(1995, 3, 4), 7, 1.5)]
+
+
+def test_export_filtered(spark, tmp_path):
+    from meterframe.operators.filters import FilterParams
+
+    df = spark.createDataFrame([(D(2020, 1, 1), 1, "A"), (D(2020, 2, 1), 2, "B")], "chargedate date, meterid bigint, loc string")
+    path = sk.export_filtered(df, FilterParams(selections={"loc": ["B"]}), str(tmp_path))
+    assert os.path.basename(path).startswith("meter_export_") and path.endswith("Z.csv")
+    back = spark.read.option("header", True).csv(path)
+    assert rows(back) == [("2020-02-01", "2", "B")]

@@ -24,20 +24,44 @@ def _stack(df: DataFrame, facets: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.facet", "p.value")
 
 
-def _capped(pairs: DataFrame, caps: Dict[str, Optional[int]]) -> DataFrame:
+def _ranked_positions(distinct: DataFrame, n_parts: int) -> DataFrame:
+    """0-based position of each value inside its facet without a per-facet task.
+
+    The distinct pairs are range-partitioned on (facet, value); each value is
+    ranked inside its (range partition, facet) and offset by the counts of the
+    earlier partitions of the same facet (a prefix sum over facets x
+    partitions rows, broadcast by construction).
+    """
+    ranged = distinct.repartitionByRange(n_parts, "facet", "value").withColumn("_pid", F.spark_partition_id())
+    local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", "facet").orderBy("value")))
+    counts = ranged.groupBy("facet", "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("facet").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("facet", "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    return local.join(F.broadcast(offsets), ["facet", "_pid"]).select(
+        "facet", "value", (F.col("_off") + F.col("_lr") - 1).cast("int").alias("position")
+    )
+
+
+def _capped(pairs: DataFrame, caps: Dict[str, Optional[int]], categorical: Sequence[str] = ()) -> DataFrame:
     """Distinct values per facet with a 0-based position, first ``cap`` per facet.
 
     Facets sharing a cap form one branch whose filter is a plain
     ``row_number <= cap``: Spark turns exactly that shape into a WindowGroupLimit,
     partial before the shuffle, so a capped facet moves at most ``cap`` values
-    per partition.  Uncapped facets are category columns (bounded by the number
-    of categories).  All branches reuse the one distinct-aggregation exchange.
+    per partition.  Uncapped category columns (bounded by their number of
+    categories) are ranked with a window per facet; any other uncapped facet
+    gets distributed positions (``_ranked_positions``).  All branches reuse the
+    one distinct-aggregation exchange.
     """
     distinct = pairs.filter(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("facet").orderBy("value")
     groups: Dict[Optional[int], List[str]] = {}
+    open_ended: List[str] = []
     for f, cap in caps.items():
-        groups.setdefault(cap, []).append(f)
+        if cap is None and f not in categorical:
+            open_ended.append(f)
+        else:
+            groups.setdefault(cap, []).append(f)
     out = None
     for cap, fs in groups.items():
         ranked = distinct.filter(F.col("facet").isin(fs)).withColumn("_rn", F.row_number().over(w))
@@ -45,6 +69,10 @@ def _capped(pairs: DataFrame, caps: Dict[str, Optional[int]]) -> DataFrame:
             ranked = ranked.filter(F.col("_rn") <= F.lit(cap))  # the shape the limit rule matches
         ranked = ranked.select("facet", "value", (F.col("_rn") - 1).cast("int").alias("position"))
         out = ranked if out is None else out.unionByName(ranked)
+    if open_ended:
+        n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranked = _ranked_positions(distinct.filter(F.col("facet").isin(open_ended)), n_parts)
+        out = ranked if out is None else out.unionByName(ranked)
     return out
 
 
@@ -58,8 +86,9 @@ def facet_values(
     """Distinct text values per facet under the *full* filter, sorted as text.
 
     Default facets: location, residence category, meter id; the meter id list
-    is capped at 500, category facets are uncapped (their cardinality is the
-    number of categories).  Output: facet, value, position.
+    is capped at 500, the rest are uncapped (category columns are ranked per
+    facet, any other column with distributed positions).  Output: facet,
+    value, position.
     """
     cols_lc = {c.lower(): c for c in df.columns}
     if facets:
@@ -74,7 +103,8 @@ def facet_values(
     base = params.apply(df, roles) if params else df
     if not fs:
         return df.sparkSession.createDataFrame([], "facet string, value string, position int")
-    return _capped(_stack(base, fs), caps)
+    categorical = (roles.location, roles.residence, roles.residence_mapped)
+    return _capped(_stack(base, fs), caps, categorical)
 
 
 def unique_values(df: DataFrame, cap: int = FACET_CAP, roles: Roles = DEFAULT_ROLES) -> DataFrame:

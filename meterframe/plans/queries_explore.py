@@ -542,3 +542,10 @@ def q_e29e(spark, sf):
 def q_e32e(spark, sf):
     """Exact 64th percentile of one event type's values."""
     return pr.percentile_under_filter(event_sales(spark, sf), "kwh", 0.64, F.col("loc") == F.lit("purchase"))
+
+
+@register("h01_facets_requested", _facets_sql(FACET_SQL, ["res", "key"], {}))
+def q_h01r(spark, sf):
+    """Facets named in the request: a category column and an uncapped id column
+    (ranked with distributed positions, not one task per facet)."""
+    return fc.facet_values(sales(spark, sf), FACET_PARAMS, facets=["RES", "key"], caps={"key": None})

@@ -188,3 +188,17 @@ def test_composition_and_facet_plans(spark, sf_small):
     assert "ReusedExchange" in plan  # one aggregation shuffle for both branches
     plan = _plan_without_aqe(spark, lambda: fc.facet_values(s))
     assert "WindowGroupLimit" in plan and "Partial" in plan  # meter cap applied before the shuffle
+
+
+def test_uncapped_open_facet_positions_are_global(spark):
+    import random
+
+    rnd = random.Random(4)
+    vals = [f"v{rnd.randrange(10**6):06d}" for _ in range(3000)]
+    df = spark.createDataFrame([(i, v, v[:3]) for i, v in enumerate(vals)], "key bigint, code string, loc string")
+    out = fc.facet_values(df, facets=["code", "loc"], caps={"code": None}).toPandas()
+    code = out[out.facet == "code"].sort_values("position")
+    assert code["value"].tolist() == sorted(set(vals))
+    assert code["position"].tolist() == list(range(len(set(vals))))
+    loc = out[out.facet == "loc"].sort_values("position")
+    assert loc["value"].tolist() == sorted({v[:3] for v in vals})

@@ -35,7 +35,7 @@ def main() -> int:
         f"local[{cpus}]",
         app="meterframe-bench",
         conf={
-            "spark.sql.shuffle.partitions": str(max(int(cpus), 1) * 2),
+            "spark.sql.shuffle.partitions": os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(int(cpus), 1) * 2)),
             "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g"),
             "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
         },

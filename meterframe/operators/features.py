@@ -17,8 +17,9 @@ Physical plan
   ever groups a hot meter.  Without hot meters the plan is the window plan.
   Hot rows get a position inside the meter from per-chunk counts (a chunk is
   one day and one range of 2^20 keys; prefix sums over one row per chunk),
-  then each row is copied to the positions that need it as lag 1..5 or
-  lead 1 and re-grouped on the unique (meter, position) key.  Work for one
+  then each row is copied to its own position and to the positions that
+  need it as lag 1..5 or lead 1, and one aggregation on the unique
+  (meter, position) key rebuilds the rows with their neighbours.  Work for one
   hot meter is spread over all tasks; no window groups more than one chunk.
 * Category codes come from a fitted ``StringIndexer`` (labels sorted
   alphabetically, null -> -1), which can be persisted with the model.
@@ -181,28 +182,34 @@ def _positional_features(rows: DataFrame, roles: Roles, with_targets: bool) -> D
         .withColumn("_pos", F.col("_off") + F.row_number().over(Window.partitionBy(mt, d, "_kb").orderBy(k)) - 1)
         .drop("_off", "_kb")
     )
+    # Each row goes to its own position (shift 0, carrying all its columns) and,
+    # metrics only, to the positions that see it as lag 1..5 or lead 1; one
+    # aggregation on the unique (meter, position) key rebuilds every row with
+    # its neighbours -- no join back.
     shifts = list(range(1, MAX_LAG + 1)) + ([-1] if with_targets else [])
+    own = [c for c in positioned.columns if c not in (mt, "_pos")]
     copies = positioned.select(
-        mt, F.explode(F.array(*[F.lit(s) for s in shifts])).alias("_s"), "_pos", *METRIC_COLS
-    ).select(mt, (F.col("_pos") + F.col("_s")).alias("_pos"), "_s", *METRIC_COLS)
-    neighbours = copies.groupBy(mt, "_pos").agg(
-        *[F.max(F.when(F.col("_s") == s, F.struct(*METRIC_COLS))).alias(_nb(s)) for s in shifts]
-    )
-    joined = positioned.join(neighbours, [mt, "_pos"], "left")
+        mt, "_pos", F.struct(*own).alias("_row"), F.struct(*METRIC_COLS).alias("_m"),
+        F.explode(F.array(*[F.lit(x) for x in [0] + shifts])).alias("_s"),
+    ).select(mt, (F.col("_pos") + F.col("_s")).alias("_pos"), "_s",
+             F.when(F.col("_s") == 0, F.col("_row")).alias("_row"), "_m")
+    rebuilt = copies.groupBy(mt, "_pos").agg(
+        F.max("_row").alias("_row"),
+        *[F.max(F.when(F.col("_s") == s, F.col("_m"))).alias(_nb(s)) for s in shifts],
+    ).filter(F.col("_row").isNotNull())
     cols = []
     for lag in (1, 2, 3):
         for m in METRIC_COLS:
             cols.append(F.col(f"{_nb(lag)}.{m}").alias(f"{m}_lag{lag}"))
     for m in METRIC_COLS:
         for name, (size, min_n) in ROLLS.items():
-            vals = [F.col(f"{_nb(s)}.{m}") for s in range(size - 1, 0, -1)] + [F.col(m)]  # oldest first
+            vals = [F.col(f"{_nb(s)}.{m}") for s in range(size - 1, 0, -1)] + [F.col(f"_row.{m}")]  # oldest first
             mean, std = _array_stats(vals, min_n)
             cols += [mean.alias(f"{m}_{name}_mean"), std.alias(f"{m}_{name}_std")]
     if with_targets:
         for m in METRIC_COLS:
             cols.append(F.col(f"{_nb(-1)}.{m}").alias(f"{m}_next"))
-    keep = [c for c in positioned.columns if c != "_pos"]
-    return joined.select(*keep, *cols)
+    return rebuilt.select(mt, *[F.col(f"_row.{c}").alias(c) for c in own], *cols)
 
 
 # --------------------------------------------------------------------- the feature build

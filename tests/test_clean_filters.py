@@ -132,3 +132,8 @@ def test_to_sql_where_matches_predicate(spark):
     via_sql = sorted(r[0] for r in spark.sql(f"SELECT key FROM t_where WHERE {clause}", args=params).collect())
     assert via_sql == sorted(r[0] for r in rows(p.apply(df), "key")) == [1, 4]
     assert FilterParams().to_sql_where() == ("1=1", [])
+
+
+def test_selection_on_double_compares_text(spark):
+    df = spark.createDataFrame(SALES, SALES_SCHEMA)
+    assert rows(FilterParams(selections={"kwh": ["2.0"]}).apply(df), "key") == [(2,)]

@@ -65,3 +65,27 @@ def test_forecast_rows_one_per_meter(spark, sf_small):
     imp = fc.importance_table(spark, f.models)
     assert imp.count() == 3 * (len(fc.FEATURES) + 2)
     assert fc.top_per_target(imp, 10).count() == 30
+
+
+def test_forecast_beats_mean_baseline(spark):
+    """SURVEY 5.5: validation RMSE below predicting the training mean (sf0.01, fixed seed)."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from meterframe.operators import features as ft
+    from meterframe.operators import forecast as fc
+    from meterframe.sources.adapters import sales_table
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("test data not present")
+    s = sales_table(spark, sf)
+    cut, t0, v1 = dt.date(2000, 9, 30), dt.date(2000, 1, 1), dt.date(2000, 9, 30)
+    _, valid_pred = fc.train_forecaster(s, cut, t0, t0, v1, candidates=[fc.GBTParams(max_iter=20, max_depth=4, min_instances=5)], refit=False)
+    train, valid = fc.temporal_split(ft.training_frame(s, cut), t0, t0, v1)
+    for t in ft.TARGETS:
+        mean = train.agg(F.avg(t)).first()[0]
+        baseline = fc.regression_metrics(valid.withColumn("_p", F.lit(mean)), t, "_p").first()["rmse"]
+        model = fc.regression_metrics(valid_pred, t, f"{t}_pred").first()["rmse"]
+        assert model < baseline, (t, model, baseline)

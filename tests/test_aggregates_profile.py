@@ -197,3 +197,24 @@ def test_dashboard_panels_match_pandas_semantics(spark, sf_small):
     summ = rows(agg.dataset_summary(p.apply(s)))[0]
     assert summ == (len(f), len(s.columns), f["meterid"].nunique(), f["loc"].nunique(),
                     f["chargedate"].min().date().isoformat(), f["chargedate"].max().date().isoformat())
+
+
+def test_endpoint_payloads(spark):
+    from meterframe.plans import endpoints as ep
+
+    df = spark.createDataFrame(
+        [(1, 10, D(2020, 1, 5), "N1", "Commercial", 2.0), (2, 11, D(2020, 1, 9), "N2", "Residential", 4.0),
+         (3, 10, D(2020, 2, 1), "N1", "Commercial", None)],
+        "key bigint, meterid bigint, chargedate date, loc string, res_mapped string, kwh double",
+    )
+    assert ep.chart_data(df, {"freq": "M", "metric": "kwh,nosuch"}) == {
+        "labels": ["2020-01", "2020-02"], "values": {"kwh": [3.0, 0.0]}, "metric_labels": {"kwh": "kWh"}, "date_col": "chargedate"}
+    assert ep.pie_data(df, {"metric": "kwh"})["labels"] == ["Residential", "Commercial"]
+    assert ep.bar_data(df, {"metric": "kwh", "LOC": ["N1"]}) == {"labels": ["N1"], "values": [2.0], "metric_label": "kWh", "segment": "loc"}
+    opts = ep.filter_options(df, {"selections": {"loc": ["N1"]}})
+    assert opts == {"options": {"loc": ["N1"], "meterid": ["10"], "res_mapped": ["Commercial"]},
+                    "dates": {"min": "2020-01-05", "max": "2020-02-01"}, "rows": 2}
+    assert ep.meter_options(df, {"q": "1", "limit": "1"}) == ["10"]
+    assert ep.stats(df, {})["kwh"]["median"] == 3.0
+    assert ep.summary(df, {"start_date": "2020-01-06"})["rows"] == 2
+    assert ep.health(df) == {"status": "ok", "rows": 3, "cols": 6}

@@ -161,7 +161,7 @@ def selected_first(spark, selected: Sequence[str], options: DataFrame, value: st
         [(str(v), 0, i) for i, v in enumerate(selected)],
         T.StructType([T.StructField("value", T.StringType()), T.StructField("_p", T.IntegerType()), T.StructField("_o", T.LongType())]),
     )
-    opts = options.select(F.col(value).cast("string").alias("value"), F.lit(0 + 1).alias("_p"), F.col(order).cast("long").alias("_o"))
+    opts = options.select(F.col(value).cast("string").alias("value"), F.lit(1).alias("_p"), F.col(order).cast("long").alias("_o"))
     merged = sel.unionByName(opts).groupBy("value").agg(F.min(F.struct("_p", "_o")).alias("_k"))
     w = Window.orderBy(F.col("_k._p"), F.col("_k._o"))
     return merged.select("value", (F.row_number().over(w) - 1).cast("int").alias("position"))

@@ -17,9 +17,9 @@ Physical plan
   ever groups a hot meter.  Without hot meters the plan is the window plan.
   Hot rows get a position inside the meter from per-chunk counts (a chunk is
   one day and one range of 2^20 keys; prefix sums over one row per chunk),
-  then each row is copied to its own position and to the positions that
-  need it as lag 1..5 or lead 1, and one aggregation on the unique
-  (meter, position) key rebuilds the rows with their neighbours.  Work for one
+  then the positions are cut into blocks of 2^20; each block also gets the
+  last five rows of the block before it (and the first row after it) as halo
+  rows, and the ordinary window expressions run per (meter, block).  Work for one
   hot meter is spread over all tasks; no window groups more than one chunk.
 * Category codes come from a fitted ``StringIndexer`` (labels sorted
   alphabetically, null -> -1), which can be persisted with the model.
@@ -30,7 +30,7 @@ from __future__ import annotations
 from typing import Dict, List, Optional, Sequence
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.functions.scalars import month_cos, month_sin, nan_to_null, safe_ratio
@@ -67,6 +67,7 @@ ROLLS = {"roll3": (3, 2), "roll6": (6, 3)}
 MAX_LAG = 5  # the widest frame (6 rows) reaches 5 rows back
 HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is used
 CHUNK_KEYS = 1 << 20  # key range of one positioning chunk (at most this many rows)
+BLOCK_ROWS = 1 << 20  # consecutive positions of one hot meter handled by one window partition
 
 
 # --------------------------------------------------------------------- category codes
@@ -104,18 +105,6 @@ def category_code_pairs(features: DataFrame, column: str = "loc") -> DataFrame:
 
 
 # --------------------------------------------------------------------- helpers
-def _array_stats(values: List[Column], min_n: int):
-    """Mean and sample std of the non-null entries, null below ``min_n`` entries."""
-    arr = F.filter(F.array(*values), lambda x: x.isNotNull())
-    n = F.size(arr)
-    total = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + x)
-    mean = total / n
-    ss = F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    std = F.sqrt(ss / (n - 1))
-    ok = n >= F.lit(min_n)
-    return F.when(ok, mean), F.when(ok & (n >= 2), std)
-
-
 def _derived(df: DataFrame) -> DataFrame:
     """F11 deltas and I8 ratios on top of lag columns."""
     out = df
@@ -136,9 +125,9 @@ def hot_meters(base: DataFrame, hot_key_rows: int, roles: Roles = DEFAULT_ROLES)
     return [r[0] for r in counts.filter(F.col("_n") > hot_key_rows).select(roles.meter).collect()]
 
 
-def _window_features(rows: DataFrame, roles: Roles, with_targets: bool) -> DataFrame:
-    """Ordinary meters: lags, leads and rolling frames as window functions."""
-    w = Window.partitionBy(roles.meter).orderBy(roles.date, roles.key)
+def _window_features(rows: DataFrame, roles: Roles, with_targets: bool, partition=None, order=None) -> DataFrame:
+    """Lags, leads and rolling frames as window functions (per meter by default)."""
+    w = Window.partitionBy(*(partition or [roles.meter])).orderBy(*(order or [roles.date, roles.key]))
     cols = []
     for lag in (1, 2, 3):
         for m in METRIC_COLS:
@@ -155,12 +144,8 @@ def _window_features(rows: DataFrame, roles: Roles, with_targets: bool) -> DataF
     return rows.select("*", *cols)
 
 
-def _nb(shift: int) -> str:
-    return f"_lag{shift}" if shift > 0 else "_lead1"
-
-
 def _positional_features(rows: DataFrame, roles: Roles, with_targets: bool) -> DataFrame:
-    """Hot meters: positions from per-chunk prefix sums, then a keyed self-join by copies.
+    """Hot meters: positions from per-chunk prefix sums, then windows per block of positions.
 
     A chunk is (day, key div CHUNK_KEYS): contiguous in (date, key) order (the
     truncating division is monotone) and, keys being unique, never more than
@@ -182,34 +167,31 @@ def _positional_features(rows: DataFrame, roles: Roles, with_targets: bool) -> D
         .withColumn("_pos", F.col("_off") + F.row_number().over(Window.partitionBy(mt, d, "_kb").orderBy(k)) - 1)
         .drop("_off", "_kb")
     )
-    # Each row goes to its own position (shift 0, carrying all its columns) and,
-    # metrics only, to the positions that see it as lag 1..5 or lead 1; one
-    # aggregation on the unique (meter, position) key rebuilds every row with
-    # its neighbours -- no join back.
-    shifts = list(range(1, MAX_LAG + 1)) + ([-1] if with_targets else [])
-    own = [c for c in positioned.columns if c not in (mt, "_pos")]
-    copies = positioned.select(
-        mt, "_pos", F.struct(*own).alias("_row"), F.struct(*METRIC_COLS).alias("_m"),
-        F.explode(F.array(*[F.lit(x) for x in [0] + shifts])).alias("_s"),
-    ).select(mt, (F.col("_pos") + F.col("_s")).alias("_pos"), "_s",
-             F.when(F.col("_s") == 0, F.col("_row")).alias("_row"), "_m")
-    rebuilt = copies.groupBy(mt, "_pos").agg(
-        F.max("_row").alias("_row"),
-        *[F.max(F.when(F.col("_s") == s, F.col("_m"))).alias(_nb(s)) for s in shifts],
-    ).filter(F.col("_row").isNotNull())
-    cols = []
-    for lag in (1, 2, 3):
-        for m in METRIC_COLS:
-            cols.append(F.col(f"{_nb(lag)}.{m}").alias(f"{m}_lag{lag}"))
-    for m in METRIC_COLS:
-        for name, (size, min_n) in ROLLS.items():
-            vals = [F.col(f"{_nb(s)}.{m}") for s in range(size - 1, 0, -1)] + [F.col(f"_row.{m}")]  # oldest first
-            mean, std = _array_stats(vals, min_n)
-            cols += [mean.alias(f"{m}_{name}_mean"), std.alias(f"{m}_{name}_std")]
+    # Blocks of BLOCK_ROWS consecutive positions; each block also receives, as
+    # halo rows, the rows of earlier blocks within MAX_LAG positions of it (and,
+    # for targets, the first row of the block after it), so the ordinary window
+    # expressions see every neighbour they need; halo rows are dropped afterwards.
+    pos = F.col("_pos")
+    main = positioned.withColumn("_blk", F.expr(f"_pos div {BLOCK_ROWS}")).withColumn("_halo", F.lit(False))
+    # A row serves positions pos+1 .. pos+MAX_LAG as a lag: copy it into every
+    # later block those positions fall into (one block when BLOCK_ROWS > MAX_LAG).
+    last_served = F.expr(f"(_pos + {MAX_LAG}) div {BLOCK_ROWS}")
+    parts = [
+        main,
+        main.filter(last_served > F.col("_blk"))
+        .withColumn("_blk", F.explode(F.sequence(F.col("_blk") + 1, last_served)))
+        .withColumn("_halo", F.lit(True)),
+    ]
     if with_targets:
-        for m in METRIC_COLS:
-            cols.append(F.col(f"{_nb(-1)}.{m}").alias(f"{m}_next"))
-    return rebuilt.select(mt, *[F.col(f"_row.{c}").alias(c) for c in own], *cols)
+        parts.append(
+            main.filter((pos % BLOCK_ROWS == 0) & (F.col("_blk") > 0))
+            .withColumn("_blk", F.col("_blk") - 1).withColumn("_halo", F.lit(True))
+        )
+    blocks = parts[0]
+    for extra in parts[1:]:
+        blocks = blocks.unionByName(extra)
+    feats = _window_features(blocks, roles, with_targets, partition=[mt, "_blk"], order=["_pos"])
+    return feats.filter(~F.col("_halo")).drop("_blk", "_halo", "_pos")
 
 
 # --------------------------------------------------------------------- the feature build

@@ -51,9 +51,12 @@ def test_category_codes_sorted_and_null(spark):
     assert sorted(set(rows(out, "loc", "loc_enc")), key=str) == sorted({("A", 0), ("B", 1), (None, -1)}, key=str)
 
 
-@pytest.mark.parametrize("threshold,chunk", [(0, 1 << 20), (10, 1 << 20), (0, 3)])
-def test_hot_meter_path_equals_window_path(spark, threshold, chunk, monkeypatch):
+@pytest.mark.parametrize(
+    "threshold,chunk,block", [(0, 1 << 20, 1 << 20), (10, 1 << 20, 1 << 20), (0, 3, 1 << 20), (0, 1 << 20, 4), (10, 3, 5)]
+)
+def test_hot_meter_path_equals_window_path(spark, threshold, chunk, block, monkeypatch):
     monkeypatch.setattr(ft, "CHUNK_KEYS", chunk)  # 3: many key chunks inside one meter-day
+    monkeypatch.setattr(ft, "BLOCK_ROWS", block)  # 4 / 5: blocks shorter than / equal to the halo
     rng = np.random.default_rng(5)
     data = []
     key = 0

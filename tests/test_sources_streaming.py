@@ -113,3 +113,15 @@ def test_export_filtered(spark, tmp_path):
     assert os.path.basename(path).startswith("meter_export_") and path.endswith("Z.csv")
     back = spark.read.option("header", True).csv(path)
     assert rows(back) == [("2020-02-01", "2", "B")]
+
+
+def test_refresh_from_uri(spark, tmp_path):
+    src = str(tmp_path / "export.parquet")
+    spark.createDataFrame(
+        [("05-Jan-20", 1, "A", "Resid [1]", "1", "2", "3")],
+        "chargedate string, meterid bigint, loc string, res string, kwh string, ghc string, paymoney string",
+    ).write.parquet(src)
+    assert sk.refresh_from_uri(spark, src, "t_refresh.sales") is True
+    assert rows(spark.table("t_refresh.sales"), "chargedate", "res_mapped", "kwh") == [(D(2020, 1, 5), "Residential", 1.0)]
+    assert sk.refresh_from_uri(spark, str(tmp_path / "missing.parquet"), "t_refresh.sales") is False
+    assert spark.table("t_refresh.sales").count() == 1

@@ -9,6 +9,12 @@ ends up holding the latest upload -- the source's replace semantics.
 
 A retried micro-batch writes a fresh staging folder and swaps again, so a
 failure between write and swap never leaves a half-written table.
+
+``delete_source=True`` removes ingested uploads (the source deletes each
+upload after ingest).  Spark removes a batch's files when the following
+batch commits, so after an ``available_now`` run the latest upload stays
+until the next run; a continuously running stream removes it on its next
+batch.
 """
 
 from __future__ import annotations

@@ -125,3 +125,16 @@ def test_refresh_from_uri(spark, tmp_path):
     assert rows(spark.table("t_refresh.sales"), "chargedate", "res_mapped", "kwh") == [(D(2020, 1, 5), "Residential", 1.0)]
     assert sk.refresh_from_uri(spark, str(tmp_path / "missing.parquet"), "t_refresh.sales") is False
     assert spark.table("t_refresh.sales").count() == 1
+
+
+def test_streaming_ingest_deletes_processed_uploads(spark):
+    d = tempfile.mkdtemp(prefix="mf-clean-")
+    now = time.time()
+    _write(os.path.join(d, "a.csv"), "05-Jan-20,1,A,N-Resid [0],1,2,3\n", now - 20)
+    _write(os.path.join(d, "b.csv"), "06-Jan-20,2,B,Resid [1],4,5,6\n", now - 10)
+    q = start_upload_ingest(spark, d, "t_clean.sales", delete_source=True)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    # the earlier upload is gone; the latest one is removed by the next batch
+    assert sorted(os.listdir(d)) == ["b.csv"]
+    assert rows(spark.table("t_clean.sales"), "meterid") == [(2,)]

@@ -42,9 +42,10 @@ def residence_code(segment) -> F.Column:
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = None) -> DataFrame:
     """Broadcast a dimension only after checking its size (reads at most
     max_rows + 1 rows); a larger one is returned as is, for a shuffled join."""
+    max_rows = DIMENSION_BROADCAST_ROWS if max_rows is None else max_rows
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 

@@ -138,3 +138,14 @@ def test_streaming_ingest_deletes_processed_uploads(spark):
     # the earlier upload is gone; the latest one is removed by the next batch
     assert sorted(os.listdir(d)) == ["b.csv"]
     assert rows(spark.table("t_clean.sales"), "meterid") == [(2,)]
+
+
+def test_adapter_without_dimension_broadcast(spark, sf_small, monkeypatch):
+    """Nation fails the size check -> plain join; same billing rows."""
+    from meterframe.sources import adapters
+
+    with_bc = adapters.sales_raw(spark, sf_small)
+    monkeypatch.setattr(adapters, "DIMENSION_BROADCAST_ROWS", 1)
+    plain = adapters.sales_raw(spark, sf_small)
+    assert adapters.broadcast_if_small(spark.range(5), 1) is not None
+    assert plain.exceptAll(with_bc).count() == 0 and with_bc.exceptAll(plain).count() == 0

@@ -147,5 +147,9 @@ def test_adapter_without_dimension_broadcast(spark, sf_small, monkeypatch):
     with_bc = adapters.sales_raw(spark, sf_small)
     monkeypatch.setattr(adapters, "DIMENSION_BROADCAST_ROWS", 1)
     plain = adapters.sales_raw(spark, sf_small)
-    assert adapters.broadcast_if_small(spark.range(5), 1) is not None
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+
+    assert hinted(adapters.broadcast_if_small(spark.range(5), 5))
+    assert not hinted(adapters.broadcast_if_small(spark.range(5), 4))
     assert plain.exceptAll(with_bc).count() == 0 and with_bc.exceptAll(plain).count() == 0

@@ -299,6 +299,36 @@ def describe_all(df: DataFrame, columns: Optional[Sequence[str]] = None) -> Data
     return out
 
 
+def _epoch_seconds_text(x):
+    """Epoch seconds (double) -> 'yyyy-MM-dd HH:mm:ss' by day / second arithmetic
+    (fractions of a second truncated; independent of the session time zone)."""
+    days = F.floor(x / F.lit(86400.0))
+    secs = F.floor(x - days * F.lit(86400.0)).cast("int")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("string")
+    return F.when(x.isNotNull(), F.concat(day, F.lit(" "), two(F.floor(secs / 3600)), F.lit(":"),
+                                          two(F.floor((secs % 3600) / 60)), F.lit(":"), two(secs % 60)))
+
+
+def describe_dates(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
+    """E27 for DATE columns: count, mean, min, exact quartiles, max as timestamps text
+    (pandas interpolates datetimes linearly, so quartiles can fall between days)."""
+    dcols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType) and (columns is None or f.name in columns)]
+    if not dcols:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, count double, mean string, min string, q25 string, q50 string, q75 string, max string")
+    secs = lambda c: F.unix_date(F.col(c)).cast("double") * F.lit(86400.0)
+    long = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), secs(c).alias("v")) for c in dcols])).alias("s")
+    ).select("s.*").filter(F.col("v").isNotNull())
+    stats = long.groupBy("column_name").agg(
+        F.count("v").cast("double").alias("count"), F.avg("v").alias("_mean"), F.min("v").alias("_min"), F.max("v").alias("_max"))
+    q = exact_percentiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"]).groupBy("column_name").agg(
+        *[F.max(F.when(F.col("percentage") == p, F.col("v"))).alias(n) for p, n in ((0.25, "_q25"), (0.5, "_q50"), (0.75, "_q75"))])
+    out = stats.join(q, "column_name", "left")
+    return out.select("column_name", "count", *[_epoch_seconds_text(F.col(f"_{n}")).alias(n) for n in ("mean", "min", "q25", "q50", "q75", "max")])
+
+
 # --------------------------------------------------------------------- distributions
 def _np_bin(v, lo, hi, bins: int):
     """numpy.histogram's bin index for equal-width bins over [lo, hi] (last bin closed)."""

@@ -420,6 +420,33 @@ def q_e27(spark, sf):
     return pr.describe_all(sales(spark, sf).drop("chargedate"))
 
 
+def _ts_text_sql(x: str) -> str:
+    days = f"floor(({x}) / 86400.0)"
+    secs = f"CAST(floor(({x}) - {days} * 86400.0) AS INTEGER)"
+    two = lambda e: f"lpad(CAST(CAST({e} AS INTEGER) AS VARCHAR), 2, '0')"
+    return (
+        f"CASE WHEN ({x}) IS NULL THEN NULL ELSE CAST(DATE '1970-01-01' + CAST({days} AS INTEGER) AS VARCHAR) || ' ' || "
+        f"{two(f'floor({secs} / 3600)')} || ':' || {two(f'floor(({secs} % 3600) / 60)')} || ':' || {two(f'{secs} % 60')} END"
+    )
+
+
+@register(
+    "e27_describe_dates",
+    with_sales(
+        "SELECT 'chargedate' AS column_name, CAST(COUNT(v) AS DOUBLE) AS count, "
+        + ", ".join(f"{_ts_text_sql(e)} AS {n}" for e, n in (
+            ("AVG(v)", "mean"), ("MIN(v)", "min"), ("quantile_cont(v, 0.25)", "q25"),
+            ("quantile_cont(v, 0.5)", "q50"), ("quantile_cont(v, 0.75)", "q75"), ("MAX(v)", "max")))
+        + " FROM d",
+        "d AS (SELECT CAST(epoch(chargedate) AS DOUBLE) AS v FROM sales WHERE chargedate IS NOT NULL)",
+    ),
+    doubles=["count"],
+)
+def q_e27d(spark, sf):
+    """describe(include='all') for the date column: timestamps text of mean, bounds, quartiles."""
+    return pr.describe_dates(sales(spark, sf))
+
+
 def _hist_sql(long_cte: str, bins: int = 50) -> str:
     step = f"((e.hi - e.lo) / {float(bins)})"
     return (

@@ -218,3 +218,13 @@ def test_endpoint_payloads(spark):
     assert ep.stats(df, {})["kwh"]["median"] == 3.0
     assert ep.summary(df, {"start_date": "2020-01-06"})["rows"] == 2
     assert ep.health(df) == {"status": "ok", "rows": 3, "cols": 6}
+
+
+def test_describe_dates_matches_pandas(spark):
+    days = [D(2020, 1, 1), D(2020, 1, 2), D(2020, 1, 4), D(2020, 1, 10), None]
+    pdf = pd.DataFrame({"d": pd.to_datetime(days)})
+    want = pdf["d"].describe()
+    got = rows(pr.describe_dates(spark.createDataFrame([(x,) for x in days], "d date")))[0]
+    fmt = lambda t: pd.Timestamp(t).strftime("%Y-%m-%d %H:%M:%S")
+    assert got == ("d", 4.0, fmt(want["mean"]), fmt(want["min"]), fmt(want["25%"]), fmt(want["50%"]), fmt(want["75%"]), fmt(want["max"]))
+    assert got[2] == "2020-01-04 06:00:00"

@@ -43,13 +43,14 @@ def main():
     ap = argparse.ArgumentParser()
     ap.add_argument("--sf", default="/root/testdata/sf0.01")
     ap.add_argument("--partitions", default="8")
+    ap.add_argument("--tz", default="UTC")
     ap.add_argument("names", nargs="*")
     a = ap.parse_args()
 
     from meterframe.session import build_session
     from meterframe.plans.registry import all_queries
 
-    spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": a.partitions, "spark.driver.memory": "8g"})
+    spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": a.partitions, "spark.driver.memory": "8g", "spark.sql.session.timeZone": a.tz})
     con = duckdb.connect()
     for t in TABLES:
         p = os.path.join(a.sf, f"{t}.parquet")

@@ -438,3 +438,48 @@ def fixed_sample(df: DataFrame, n: int = 5000, seed: int = 1, roles: Roles = DEF
     n rows, so the sample size, not the data, bounds the final merge.
     """
     return df.orderBy(F.xxhash64(F.col(roles.key), F.lit(seed)), F.col(roles.key)).limit(n)
+
+
+def exploration_report(df: DataFrame, roles: Roles = DEFAULT_ROLES, metric: str = "kwh") -> dict:
+    """The exploration sequence as named DataFrames.
+
+    Building the report runs only the small driver-side summaries that the
+    exact median and the density need (bounds, five statistics); every
+    result itself is lazy.
+
+    Schema and quality (E28, E26, E27), cleaning (B11/B3/B8), distributions and
+    correlation (E29, E25), time trends and coverage (E12, E13, F8, F9),
+    location / residence / seasonal / weekday profiles (E14-E19), meter activity
+    (E20-E22), per-meter variability (E23, E24, E31) and the scatter sample (H10).
+    """
+    from meterframe.operators.clean import eda_clean
+
+    clean = eda_clean(df, roles)
+    metrics = roles.present_metrics(clean.columns)
+    coverage = period_change(monthly_distinct_meters(clean, roles), "unique_meters", "month_end")
+    usage = meter_profile(clean, [metric], roles).filter(F.col(f"{metric}_count") > 5)
+    return {
+        "schema": schema_report(df),
+        "null_counts": null_counts(df),
+        "describe": describe_all(df),
+        "describe_dates": describe_dates(df),
+        "clean": clean,
+        "histograms": histogram(clean, metrics),
+        "correlation": correlation_matrix(clean, metrics),
+        "monthly_total": monthly_total(clean, metric, roles),
+        "monthly_meters": coverage,
+        "largest_drop": largest_drop(coverage),
+        "by_location": mean_by_location(clean, metric, roles),
+        "by_residence": mean_by_residence(clean, metric, roles),
+        "by_month": mean_by_month_number(clean, metric, roles),
+        "by_year": mean_by_year(clean, metric, roles),
+        "by_weekday": mean_by_weekday(clean, metric, roles),
+        "by_residence_weekend": mean_by_residence_weekend(clean, metric, roles),
+        "records_per_meter": records_per_meter(clean, roles),
+        "activity": activity_summary(clean, roles),
+        "records_by_location": records_by_location(clean, roles),
+        "meter_usage": usage,
+        "usage_summary": profile_summary(clean, metric, 5, roles),
+        "usage_density": density(usage, f"{metric}_mean"),
+        "sample": fixed_sample(clean, 5000, 1, roles),
+    }

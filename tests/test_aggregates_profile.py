@@ -228,3 +228,13 @@ def test_describe_dates_matches_pandas(spark):
     fmt = lambda t: pd.Timestamp(t).strftime("%Y-%m-%d %H:%M:%S")
     assert got == ("d", 4.0, fmt(want["mean"]), fmt(want["min"]), fmt(want["25%"]), fmt(want["50%"]), fmt(want["75%"]), fmt(want["max"]))
     assert got[2] == "2020-01-04 06:00:00"
+
+
+def test_exploration_report_runs(spark, sf_small):
+    from meterframe.sources.adapters import sales_table
+
+    rep = pr.exploration_report(sales_table(spark, sf_small))
+    assert len(rep) == 23
+    sizes = {k: v.count() for k, v in rep.items()}
+    assert sizes["by_weekday"] == 7 and sizes["largest_drop"] == 1 and sizes["usage_density"] == 200
+    assert sizes["clean"] > 0 and sizes["sample"] == min(5000, sizes["clean"])

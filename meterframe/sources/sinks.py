@@ -41,7 +41,9 @@ def replace_table(
     """(preprocess ->) date first -> validate -> staged write -> swap -> analyze.
 
     Returns the folder now backing the table.  ``partition_by`` (e.g. a year
-    column) enables partition pruning for date-bounded queries at scale.
+    column) enables partition pruning for date-bounded queries at scale.  The
+    previous folder is not deleted: readers that started before the swap may
+    still be scanning it, so its removal is left to the storage retention policy.
     """
     out = preprocess(df, roles) if clean else df
     validate_columns(out, [roles.date])

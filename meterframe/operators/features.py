@@ -115,14 +115,23 @@ def _derived(df: DataFrame) -> DataFrame:
     return out.withColumn("ghc_per_kwh", safe_ratio("ghc", "kwh")).withColumn("paymoney_ratio", safe_ratio("paymoney", "ghc"))
 
 
+_HOT: Dict[tuple, List] = {}
+
+
 def hot_meters(base: DataFrame, hot_key_rows: int, roles: Roles = DEFAULT_ROLES) -> List:
     """Meter ids with more than ``hot_key_rows`` rows (a partial + final count).
 
     Every such meter has more than hot_key_rows rows, so the list holds at most
     total_rows / hot_key_rows ids -- small enough for the driver and a broadcast.
+    Memoised per (application, input plan, threshold): the list only routes
+    meters between two paths that give identical results, so reuse is safe.
     """
-    counts = base.groupBy(roles.meter).agg(F.count(F.lit(1)).alias("_n"))
-    return [r[0] for r in counts.filter(F.col("_n") > hot_key_rows).select(roles.meter).collect()]
+    ids = base.select(roles.meter)
+    key = (base.sparkSession.sparkContext.applicationId, ids.semanticHash(), hot_key_rows)
+    if key not in _HOT:
+        counts = ids.groupBy(roles.meter).agg(F.count(F.lit(1)).alias("_n"))
+        _HOT[key] = [r[0] for r in counts.filter(F.col("_n") > hot_key_rows).select(roles.meter).collect()]
+    return _HOT[key]
 
 
 def _window_features(rows: DataFrame, roles: Roles, with_targets: bool, partition=None, order=None) -> DataFrame:

@@ -68,6 +68,7 @@ MAX_LAG = 5  # the widest frame (6 rows) reaches 5 rows back
 HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is used
 CHUNK_KEYS = 1 << 20  # key range of one positioning chunk (at most this many rows)
 BLOCK_ROWS = 1 << 20  # consecutive positions of one hot meter handled by one window partition
+MAX_HOT_IDS = 1_000_000  # size check of the broadcast hot-meter list
 
 
 # --------------------------------------------------------------------- category codes
@@ -130,7 +131,19 @@ def hot_meters(base: DataFrame, hot_key_rows: int, roles: Roles = DEFAULT_ROLES)
     key = (base.sparkSession.sparkContext.applicationId, ids.semanticHash(), hot_key_rows)
     if key not in _HOT:
         counts = ids.groupBy(roles.meter).agg(F.count(F.lit(1)).alias("_n"))
-        _HOT[key] = [r[0] for r in counts.filter(F.col("_n") > hot_key_rows).select(roles.meter).collect()]
+        # Largest first, at most MAX_HOT_IDS + 1 (a top-k, bounded per partition).
+        top = (
+            counts.filter(F.col("_n") > hot_key_rows)
+            .orderBy(F.col("_n").desc(), F.col(roles.meter))
+            .limit(MAX_HOT_IDS + 1)
+            .collect()
+        )
+        if len(top) > MAX_HOT_IDS:
+            # Size check failed: keep the meters strictly larger than the first
+            # one left out; the others stay on the window path.
+            cut = top[MAX_HOT_IDS]["_n"]
+            top = [r for r in top if r["_n"] > cut]
+        _HOT[key] = [r[0] for r in top]
     return _HOT[key]
 
 

@@ -15,9 +15,10 @@ Physical plan
   per meter; their ids (at most total_rows / hot_key_rows of them) come back
   to the driver and are broadcast, so neither the profile join nor a window
   ever groups a hot meter.  Without hot meters the plan is the window plan.
-  Hot rows get a position inside the meter from per-chunk counts (a chunk is
-  one day and one range of 2^20 keys; prefix sums over one row per chunk),
-  then the positions are cut into blocks of 2^20; each block also gets the
+  Hot rows get a position inside the meter from a range partitioning on
+  (meter, date, key) (row ids inside each sorted partition plus prefix sums
+  of the per-partition counts), then the positions are cut into blocks of
+  2^20; each block also gets the
   last five rows of the block before it (and the first row after it) as halo
   rows, and the ordinary window expressions run per (meter, block).  Work for one
   hot meter is spread over all tasks; no window groups more than one chunk.
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 
 from meterframe.functions.scalars import month_cos, month_sin, nan_to_null, safe_ratio
 from meterframe.schema import DEFAULT_ROLES, Roles
+from meterframe.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # Feature and target lists in the model's named order
@@ -66,7 +68,7 @@ FEATURES = (
 ROLLS = {"roll3": (3, 2), "roll6": (6, 3)}
 MAX_LAG = 5  # the widest frame (6 rows) reaches 5 rows back
 HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is used
-CHUNK_KEYS = 1 << 20  # key range of one positioning chunk (at most this many rows)
+RANGE_PARTITIONS = None  # range partitions of the hot rows (None: spark.sql.shuffle.partitions)
 BLOCK_ROWS = 1 << 20  # consecutive positions of one hot meter handled by one window partition
 MAX_HOT_IDS = 1_000_000  # size check of the broadcast hot-meter list
 
@@ -167,27 +169,35 @@ def _window_features(rows: DataFrame, roles: Roles, with_targets: bool, partitio
 
 
 def _positional_features(rows: DataFrame, roles: Roles, with_targets: bool) -> DataFrame:
-    """Hot meters: positions from per-chunk prefix sums, then windows per block of positions.
-
-    A chunk is (day, key div CHUNK_KEYS): contiguous in (date, key) order (the
-    truncating division is monotone) and, keys being unique, never more than
-    CHUNK_KEYS rows -- so no window below groups more than that, however many
-    rows one meter has on one day.  The prefix sum runs over one row per chunk.
+    """Hot meters: positions from a range partitioning, then windows per block of positions.
+
+    Positions: the rows are range-partitioned on (meter, date, key) -- balanced,
+    contiguous pieces of the global order, whatever the key values look like --
+    and sorted inside each partition, so ``monotonically_increasing_id`` is
+    consecutive there.  Each (meter, partition) pair contributes its count to a
+    prefix sum over the meter's partitions; that table has at most
+    partitions + hot meters rows, so it is broadcast by construction.  No
+    window ever holds a hot meter's rows.
     """
     mt, d, k = roles.meter, roles.date, roles.key
-    rows = rows.withColumn("_kb", F.expr(f"`{k}` div {CHUNK_KEYS}"))
-    per_chunk = rows.groupBy(mt, d, "_kb").agg(F.count(F.lit(1)).alias("_c"))
-    offsets = per_chunk.withColumn(
-        "_off",
-        F.coalesce(
-            F.sum("_c").over(Window.partitionBy(mt).orderBy(d, "_kb").rowsBetween(Window.unboundedPreceding, -1)),
-            F.lit(0),
-        ),
-    ).drop("_c")
+    n_parts = RANGE_PARTITIONS or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range boundaries come from sampling, and partition ids and row ids are
+    # physical: the stamped rows are checkpointed once (reliably, into the
+    # shared folder), so both uses below -- and any retry after a lost
+    # executor -- read the same values instead of re-sampling.
+    ranged = cut_lineage(
+        rows.repartitionByRange(n_parts, mt, d, k)
+        .sortWithinPartitions(mt, d, k)
+        .withColumn("_pid", F.spark_partition_id())
+        .withColumn("_id", F.monotonically_increasing_id())
+    )
+    pieces = ranged.groupBy(mt, "_pid").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(mt).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = pieces.select(mt, "_pid", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
     positioned = (
-        rows.join(offsets, [mt, d, "_kb"])
-        .withColumn("_pos", F.col("_off") + F.row_number().over(Window.partitionBy(mt, d, "_kb").orderBy(k)) - 1)
-        .drop("_off", "_kb")
+        ranged.join(F.broadcast(offsets), [mt, "_pid"])
+        .withColumn("_pos", F.col("_off") + F.col("_id") - F.col("_first"))
+        .drop("_pid", "_id", "_first", "_off")
     )
     # Blocks of BLOCK_ROWS consecutive positions; each block also receives, as
     # halo rows, the rows of earlier blocks within MAX_LAG positions of it (and,

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from meterframe.operators.filters import FilterParams, like_search, regex_search
 from meterframe.schema import DEFAULT_ROLES, FACET_CAP, METER_OPTIONS_CAP, SEARCH_LIMIT, Roles
+from meterframe.session import cut_lineage
 
 
 def _stack(df: DataFrame, facets: Sequence[str]) -> DataFrame:
@@ -32,7 +33,9 @@ def _ranked_positions(distinct: DataFrame, n_parts: int) -> DataFrame:
     earlier partitions of the same facet (a prefix sum over facets x
     partitions rows, broadcast by construction).
     """
-    ranged = distinct.repartitionByRange(n_parts, "facet", "value").withColumn("_pid", F.spark_partition_id())
+    # Range boundaries are sampled: checkpoint the stamped pairs once so both
+    # uses below (and any retry) see the same partition ids.
+    ranged = cut_lineage(distinct.repartitionByRange(n_parts, "facet", "value").withColumn("_pid", F.spark_partition_id()))
     local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", "facet").orderBy("value")))
     counts = ranged.groupBy("facet", "_pid").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy("facet").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -24,7 +24,7 @@ QUERIES = [
     ("e04_composition_top8_other", "Top 8 + remainder: TakeOrderedAndProject, one reused aggregation exchange, anti join against <= 8 labels."),
     ("h01_facets", "All facets from one scan; the meter list capped by a partial WindowGroupLimit before the shuffle."),
     ("k01_features", "Feature build: rows shuffled once by meterid; the window reuses the join's partitioning."),
-    ("k01_features_skew_path", "Hot meters: positions from chunk prefix sums, then the window expressions per block of positions with halo rows."),
+    ("k01_features_skew_path", "Hot meters: positions from a checkpointed range partitioning, then the window expressions per block of positions with halo rows."),
 ]
 
 

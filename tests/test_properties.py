@@ -72,3 +72,43 @@ def test_composition_matches_python(spark, rows):
     if len(ordered) > 8:
         want.append((8, "Other", sum(v for _, v in ordered[8:])))
     assert got == want
+
+
+@SETTINGS
+@given(rows=rows_st, freq=st.sampled_from(["D", "W", "M", "x"]))
+def test_bucketed_mean_matches_python(spark, rows, freq):
+    out = agg.bucketed_mean(_frame(spark, rows), FilterParams(freq=freq, metric="kwh")).collect()
+    got = {r["bucket"]: r["kwh"] for r in out}
+
+    def bucket(d):
+        if freq == "W":
+            return d - dt.timedelta(days=d.weekday())
+        if freq == "M":
+            return d.replace(day=1)
+        return d
+
+    groups = {}
+    for m, d, loc, v in rows:
+        groups.setdefault(bucket(d), []).append(v)
+    want = {}
+    for b, vs in groups.items():
+        vals = [v for v in vs if v is not None]
+        want[b] = sum(vals) / len(vals) if vals else 0.0
+    assert got.keys() == want.keys()
+    for b in want:
+        assert abs(got[b] - want[b]) <= 1e-9 * max(1.0, abs(want[b]))
+
+
+@SETTINGS
+@given(rows=rows_st, cap=st.integers(1, 6))
+def test_facets_match_python(spark, rows, cap):
+    from meterframe.operators import facets as fc
+
+    out = fc.facet_values(_frame(spark, rows), facets=["loc", "meterid"], caps={"meterid": cap}).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r["facet"], []).append((r["position"], r["value"]))
+    locs = sorted({loc for _, _, loc, _ in rows if loc is not None})
+    meters = sorted({str(m) for m, _, _, _ in rows})[:cap]
+    assert sorted(got.get("loc", [])) == list(enumerate(locs))
+    assert sorted(got.get("meterid", [])) == list(enumerate(meters))

@@ -137,3 +137,37 @@ def test_exact_percentiles_match_numpy_property(spark, values, pcts, accuracy, m
     assert got.keys() == want.keys()
     for k in want:
         assert abs(got[k] - want[k]) <= 1e-9 * max(1.0, abs(want[k]))
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    meters=st.lists(
+        st.lists(st.tuples(st.integers(0, 15), st.one_of(st.none(), st.integers(0, 9).map(float))), min_size=1, max_size=25),
+        min_size=1, max_size=4,
+    ),
+    parts=st.integers(1, 6),
+    block=st.integers(1, 9),
+    threshold=st.integers(0, 12),
+)
+def test_hot_path_matches_window_path_property(spark, meters, parts, block, threshold):
+    import pandas as pd
+
+    from meterframe.operators import features as ft
+
+    data, key = [], 0
+    for m, series in enumerate(meters):
+        for day, v in series:
+            data.append((key, m, D(2020, 1, 1) + dt.timedelta(days=day), "L", "R", v, None if v is None else v * 2, 1.0))
+            key += 1
+    df = spark.createDataFrame(data, "key bigint, meterid bigint, chargedate date, loc string, res string, "
+                                     "kwh double, ghc double, paymoney double")
+    old = (ft.RANGE_PARTITIONS, ft.BLOCK_ROWS)
+    ft.RANGE_PARTITIONS, ft.BLOCK_ROWS = parts, block
+    try:
+        a = ft.build_features(df, with_targets=True, drop_incomplete=False, hot_key_rows=None).toPandas()
+        b = ft.build_features(df, with_targets=True, drop_incomplete=False, hot_key_rows=threshold).toPandas()
+    finally:
+        ft.RANGE_PARTITIONS, ft.BLOCK_ROWS = old
+    a = a.sort_values("key").reset_index(drop=True)
+    b = b.sort_values("key").reset_index(drop=True)
+    pd.testing.assert_frame_equal(a, b)

@@ -43,9 +43,8 @@ def main() -> int:
 
     spark = build_session("local[8]", conf={"spark.sql.shuffle.partitions": "32", "spark.driver.memory": "16g"})
     base = sales_table(spark, a.sf)
-    copies = spark.range(a.copies).withColumnRenamed("id", "_c")
-    # Cross product with a tiny generated range: replication, not a join of data.
-    big = base.join(F.broadcast(copies), how="cross").select(
+    # Replicate each row N times by exploding a generated sequence (no join).
+    big = base.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a.copies - 1).cast("long")))).select(
         (F.col("key") + F.col("_c") * F.lit(10**9)).alias("key"),
         (F.col("meterid") + F.col("_c") * F.lit(10**8)).alias("meterid"),
         "chargedate", "loc", "res", "kwh", "ghc", "paymoney", "res_mapped",

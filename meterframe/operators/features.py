@@ -235,6 +235,7 @@ def build_features(
     with_targets: bool = False,
     drop_incomplete: bool = True,
     hot_key_rows: Optional[int] = HOT_KEY_ROWS,
+    profile_before=None,
 ) -> DataFrame:
     """K1: the 47 model features per row (and optionally the next-period targets).
 
@@ -244,6 +245,9 @@ def build_features(
     safe ratios (F11, I8) -> drop rows without lag 3 (B3).  With
     ``with_targets`` the next row's metrics (F2) are attached before the drop.
     Row lags are row lags: a skipped month still yields the previous row.
+    The per-meter profile uses the meter's whole as-of history (parity with the
+    source, which lets later rows into earlier rows' profile); ``profile_before``
+    restricts it to rows dated before that day, for look-ahead-free validation.
     """
     mt, d = roles.meter, roles.date
     base = df.filter(F.col(d) <= F.lit(as_of)) if as_of is not None else df
@@ -262,7 +266,8 @@ def build_features(
     prof_aggs = [F.count(F.lit(1)).alias("_rows")]
     for m in METRIC_COLS:
         prof_aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.count(m).alias(f"{m}_count")]
-    profile = base.groupBy(mt).agg(*prof_aggs)
+    prof_rows = base.filter(F.col(d) < F.lit(profile_before)) if profile_before is not None else base
+    profile = prof_rows.groupBy(mt).agg(*prof_aggs)
     if hot_key_rows is None:
         feats = _window_features(base.join(profile, mt, "left"), roles, with_targets)
     elif hot_key_rows <= 0:
@@ -280,7 +285,9 @@ def build_features(
             ordinary = _window_features(
                 base.join(F.broadcast(hot), mt, "left_anti").join(profile, mt, "left"), roles, with_targets
             )
-            hot_rows = _positional_features(base.join(F.broadcast(hot_profile), mt, "inner"), roles, with_targets)
+            hot_rows = _positional_features(
+                base.join(F.broadcast(hot), mt, "inner").join(F.broadcast(hot_profile), mt, "left"), roles, with_targets
+            )
             feats = ordinary.unionByName(hot_rows)
     feats = _derived(feats).drop("_rows")
     if drop_incomplete:

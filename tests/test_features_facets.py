@@ -254,3 +254,17 @@ def test_hot_path_on_warehouse_data_equals_window_path(spark):
     a = a.sort_values("key").reset_index(drop=True)
     b = b.sort_values("key").reset_index(drop=True)
     pd.testing.assert_frame_equal(a, b)
+
+
+@pytest.mark.parametrize("threshold", [None, 0, 3])
+def test_profile_before_cutoff(spark, threshold):
+    data = _series(1, [1.0, 2.0, 3.0, 4.0, 100.0, 200.0]) + _series(2, [5.0] * 5, 100)
+    # meter 3 has rows only after the cutoff: it must keep its rows, with an empty profile
+    data += [(300 + i, 3, D(2021, 1 + i, 1), "A", "N-Resid [0]", 9.0, 18.0, 9.0) for i in range(4)]
+    df = spark.createDataFrame(data, SCHEMA)
+    cut = D(2020, 5, 1)  # meter 1's first four rows are before it
+    out = ft.build_features(df, profile_before=cut, drop_incomplete=False, hot_key_rows=threshold)
+    got = {r["key"]: (r["meterid"], r["kwh_mean"], r["kwh_count"]) for r in out.collect()}
+    assert len(got) == len(data)
+    assert {v for k, v in got.items() if v[0] == 1} == {(1, 2.5, 4)}
+    assert {v for k, v in got.items() if v[0] == 3} == {(3, None, None)}

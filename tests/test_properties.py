@@ -22,7 +22,7 @@ rows_st = st.lists(
     min_size=0,
     max_size=40,
 )
-SETTINGS = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+SETTINGS = settings(max_examples=15, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 
 
 def _frame(spark, rows):
@@ -114,7 +114,7 @@ def test_facets_match_python(spark, rows, cap):
     assert sorted(got.get("meterid", [])) == list(enumerate(meters))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=12, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(
     values=st.lists(st.tuples(st.integers(0, 2), st.integers(-5, 40).map(float)), min_size=1, max_size=120),
     pcts=st.lists(st.sampled_from([0.0, 0.1, 0.25, 0.5, 0.64, 0.9, 1.0]), min_size=1, max_size=3, unique=True),
@@ -139,7 +139,7 @@ def test_exact_percentiles_match_numpy_property(spark, values, pcts, accuracy, m
         assert abs(got[k] - want[k]) <= 1e-9 * max(1.0, abs(want[k]))
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@settings(max_examples=8, deadline=None, derandomize=True, suppress_health_check=list(HealthCheck))
 @given(
     meters=st.lists(
         st.lists(st.tuples(st.integers(0, 15), st.one_of(st.none(), st.integers(0, 9).map(float))), min_size=1, max_size=25),

@@ -416,10 +416,19 @@ def density(values: DataFrame, column: str, gridsize: int = 200, cut: float = 3.
     )
 
 
-def percentile_under_filter(df: DataFrame, column: str, p: float, predicate=None) -> DataFrame:
-    """Exact linear-interpolation percentile of a column under an equality filter."""
+def percentile_under_filter(df: DataFrame, column: str, p: float, predicate=None, exact: bool = True,
+                            accuracy: int = 10000) -> DataFrame:
+    """Linear-interpolation percentile of a column under an equality filter.
+
+    Exact by default (distributed, see ``exact_percentiles``); ``exact=False``
+    uses Spark's ``percentile_approx`` (a value of the column, rank error at
+    most n / accuracy) in one pass.
+    """
     base = df.filter(predicate) if predicate is not None else df
-    return exact_percentiles(base, column, [p]).select(F.col(column).alias(f"{column}_p{int(round(p * 100))}"))
+    name = f"{column}_p{int(round(p * 100))}"
+    if not exact:
+        return base.agg(F.percentile_approx(nan_to_null(F.col(column).cast("double")), p, accuracy).alias(name))
+    return exact_percentiles(base, column, [p]).select(F.col(column).alias(name))
 
 
 def date_text_bounds(df: DataFrame, roles: Roles = DEFAULT_ROLES, fmt: str = "dd-MMM-yy") -> DataFrame:

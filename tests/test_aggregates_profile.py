@@ -238,3 +238,14 @@ def test_exploration_report_runs(spark, sf_small):
     sizes = {k: v.count() for k, v in rep.items()}
     assert sizes["by_weekday"] == 7 and sizes["largest_drop"] == 1 and sizes["usage_density"] == 200
     assert sizes["clean"] > 0 and sizes["sample"] == min(5000, sizes["clean"])
+
+
+def test_approximate_options(spark):
+    df = spark.createDataFrame([(float(i), i % 7, "L" + str(i % 3)) for i in range(1, 101)], "kwh double, meterid bigint, loc string")
+    exact = rows(pr.percentile_under_filter(df, "kwh", 0.5))[0][0]
+    approx = rows(pr.percentile_under_filter(df, "kwh", 0.5, exact=False))[0][0]
+    assert exact == 50.5 and approx in (50.0, 51.0)  # approx returns a value of the column
+    summary = rows(agg.dataset_summary(df, approximate=True), "meters", "locations")
+    assert summary == [(7, 3)]
+    med = {r["metric"]: r["median"] for r in agg.metric_stats(df, exact_median=False).collect()}
+    assert med["kwh"] in (50.0, 51.0)

@@ -234,10 +234,20 @@ def schema_report(df: DataFrame) -> DataFrame:
     return wide.selectExpr(f"stack({len(fields)}, {stack}) as (position, column_name, data_type, non_null)")
 
 
-def describe_all(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
+def _quartiles(long: DataFrame, exact: bool) -> DataFrame:
+    """(column_name, percentage, v) for the three quartiles, exact or sketched."""
+    if exact:
+        return exact_percentiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"])
+    q = long.groupBy("column_name").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("_q"))
+    return q.select("column_name", F.posexplode("_q").alias("_i", "v")).select(
+        "column_name", F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_i") + 1).alias("percentage"), "v")
+
+
+def describe_all(df: DataFrame, columns: Optional[Sequence[str]] = None, exact: bool = True) -> DataFrame:
     """describe(include='all') for numeric and text columns, one row per column.
 
-    Numeric: count, mean, std, min, exact quartiles, max.  Text: count,
+    Numeric: count, mean, std, min, quartiles (exact; ``exact=False`` uses
+    the one-pass sketch like Spark's ``summary``), max.  Text: count,
     unique, top (most frequent; smallest value on ties) and its frequency.
     Like the pandas table, every statistic is a float (count included).
     """
@@ -262,7 +272,7 @@ def describe_all(df: DataFrame, columns: Optional[Sequence[str]] = None) -> Data
         values = df.select(
             F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in num])).alias("s")
         ).select("s.*")
-        q = exact_percentiles(values, "v", [0.25, 0.5, 0.75], by=["column_name"])
+        q = _quartiles(values, exact)
         qw = q.groupBy("column_name").agg(
             F.max(F.when(F.col("percentage") == 0.25, F.col("v"))).alias("q25"),
             F.max(F.when(F.col("percentage") == 0.5, F.col("v"))).alias("q50"),
@@ -310,7 +320,7 @@ def _epoch_seconds_text(x):
                                           two(F.floor((secs % 3600) / 60)), F.lit(":"), two(secs % 60)))
 
 
-def describe_dates(df: DataFrame, columns: Optional[Sequence[str]] = None) -> DataFrame:
+def describe_dates(df: DataFrame, columns: Optional[Sequence[str]] = None, exact: bool = True) -> DataFrame:
     """E27 for DATE columns: count, mean, min, exact quartiles, max as timestamps text
     (pandas interpolates datetimes linearly, so quartiles can fall between days)."""
     dcols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType) and (columns is None or f.name in columns)]
@@ -323,7 +333,7 @@ def describe_dates(df: DataFrame, columns: Optional[Sequence[str]] = None) -> Da
     ).select("s.*").filter(F.col("v").isNotNull())
     stats = long.groupBy("column_name").agg(
         F.count("v").cast("double").alias("count"), F.avg("v").alias("_mean"), F.min("v").alias("_min"), F.max("v").alias("_max"))
-    q = exact_percentiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"]).groupBy("column_name").agg(
+    q = _quartiles(long, exact).groupBy("column_name").agg(
         *[F.max(F.when(F.col("percentage") == p, F.col("v"))).alias(n) for p, n in ((0.25, "_q25"), (0.5, "_q50"), (0.75, "_q75"))])
     out = stats.join(q, "column_name", "left")
     return out.select("column_name", "count", *[_epoch_seconds_text(F.col(f"_{n}")).alias(n) for n in ("mean", "min", "q25", "q50", "q75", "max")])

@@ -249,3 +249,12 @@ def test_approximate_options(spark):
     assert summary == [(7, 3)]
     med = {r["metric"]: r["median"] for r in agg.metric_stats(df, exact_median=False).collect()}
     assert med["kwh"] in (50.0, 51.0)
+
+
+def test_describe_approximate_quartiles(spark):
+    pdf = pd.DataFrame({"kwh": [float(i) for i in range(1, 102)]})
+    df = spark.createDataFrame(pdf)
+    exact = rows(pr.describe_all(df), "q25", "q50", "q75")[0]
+    approx = rows(pr.describe_all(df, exact=False), "q25", "q50", "q75")[0]
+    assert exact == (26.0, 51.0, 76.0)
+    assert all(abs(a - e) <= 1.0 for a, e in zip(approx, exact))

@@ -161,8 +161,9 @@ def activity_summary(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
 
 
 def _join_one_row(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates side by side (equi-join on a constant)."""
-    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    """Put a (possibly empty) single-row result next to a single-row aggregate
+    (left equi-join on a constant, so an empty ``b`` gives nulls, not no row)."""
+    return a.withColumn("_one", F.lit(1)).join(F.broadcast(b.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
 
 
 def records_by_location(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:

@@ -258,3 +258,8 @@ def test_describe_approximate_quartiles(spark):
     approx = rows(pr.describe_all(df, exact=False), "q25", "q50", "q75")[0]
     assert exact == (26.0, 51.0, 76.0)
     assert all(abs(a - e) <= 1.0 for a, e in zip(approx, exact))
+
+
+def test_activity_summary_empty(spark):
+    df = spark.createDataFrame([], "meterid bigint")
+    assert rows(pr.activity_summary(df)) == [(0, None, None, None, None)]

@@ -576,3 +576,40 @@ def q_h01r(spark, sf):
     """Facets named in the request: a category column and an uncapped id column
     (ranked with distributed positions, not one task per facet)."""
     return fc.facet_values(sales(spark, sf), FACET_PARAMS, facets=["RES", "key"], caps={"key": None})
+
+
+_PER_USER = "per AS (SELECT meterid, COUNT(*) AS records FROM event_sales WHERE meterid IS NOT NULL GROUP BY meterid)"
+
+
+@register("e20_records_per_meter_events", with_events("SELECT * FROM per", _PER_USER))
+def q_e20e(spark, sf):
+    """Events per user (the meter role), descending."""
+    return pr.records_per_meter(event_sales(spark, sf))
+
+
+@register(
+    "e21_activity_summary_events",
+    with_events(
+        "SELECT COUNT(*) AS meters, AVG(records) AS mean_records, median(CAST(records AS DOUBLE)) AS median_records, "
+        "(SELECT meterid FROM per ORDER BY records DESC, meterid ASC LIMIT 1) AS top_meterid, "
+        "(SELECT records FROM per ORDER BY records DESC, meterid ASC LIMIT 1) AS top_records FROM per",
+        _PER_USER,
+    ),
+    doubles=["mean_records", "median_records"],
+)
+def q_e21e(spark, sf):
+    """Activity summary of the event table."""
+    return pr.activity_summary(event_sales(spark, sf))
+
+
+@register(
+    "e23_meter_profile_events",
+    with_events(
+        "SELECT meterid, AVG(kwh) AS kwh_mean, stddev_samp(kwh) AS kwh_std, COUNT(kwh) AS kwh_count "
+        "FROM event_sales WHERE meterid IS NOT NULL GROUP BY meterid"
+    ),
+    doubles=["kwh_mean", "kwh_std"],
+)
+def q_e23e(spark, sf):
+    """Per-user mean, sample std and count of event values."""
+    return pr.meter_profile(event_sales(spark, sf), ["kwh"])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE = 400
+SALTS = 40
 DICT_BYTES = 96 << 10
 PIECE = 512
 LEVEL = 9
@@ -49,9 +50,12 @@ def held_out() -> F.Column:
 def training_texts(docs: DataFrame) -> DataFrame:
     """lang, n (labelled rows of it), text: cuts of the sampled texts of each language, 2 * DICT_BYTES a language."""
     rows = docs.filter("lang is not null and doc_id is not null and length(text) > 0").filter(~held_out())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # Ids first: the rank limit runs inside each task before anything is shuffled.
-    ids = rows.select("doc_id", "lang").withColumn("_k", F.row_number().over(by_hash)).filter(F.col("_k") <= SAMPLE)
+    # Ids first: the rank limit runs inside each task before anything is shuffled, and each language is
+    # drawn from in SALTS classes of the hash, so a language with most rows is not ranked in one task.
+    key = F.xxhash64("doc_id")
+    by_hash = Window.partitionBy("lang", "_c").orderBy("_h", "doc_id")
+    ids = rows.select("doc_id", "lang", key.alias("_h"), F.pmod(key, F.lit(SALTS)).alias("_c"))
+    ids = ids.withColumn("_k", F.row_number().over(by_hash)).filter(F.col("_k") <= SAMPLE // SALTS)
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     ids = ids.select("doc_id")
     share = F.greatest(F.lit(512), F.ceil(F.lit(2 * DICT_BYTES) / F.least(F.col("n"), F.lit(SAMPLE)))).cast("int")

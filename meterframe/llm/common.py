@@ -58,6 +58,23 @@ def attach(left: DataFrame, stats: DataFrame, key: str, weight: str, total: int)
     return out.select(*[F.col(c) for c in left.columns], *[got[c].alias(c) for c in cols])
 
 
+def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, out: int, bound: int) -> DataFrame:
+    """doc_id, label of at most ``bound`` labelled documents that are not held out, lowest hash first.
+
+    A row is held out where crc32(doc_id as text) mod ``modulus`` is ``out``.  Of contradicting labels of
+    one id the larger counts; null ids and labels are passed over.
+    """
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).filter(crc % modulus != out)
+    rows = rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+
+
+def is_held_out(modulus: int, out: int) -> Column:
+    """Whether crc32(doc_id as text) mod ``modulus`` is ``out``; false for a null id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == out, F.lit(False))
+
+
 # --- word hashing on Arrow string buffers -------------------------------------------------
 
 _rng = np.random.default_rng(20240229)
@@ -80,6 +97,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def letters_only() -> np.ndarray:
+    """Separator table for words of letters: everything in ASCII but A-Z and a-z separates."""
+    sep = np.ones(256, dtype=bool)
+    sep[65:91] = sep[97:123] = sep[128:] = False
+    return sep
+
+
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; nulls become empty texts."""
     if isinstance(col, pa.ChunkedArray):
@@ -102,10 +126,11 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
         i = j
 
 
-def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
+def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = _SPACE):
     """(hash, start, end, first) of all words of the texts ``raw[offsets[i]:offsets[i+1]]``.
 
     ``first[i]:first[i+1]`` are the words of text i; starts and ends are byte positions in ``raw``.
+    ``space`` marks the bytes that separate words.
     """
     base = offsets[0]
     data = raw[base : offsets[-1]]
@@ -114,7 +139,7 @@ def words(raw: np.ndarray, offsets: np.ndarray, lower: bool = False):
     if n == 0:
         e = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), e, e, np.zeros(len(off), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     begin = solid.copy()
     begin[1:] &= ~solid[:-1]
     finish = solid.copy()

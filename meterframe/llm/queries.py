@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meterframe.llm import exact_dedup, language_id, mixing, token_counts, url_filter
+from meterframe.llm import exact_dedup, language_id, mixing, quality, token_counts, toxicity, url_filter
 from meterframe.llm.common import documents
 
 
@@ -29,6 +29,12 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+def op2_quality(spark, sf_dir):
+    """Every document scored by the additive model fitted on the labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    return quality.score(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op3_mix_sources(spark, sf_dir):
     """All documents mixed to 150 % of their words, weights 3, 1, 2, at most twice each source."""
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
@@ -88,11 +94,19 @@ def op8_url_filter(spark, sf_dir):
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op9_toxicity(spark, sf_dir):
+    """Every document scored by the convolutional network fitted on the labels that are not held out."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality": op2_quality,
     "op3_mix_sources": op3_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterframe.session import scratch_path
 
@@ -75,6 +76,22 @@ def is_held_out(modulus: int, out: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == out, F.lit(False))
 
 
+def from_text(docs: DataFrame, compute, added: str) -> DataFrame:
+    """All columns of ``docs`` and those of the DDL ``added``, which ``compute(text column)`` returns as a
+    list of Arrow arrays.  Columns of ``docs`` with the added names are replaced."""
+    fields = T.StructType.fromDDL(added).fields
+    new = [f.name for f in fields]
+    names = [c for c in docs.columns if c not in new]
+    kept = docs.select(*[F.col(f"`{c}`") for c in names])
+    schema = T.StructType(list(kept.schema.fields) + fields)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + compute(b.column("text")), names=names + new)
+
+    return kept.mapInArrow(run, schema)
+
+
 # --- word hashing on Arrow string buffers -------------------------------------------------
 
 _rng = np.random.default_rng(20240229)

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterframe.llm.common import from_text
+
 SAMPLE = 400
 SALTS = 40
 DICT_BYTES = 96 << 10
@@ -120,19 +122,13 @@ def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN) -> Data
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(train(docs) if dictionaries is None else dictionaries)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score", "accepted")]
-    kept = docs.select(*names)
-    # The Python side gets the columns that the result needs and appends three.
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
 
-    def run(batches):
+    def compute(col):
         judge = Compressors(shared.value).judge
-        for b in batches:
-            got = [judge(t.as_py()) for t in b.column("text")]
-            lang = pa.array([g[0] for g in got], pa.string())
-            score = pa.array([g[1] for g in got], pa.float64())
-            ok = pa.array([g[0] != UNDETERMINED and g[1] >= margin for g in got], pa.bool_())
-            cols = [b.column(n) for n in names] + [lang, score, ok]
-            yield pa.RecordBatch.from_arrays(cols, names=names + ["lang_pred", "score", "accepted"])
-
-    return kept.mapInArrow(run, f"{schema}, lang_pred string, score double, accepted boolean")
+        got = [judge(t.as_py()) for t in col]
+        lang = pa.array([g[0] for g in got], pa.string())
+        score = pa.array([g[1] for g in got], pa.float64())
+        ok = pa.array([g[0] != UNDETERMINED and g[1] >= margin for g in got], pa.bool_())
+        return [lang, score, ok]
+
+    return from_text(docs, compute, "lang_pred string, score double, accepted boolean")

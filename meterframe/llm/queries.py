@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meterframe.llm import exact_dedup, language_id, mixing, quality, token_counts, toxicity, url_filter
+from meterframe.llm import decontaminate, exact_dedup, language_id, mixing, quality, token_counts, toxicity, url_filter
 from meterframe.llm.common import documents
 
 
@@ -78,6 +78,11 @@ FROM c
 """
 
 
+def op4_decontaminate(spark, sf_dir):
+    """Every document that copies a benchmark item, with the item and the alignment."""
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_token_counts(spark, sf_dir):
     """Totals for every context limit from the histogram of encoded lengths."""
     return token_counts.limits(token_counts.length_histogram(documents(spark, sf_dir)))
@@ -104,6 +109,7 @@ QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
     "op3_mix_sources": op3_mix_sources,
+    "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,

@@ -1,6 +1,6 @@
 """Benchmark decontamination: rare word-pair seeds join documents to test items, Smith-Waterman scores them.
 
-Words are runs of letters (A-Z lower-cased), so punctuation and layout edits do not matter.  The document
+Words are runs of lower-cased letters, so punctuation, case and layout edits do not matter.  The document
 frequency of every word pair of the test items is counted over all documents; the rarer half of each
 item's pairs (ties with the median included) are its seeds.  Where a document holds a seed, the stretch
 of text that the item would cover there, with half its length to spare on either side, is aligned with
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ _LEAK = "array<struct<item_id:bigint,score:double,begin:int,end:int>>"
 
 def _word_hashes(col):
     """(hash of every word, first word of each text), slice by slice of the batch."""
-    raw, off = text_buffers(col)
+    raw, off = text_buffers(pc.utf8_lower(col))
     for i, j in slices(off):
         h, _, _, first = words(raw, off[i : j + 1], lower=True, space=letters_only())
         yield i, j, h, first

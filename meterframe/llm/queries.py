@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meterframe.llm import decontaminate, exact_dedup, language_id, mixing, quality, token_counts, toxicity, url_filter
+from meterframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality, token_counts, toxicity, url_filter
 from meterframe.llm.common import documents
 
 
@@ -105,6 +105,11 @@ def op9_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    """Component of every document under links of Jaccard similarity 0.75 or more."""
+    return jaccard_join.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -114,5 +119,6 @@ QUERIES = {
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meterframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality, token_counts, toxicity, url_filter
+from meterframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality, substring_dedup, token_counts, toxicity, url_filter
 from meterframe.llm.common import documents
 
 
@@ -88,6 +88,12 @@ def op5_token_counts(spark, sf_dir):
     return token_counts.limits(token_counts.length_histogram(documents(spark, sf_dir)))
 
 
+def op6_substring_dedup(spark, sf_dir):
+    """Every document without the words that repeated 35-word windows cover."""
+    d = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_language_id(spark, sf_dir):
     """The language whose dictionary compresses each text best."""
     d = language_id.identify(documents(spark, sf_dir))
@@ -116,6 +122,7 @@ QUERIES = {
     "op3_mix_sources": op3_mix_sources,
     "op4_decontaminate": op4_decontaminate,
     "op5_token_counts": op5_token_counts,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_language_id": op7_language_id,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,

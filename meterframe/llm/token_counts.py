@@ -27,7 +27,7 @@ VOCAB_BYTES = 16 << 20
 #: How a byte-level BPE of this family splits text before merging (a fixed value of the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths per range of the suffix sums.
-RANGE = 4096
+RANGE = 256
 
 _ENCODERS: dict = {}
 

@@ -198,9 +198,9 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         yield sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` and ``leaks``: the items each document copies, with score and word span."""
-    out = docs.drop("leaks").withColumn("leaks", F.expr(f"cast(array() as {_LEAK})"))
+def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, into: str = "leaks") -> DataFrame:
+    """All columns of ``docs`` and ``into``: the items each document copies, with score and word span."""
+    out = docs.drop(into).withColumn(into, F.expr(f"cast(array() as {_LEAK})"))
     for rows in blocks(benchmark, block_words):
         items = Items(rows)
         if not items.words:
@@ -214,8 +214,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
             return [pa.array(got, kind)]
 
-        out = from_text(out.withColumnRenamed("leaks", "_before"), compute, f"leaks {_LEAK}")
-        out = out.withColumn("leaks", F.concat("_before", "leaks")).drop("_before")
+        out = from_text(out, compute, f"_found {_LEAK}").withColumn(into, F.concat(into, "_found")).drop("_found")
     return out
 
 

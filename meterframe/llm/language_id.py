@@ -115,8 +115,8 @@ class Compressors:
         return self.langs[best], float(1 - s[best] / rest.min()) if len(rest) else 1.0
 
 
-def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN) -> DataFrame:
-    """All columns of ``docs`` with lang_pred, score (the margin, 0 to 1) and accepted.
+def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN, prefix: str = "") -> DataFrame:
+    """All columns of ``docs`` with lang_pred, score (the margin, 0 to 1) and accepted, named with ``prefix``.
 
     Columns of those names that ``docs`` already has are replaced.
     """
@@ -131,4 +131,4 @@ def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN) -> Data
         ok = pa.array([g[0] != UNDETERMINED and g[1] >= margin for g in got], pa.bool_())
         return [lang, score, ok]
 
-    return from_text(docs, compute, "lang_pred string, score double, accepted boolean")
+    return from_text(docs, compute, f"`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}accepted` boolean")

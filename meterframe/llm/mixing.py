@@ -108,7 +108,15 @@ def position(demand: Column) -> Column:
     u = F.when(F.col("target") > 0, demand / F.col("target")).otherwise(F.lit(0.0))
     a = F.col("slope")
     root = F.sqrt(F.greatest(F.lit(0.0), (1 - a) * (1 - a) + 4 * a * u))
-    return F.when(F.abs(a) < 1e-9, u).otherwise((root - (1 - a)) / (2 * a))
+    return F.when(F.abs(a) < 1e-9, u).otherwise((root - (1 - a)) / (2 * a)) + F.lit(0.0)
+
+
+def positions(max_repeats: int = 2) -> Column:
+    """The training positions of a planned document's copies, in order (``plan``'s columns)."""
+    whole = F.floor("target").cast("long")
+    each = [(F.col("source_size") * F.lit(k) + F.col("begin")) for k in range(max_repeats)]
+    at = F.array(*[F.when((F.col("size") > 0) & (d < whole), position(d)) for d in each])
+    return F.filter(at, lambda x: x.isNotNull())
 
 
 def curriculum(plan_df: DataFrame, max_repeats: int = 2) -> DataFrame:

@@ -9,7 +9,8 @@ dictionary.
 
 The margin is the gap between the smallest and second smallest sum as a share of the smaller;
 ``accepted`` is false below ``MARGIN`` and where there is no language.  Sizes are whole bytes, so short
-texts can tie; a tie is first put to the sizes of the words compressed one by one.
+texts can tie; a tie is first put to the sizes of the words compressed one by one, and texts below
+``SHORT`` compressed bytes, where one byte is more than any narrow margin, are accepted.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0.  Ties go to the language
 with more training documents, then by name.  With no labelled rows everything is ``und``.  Repeated rows
@@ -34,6 +35,8 @@ PIECE = 512
 LEVEL = 9
 #: Languages the operator takes; so many dictionaries of DICT_BYTES are broadcast at most.
 MAX_LANGUAGES = 200
+#: Texts that compress below so many bytes are too short to show a margin in whole bytes; they are accepted.
+SHORT = 48
 #: Smallest share by which the second language must compress worse.
 MARGIN = 0.0005
 UNDETERMINED = "und"
@@ -102,17 +105,18 @@ class Compressors:
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
         return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.each], float)
 
-    def judge(self, text) -> tuple[str, float]:
-        """(language, margin)."""
+    def judge(self, text, margin: float = MARGIN) -> tuple[str, float, bool]:
+        """(language, margin, accepted)."""
         s = self.sizes(text) if text and self.each else np.zeros(0)
         if not len(s):
-            return UNDETERMINED, 0.0
+            return UNDETERMINED, 0.0, False
         if (s == s.min()).sum() > 1:
             # Sizes are whole bytes, so short texts tie: let the words, compressed alone, decide.
             s = s + np.array([sum(len(c.compress(w)) for w in normalise(text).encode().split()) for c in self.each], float)
         best = int(s.argmin())
         rest = np.delete(s, best)
-        return self.langs[best], float(1 - s[best] / rest.min()) if len(rest) else 1.0
+        gap = float(1 - s[best] / rest.min()) if len(rest) else 1.0
+        return self.langs[best], gap, gap >= margin or s[best] < SHORT
 
 
 def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN, prefix: str = "") -> DataFrame:
@@ -125,10 +129,10 @@ def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN, prefix:
 
     def compute(col):
         judge = Compressors(shared.value).judge
-        got = [judge(t.as_py()) for t in col]
+        got = [judge(t.as_py(), margin) for t in col]
         lang = pa.array([g[0] for g in got], pa.string())
         score = pa.array([g[1] for g in got], pa.float64())
-        ok = pa.array([g[0] != UNDETERMINED and g[1] >= margin for g in got], pa.bool_())
+        ok = pa.array([g[2] for g in got], pa.bool_())
         return [lang, score, ok]
 
     return from_text(docs, compute, f"`{prefix}lang_pred` string, `{prefix}score` double, `{prefix}accepted` boolean")

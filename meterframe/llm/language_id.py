@@ -110,13 +110,14 @@ class Compressors:
         s = self.sizes(text) if text and self.each else np.zeros(0)
         if not len(s):
             return UNDETERMINED, 0.0, False
+        short = s.min() < SHORT
         if (s == s.min()).sum() > 1:
             # Sizes are whole bytes, so short texts tie: let the words, compressed alone, decide.
             s = s + np.array([sum(len(c.compress(w)) for w in normalise(text).encode().split()) for c in self.each], float)
         best = int(s.argmin())
         rest = np.delete(s, best)
         gap = float(1 - s[best] / rest.min()) if len(rest) else 1.0
-        return self.langs[best], gap, gap >= margin or s[best] < SHORT
+        return self.langs[best], gap, bool(gap >= margin or short)
 
 
 def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN, prefix: str = "") -> DataFrame:

@@ -1,207 +1,110 @@
-"""Exact percentiles (linear interpolation) without buffering a whole group in one task.
-
-Spark's exact ``percentile`` keeps every distinct value of a group in one
-aggregation buffer; for a global median over billions of rows that buffer
-lives in a single task.  This operator stays exact but only ever ranks a
-narrow candidate window:
-
-1. one pass: per group ``count`` and ``percentile_approx`` bounds around each
-   target rank (the sketch's rank error is at most n / accuracy);
-   When no group has more than ``max_candidates`` values, Spark's exact
-   ``percentile`` finishes in one more pass (its buffer is then bounded too);
-2. one pass: exact counts below / inside the bounds, to *verify* the bounds
-   (a group whose bound check fails falls back to its full value range, so
-   the result never depends on the sketch being right);
-3. the candidates inside the bounds (about 4n / accuracy rows per target)
-   are ranked with a window partitioned by (group, target), and the two
-   neighbours of the target position are interpolated.
-
-Only per-(group, target) bounds and counts reach the driver, so the number
-of groups must be small (metrics, describe columns, one location); per-meter
-statistics use plain aggregates instead.
+"""Exact percentiles (linear interpolation) of any number of groups in one plan.
+
+Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a
+ranking window holds a whole group in one task.  This operator selects by digits instead: the bits of a
+double, read as an ordered 64-bit number, are three digits (22, 21 and 21 bits).
+
+1. Count the values of each group by first digit (map-side combine), form running totals over the
+   digits, and note for each wanted rank the digit in which it lies and the rank inside that digit.
+2. Count the values under the noted digits by second digit, and narrow the ranks again.
+3. The same with the third digit; what shares all three digits is one value.
+
+What a window holds is a table of digits, at most 2 to the power 22 rows however many values there are
+and however they are distributed or tied.  There is one code path for every size, no job runs while the
+plan is built, and groups and targets only ever travel as rows of the plan.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Iterable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-DEFAULT_ACCURACY = 10000
-MAX_CANDIDATES = 2_000_000
-MAX_GROUPS = 10_000  # per-group bounds travel through the driver
+SHIFTS = (42, 21, 0)
+
 
+def ordered_bits(v: Column) -> Column:
+    """The bits of a double as a long that sorts like the double (``-0.0`` counts as ``0.0``)."""
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
 
-def _target_ranks(n: int, p: float):
-    pos = (n - 1) * p
-    lo = int(math.floor(pos))
-    hi = int(math.ceil(pos))
-    return pos, lo, hi
 
+def _digit(level: int) -> Column:
+    top = F.shiftright(F.col("_k"), SHIFTS[level])
+    return top if level == 0 else top.bitwiseAND(F.lit(2**21 - 1))
 
-def exact_percentiles(
-    df: DataFrame,
-    value: str,
-    percentages: Sequence[float],
-    by: Iterable[str] = (),
-    accuracy: int = DEFAULT_ACCURACY,
-    max_candidates: int = MAX_CANDIDATES,
-    max_groups: int = MAX_GROUPS,
-) -> DataFrame:
+
+def exact_percentiles(df: DataFrame, value: str, percentages: Sequence[float], by: Iterable[str] = (), few_groups: bool = False) -> DataFrame:
     """Returns ``by..., percentage, value`` with exact linear-interpolated percentiles.
 
-    Null (and NaN) values are ignored; a group without values gives no row.
-    More than ``max_groups`` groups is refused (use ``percentile_approx``
-    per group instead): the per-group bounds would not stay small.
+    Null and NaN values are ignored; a group without values gives no row; a null group is a group.
+    ``few_groups`` states that the caller's groups are few by construction (metrics, columns): the ranks
+    looked for, two a group and percentage, are then broadcast; without ``by`` they always are.
     """
     user_by = list(by)
-    by = user_by or ["_g"]  # a constant key keeps every join an equi-join
-    spark = df.sparkSession
-    src = df if user_by else df.withColumn("_g", F.lit(0))
-    base = src.select(*by, F.col(value).cast("double").alias("_v")).filter(
-        F.col("_v").isNotNull() & ~F.isnan("_v")
-    )
-    eps = 1.0 / accuracy
-    pcts = [float(p) for p in percentages]
-    nb = len(by)
-
-    # Pass 1: counts, extremes and sketch bounds per group.
-    probes = sorted({min(1.0, max(0.0, x)) for p in pcts for x in (p - 3 * eps, p + 3 * eps)})
-    stats = (
-        base.groupBy(*by)
-        .agg(
-            F.count("_v").alias("_n"),
-            F.min("_v").alias("_min"),
-            F.max("_v").alias("_max"),
-            F.percentile_approx("_v", probes, accuracy).alias("_q"),
-        )
-        .limit(max_groups + 1)
-        .collect()
-    )
-    if len(stats) > max_groups:
-        raise ValueError(f"exact_percentiles: more than {max_groups} groups; use percentile_approx per group")
-
-    if all(r["_n"] <= max_candidates for r in stats):
-        # Every group is no larger than a candidate window: Spark's exact
-        # percentile buffers at most max_candidates values per group.
-        direct = base.groupBy(*by).agg(F.percentile("_v", F.array(*[F.lit(p) for p in pcts])).alias("_p"))
-        return direct.select(
-            *user_by,
-            F.posexplode(F.arrays_zip(F.array(*[F.lit(p) for p in pcts]).alias("pc"), F.col("_p").alias("pv"))).alias("_i", "_z"),
-        ).select(*user_by, F.col("_z.pc").alias("percentage"), F.col("_z.pv").alias(value))
-
-    bound_rows = []
-    for r in stats:
-        n = r["_n"]
-        qmap = dict(zip(probes, r["_q"]))
-        for i, p in enumerate(pcts):
-            pos, lo_rank, hi_rank = _target_ranks(n, p)
-            a = qmap[min(1.0, max(0.0, p - 3 * eps))]
-            b = qmap[min(1.0, max(0.0, p + 3 * eps))]
-            bound_rows.append([r[c] for c in by] + [i, p, pos, lo_rank, hi_rank, a, b, r["_min"], r["_max"]])
-
-    key_fields = [T.StructField(c, base.schema[c].dataType, True) for c in by]
-    bschema = T.StructType(
-        key_fields
-        + [
-            T.StructField("_pid", T.IntegerType()),
-            T.StructField("percentage", T.DoubleType()),
-            T.StructField("_pos", T.DoubleType()),
-            T.StructField("_lo_rank", T.LongType()),
-            T.StructField("_hi_rank", T.LongType()),
-            T.StructField("_a", T.DoubleType()),
-            T.StructField("_b", T.DoubleType()),
-            T.StructField("_min", T.DoubleType()),
-            T.StructField("_max", T.DoubleType()),
-        ]
-    )
-    if not bound_rows:
-        return spark.createDataFrame([], bschema).select(
-            *user_by, "percentage", F.lit(None).cast("double").alias(value)
-        )
-
-    def joined_with(rows):
-        # One row per (group, target), built on the driver: the size is known,
-        # so the bounds side is broadcast by construction.
-        bdf = spark.createDataFrame(rows, bschema)
-        return base.join(F.broadcast(bdf), by, "inner")
-
-    # Pass 2: verify the bounds with exact counts.  A failed check widens the
-    # group to its full range (always correct); a window with too many
-    # candidates is tightened with a sketch over the candidates only.
-    tighten_left = 3
-    while True:
-        checks = (
-            joined_with(bound_rows)
-            .groupBy("_pid", *by)
-            .agg(
-                F.sum((F.col("_v") < F.col("_a")).cast("long")).alias("_below"),
-                F.sum(F.col("_v").between(F.col("_a"), F.col("_b")).cast("long")).alias("_inside"),
-            )
-            .collect()
-        )
-        check_map = {tuple([c["_pid"]] + [c[k] for k in by]): (c["_below"], c["_inside"]) for c in checks}
-        changed = False
-        new_rows = []
-        for row in bound_rows:
-            below, inside = check_map[tuple([row[nb]] + row[:nb])]
-            lo_rank, hi_rank = row[nb + 3], row[nb + 4]
-            if not (below <= lo_rank and below + inside > hi_rank):
-                row = list(row)
-                row[nb + 5], row[nb + 6] = row[nb + 7], row[nb + 8]
-                changed = True
-            elif inside > max_candidates and tighten_left > 0:
-                row = _tighten(base, by, row, below, accuracy)
-                changed = True
-            new_rows.append(row)
-        bound_rows = new_rows
-        if not changed:
-            break
-        tighten_left -= 1
-
-    # Pass 3: rank only the candidates and interpolate the two neighbours.
-    below_schema = T.StructType(key_fields + [T.StructField("_pid", T.IntegerType()), T.StructField("_below", T.LongType())])
-    below_df = spark.createDataFrame([list(k[1:]) + [k[0], v[0]] for k, v in check_map.items()], below_schema)
-    cand = joined_with(bound_rows).filter(F.col("_v").between(F.col("_a"), F.col("_b")))
-    w = Window.partitionBy("_pid", *by).orderBy("_v")
-    ranked = (
-        cand.join(F.broadcast(below_df), by + ["_pid"], "inner")
-        .withColumn("_r", F.row_number().over(w) - 1 + F.col("_below"))
-        .filter((F.col("_r") == F.col("_lo_rank")) | (F.col("_r") == F.col("_hi_rank")))
-    )
-    out = ranked.groupBy(*by, "_pid", "percentage", "_pos", "_lo_rank").agg(
-        F.min("_v").alias("_lo_v"), F.max("_v").alias("_hi_v")
-    )
-    frac = F.col("_pos") - F.col("_lo_rank").cast("double")
-    return out.select(
-        *user_by,
-        "percentage",
-        (F.col("_lo_v") + (F.col("_hi_v") - F.col("_lo_v")) * frac).alias(value),
+    keys = [f"_g{i}" for i in range(len(user_by))]
+    base = df.select(*[F.col(c).alias(k) for c, k in zip(user_by, keys)], F.col(value).cast("double").alias("_v"))
+    base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_k", ordered_bits(F.col("_v")))
+    small = F.broadcast if few_groups or not user_by else (lambda t: t)
+
+    # Ranks wanted: both neighbours of each percentage's position among n values.
+    pcts = sorted({float(p) for p in percentages})
+    position = [(i, (F.col("_n") - 1) * F.lit(p)) for i, p in enumerate(pcts)]
+    ranks = [
+        F.struct(F.lit(i).alias("pid"), F.lit(side).alias("side"), (pos - F.floor(pos)).alias("frac"), rank(pos).cast("long").alias("rank"))
+        for i, pos in position
+        for side, rank in ((0, F.floor), (1, F.ceil))
+    ]
+    found = None
+    for level in range(3):
+        above = [f"_d{i}" for i in range(level)]
+        scope = keys + above
+        rows = base
+        if level:
+            prefixes = found.select(*scope).distinct()
+            for i in range(level):
+                rows = rows.withColumn(f"_d{i}", _digit(i))
+            rows = _semi(rows, small(prefixes), scope, keys)
+        digit = f"_d{level}"
+        counts = rows.withColumn(digit, _digit(level)).groupBy(*scope, digit).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"))
+        upto = Window.partitionBy(*scope).orderBy(digit) if scope else Window.orderBy(digit)
+        counts = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
+        if level == 0:
+            every = Window.partitionBy(*keys) if keys else Window.partitionBy()
+            counts = counts.withColumn("_n", F.sum("_c").over(every))
+            wanted = F.filter(F.array(*ranks), lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end")))
+            found = counts.select(*scope, digit, "_start", "_low", F.explode(wanted).alias("_r"))
+            found = found.select(*scope, digit, "_low", F.col("_r.pid").alias("_pid"), F.col("_r.side").alias("_side"), F.col("_r.frac").alias("_frac"), (F.col("_r.rank") - F.col("_start")).alias("_rank"))
+        else:
+            found = _narrow(counts, small(found.drop("_low")), scope, keys, digit)
+    pair = found.groupBy(*keys, "_pid").agg(
+        F.max("_frac").alias("_frac"), F.min("_low").alias("_lo"), F.max("_low").alias("_hi")
     )
+    between = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    share = F.element_at(F.array(*[F.lit(p) for p in pcts]), F.col("_pid") + 1)
+    return pair.select(*[F.col(k).alias(c) for c, k in zip(user_by, keys)], share.alias("percentage"), between.alias(value))
+
+
+def _renamed(t: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return t.select(*[F.col(c).alias(f"{c}_x" if c in cols else c) for c in t.columns])
+
+
+def _same(left: DataFrame, right: DataFrame, cols: Sequence[str], nullable: Sequence[str]) -> Column:
+    cond = F.lit(True)
+    for c in cols:
+        a, b = left[c], right[f"{c}_x"]
+        cond = cond & (a.eqNullSafe(b) if c in nullable else a == b)
+    return cond
+
+
+def _semi(rows: DataFrame, prefixes: DataFrame, scope: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    right = _renamed(prefixes, scope)
+    return rows.join(right, _same(rows, right, scope, keys), "left_semi")
 
 
-def _tighten(base: DataFrame, by, row, below: int, accuracy: int):
-    """Narrow one (group, target) window with a sketch over its current candidates."""
-    nb = len(by)
-    a, b = row[nb + 5], row[nb + 6]
-    lo_rank, hi_rank = row[nb + 3], row[nb + 4]
-    cond = F.col("_v").between(F.lit(a), F.lit(b))
-    for i, c in enumerate(by):
-        cond = cond & (F.col(c) == F.lit(row[i]))
-    cand = base.filter(cond)
-    m = cand.count()
-    eps = 1.0 / accuracy
-    f_lo = max(0.0, (lo_rank - below) / max(m, 1) - 3 * eps)
-    f_hi = min(1.0, (hi_rank - below + 1) / max(m, 1) + 3 * eps)
-    qa, qb = cand.agg(F.percentile_approx("_v", [f_lo, f_hi], accuracy)).first()[0]
-    row = list(row)
-    row[nb + 5], row[nb + 6] = qa, qb
-    return row
-
-
-def exact_percentile_col(df: DataFrame, value: str, p: float, by: Iterable[str] = (), **kw) -> DataFrame:
-    """Single percentile; output column named ``value``."""
-    return exact_percentiles(df, value, [p], by, **kw).drop("percentage")
+def _narrow(counts: DataFrame, found: DataFrame, scope: Sequence[str], keys: Sequence[str], digit: str) -> DataFrame:
+    """The digit of each wanted rank among the counted digits of its prefix, and the rank inside it."""
+    right = _renamed(found, scope)
+    hit = counts.join(right, _same(counts, right, scope, keys)).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
+    return hit.select(*scope, digit, "_low", "_pid", "_side", "_frac", (F.col("_rank") - F.col("_start")).alias("_rank"))

@@ -189,8 +189,7 @@ def aligned_sums(df: DataFrame, params: FilterParams, label: Optional[str] = Non
     return agg.select("label", *[F.coalesce(F.col(m), F.lit(0.0)).alias(m) for m in ms])
 
 
-def metric_stats(df: DataFrame, roles: Roles = DEFAULT_ROLES, exact_median: bool = True,
-                 max_candidates: Optional[int] = None) -> DataFrame:
+def metric_stats(df: DataFrame, roles: Roles = DEFAULT_ROLES, exact_median: bool = True, broadcast_ranks: bool = True) -> DataFrame:
     """Sum, mean, exact median, min, max per metric; metrics without values omitted.
 
     One wide aggregate for sum/mean/min/max/count, and the distributed exact
@@ -214,8 +213,7 @@ def metric_stats(df: DataFrame, roles: Roles = DEFAULT_ROLES, exact_median: bool
     long = wide.selectExpr(f"stack({len(ms)}, {stack_args}) as (metric, n, sum, mean, min, max)")
     values = df.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), nan_to_null(F.col(m)).alias("v")) for m in ms])).alias("s")).select("s.*")
     if exact_median:
-        kw = {"max_candidates": max_candidates} if max_candidates is not None else {}
-        med = exact_percentiles(values, "v", [0.5], by=["metric"], **kw).select("metric", F.col("v").alias("median"))
+        med = exact_percentiles(values, "v", [0.5], by=["metric"], few_groups=broadcast_ranks).select("metric", F.col("v").alias("median"))
     else:
         med = values.groupBy("metric").agg(F.percentile_approx("v", 0.5, 10000).alias("median"))
     labels = spark.createDataFrame([(m, roles.metrics[m]) for m in ms], "metric string, label string")

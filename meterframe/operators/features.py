@@ -28,7 +28,7 @@ Physical plan
 
 from __future__ import annotations
 
-from typing import Dict, List, Optional, Sequence
+from typing import Optional, Sequence
 
 from pyspark.ml.feature import StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, Window
@@ -36,24 +36,13 @@ from pyspark.sql import functions as F
 
 from meterframe.functions.scalars import month_cos, month_sin, nan_to_null, safe_ratio
 from meterframe.schema import DEFAULT_ROLES, Roles
-from meterframe.session import cut_lineage
+from meterframe.session import cut_lineage, stored
 
 # ---------------------------------------------------------------------------
 # Feature and target lists in the model's named order
 # ---------------------------------------------------------------------------
 METRIC_COLS = ("kwh", "ghc", "paymoney")
 TARGETS = ("kwh_next", "ghc_next", "paymoney_next")
-FEATURES_STAGE1 = (
-    "month_num", "year", "loc_enc", "res_enc", "kwh", "ghc", "paymoney",
-    "kwh_lag1", "ghc_lag1", "paymoney_lag1",
-    "kwh_roll3_mean", "kwh_roll3_std", "ghc_roll3_mean", "ghc_roll3_std", "paymoney_roll3_mean", "paymoney_roll3_std",
-)
-FEATURES_STAGE2 = (
-    "month_num", "year", "month_sin", "month_cos", "loc_enc", "res_enc", "kwh", "ghc", "paymoney",
-    "kwh_lag1", "kwh_lag2", "kwh_lag3", "ghc_lag1", "ghc_lag2", "ghc_lag3", "paymoney_lag1", "paymoney_lag2", "paymoney_lag3",
-    "kwh_roll3_mean", "kwh_roll3_std", "ghc_roll3_mean", "ghc_roll3_std", "paymoney_roll3_mean", "paymoney_roll3_std",
-    "kwh_mean", "kwh_std", "kwh_count", "ghc_mean", "ghc_std", "ghc_count", "paymoney_mean", "paymoney_std", "paymoney_count",
-)
 FEATURES = (
     "month_num", "year", "month_sin", "month_cos", "loc_enc", "res_enc", "kwh", "ghc", "paymoney",
     "kwh_lag1", "kwh_lag2", "kwh_lag3", "ghc_lag1", "ghc_lag2", "ghc_lag3", "paymoney_lag1", "paymoney_lag2", "paymoney_lag3",
@@ -70,21 +59,9 @@ MAX_LAG = 5  # the widest frame (6 rows) reaches 5 rows back
 HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is used
 RANGE_PARTITIONS = None  # range partitions of the hot rows (None: spark.sql.shuffle.partitions)
 BLOCK_ROWS = 1 << 20  # consecutive positions of one hot meter handled by one window partition
-MAX_HOT_IDS = 1_000_000  # size check of the broadcast hot-meter list
 
 
 # --------------------------------------------------------------------- category codes
-_CODES: Dict[tuple, StringIndexerModel] = {}
-
-
-def cached_category_codes(df: DataFrame, columns: Sequence[str] = ("loc", "res")) -> StringIndexerModel:
-    """``fit_category_codes`` once per (application, input plan, columns)."""
-    key = (df.sparkSession.sparkContext.applicationId, df.select(*columns).semanticHash(), tuple(columns))
-    if key not in _CODES:
-        _CODES[key] = fit_category_codes(df, columns)
-    return _CODES[key]
-
-
 def fit_category_codes(df: DataFrame, columns: Sequence[str] = ("loc", "res")) -> StringIndexerModel:
     """Fit alphabetical codes per category column (labels are collected: one per category)."""
     return StringIndexer(
@@ -118,37 +95,6 @@ def _derived(df: DataFrame) -> DataFrame:
     return out.withColumn("ghc_per_kwh", safe_ratio("ghc", "kwh")).withColumn("paymoney_ratio", safe_ratio("paymoney", "ghc"))
 
 
-_HOT: Dict[tuple, List] = {}
-
-
-def hot_meters(base: DataFrame, hot_key_rows: int, roles: Roles = DEFAULT_ROLES) -> List:
-    """Meter ids with more than ``hot_key_rows`` rows (a partial + final count).
-
-    Every such meter has more than hot_key_rows rows, so the list holds at most
-    total_rows / hot_key_rows ids -- small enough for the driver and a broadcast.
-    Memoised per (application, input plan, threshold): the list only routes
-    meters between two paths that give identical results, so reuse is safe.
-    """
-    ids = base.select(roles.meter)
-    key = (base.sparkSession.sparkContext.applicationId, ids.semanticHash(), hot_key_rows)
-    if key not in _HOT:
-        counts = ids.groupBy(roles.meter).agg(F.count(F.lit(1)).alias("_n"))
-        # Largest first, at most MAX_HOT_IDS + 1 (a top-k, bounded per partition).
-        top = (
-            counts.filter(F.col("_n") > hot_key_rows)
-            .orderBy(F.col("_n").desc(), F.col(roles.meter))
-            .limit(MAX_HOT_IDS + 1)
-            .collect()
-        )
-        if len(top) > MAX_HOT_IDS:
-            # Size check failed: keep the meters strictly larger than the first
-            # one left out; the others stay on the window path.
-            cut = top[MAX_HOT_IDS]["_n"]
-            top = [r for r in top if r["_n"] > cut]
-        _HOT[key] = [r[0] for r in top]
-    return _HOT[key]
-
-
 def _window_features(rows: DataFrame, roles: Roles, with_targets: bool, partition=None, order=None) -> DataFrame:
     """Lags, leads and rolling frames as window functions (per meter by default)."""
     w = Window.partitionBy(*(partition or [roles.meter])).orderBy(*(order or [roles.date, roles.key]))
@@ -226,6 +172,11 @@ def _positional_features(rows: DataFrame, roles: Roles, with_targets: bool) -> D
     return feats.filter(~F.col("_halo")).drop("_blk", "_halo", "_pos")
 
 
+def profile_counts(base: DataFrame, meter: str) -> DataFrame:
+    """Rows of each meter, as ``_all``."""
+    return base.groupBy(meter).agg(F.count(F.lit(1)).alias("_all"))
+
+
 # --------------------------------------------------------------------- the feature build
 def build_features(
     df: DataFrame,
@@ -255,7 +206,7 @@ def build_features(
         mt, d, roles.key, roles.location, roles.residence, *[nan_to_null(F.col(m)).alias(m) for m in METRIC_COLS]
     ).filter(F.col(mt).isNotNull())
     if codes is None:
-        codes = cached_category_codes(base, (roles.location, roles.residence))
+        codes = fit_category_codes(base, (roles.location, roles.residence))
     base = apply_category_codes(base, codes, (roles.location, roles.residence))
     base = (
         base.withColumn("month_num", F.month(d))
@@ -274,20 +225,14 @@ def build_features(
         # Validation mode: every meter through the positional path.
         feats = _positional_features(base.join(profile, mt, "left"), roles, with_targets)
     else:
-        hot_ids = hot_meters(base, hot_key_rows, roles)
-        if not hot_ids:
+        # The hot meters and their profiles stay a table: written once, joined by its size.
+        hot = stored(profile_counts(base, mt).filter(F.col("_all") > hot_key_rows).select(mt), "hot-meters")
+        if hot.isEmpty():
             feats = _window_features(base.join(profile, mt, "left"), roles, with_targets)
         else:
-            spark = base.sparkSession
-            hot = spark.createDataFrame([(i,) for i in hot_ids], base.select(mt).schema)
-            # Broadcast sides built from the hot list: at most rows / hot_key_rows entries.
-            hot_profile = profile.join(F.broadcast(hot), mt, "inner")
-            ordinary = _window_features(
-                base.join(F.broadcast(hot), mt, "left_anti").join(profile, mt, "left"), roles, with_targets
-            )
-            hot_rows = _positional_features(
-                base.join(F.broadcast(hot), mt, "inner").join(F.broadcast(hot_profile), mt, "left"), roles, with_targets
-            )
+            ordinary = _window_features(base.join(hot, mt, "left_anti").join(profile, mt, "left"), roles, with_targets)
+            hot_profile = stored(profile.join(hot, mt, "left_semi"), "hot-profiles")
+            hot_rows = _positional_features(base.join(hot, mt, "left_semi").join(hot_profile, mt, "left"), roles, with_targets)
             feats = ordinary.unionByName(hot_rows)
     feats = _derived(feats).drop("_rows")
     if drop_incomplete:

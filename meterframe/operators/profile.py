@@ -238,7 +238,7 @@ def schema_report(df: DataFrame) -> DataFrame:
 def _quartiles(long: DataFrame, exact: bool) -> DataFrame:
     """(column_name, percentage, v) for the three quartiles, exact or sketched."""
     if exact:
-        return exact_percentiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"])
+        return exact_percentiles(long, "v", [0.25, 0.5, 0.75], by=["column_name"], few_groups=True)
     q = long.groupBy("column_name").agg(F.percentile_approx("v", [0.25, 0.5, 0.75], 10000).alias("_q"))
     return q.select("column_name", F.posexplode("_q").alias("_i", "v")).select(
         "column_name", F.element_at(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("_i") + 1).alias("percentage"), "v")

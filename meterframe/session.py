@@ -38,14 +38,17 @@ def build_session(master: str | None = None, app: str = "meterframe", conf: dict
 def scratch_dir(spark: SparkSession) -> str:
     """Shared folder for staged writes and lineage cuts.
 
-    Uses the cluster's ``spark.checkpoint.dir``.  Only when it is unset (local
-    tests) a private temporary folder is created and registered, so later
-    ``checkpoint()`` calls and staged tables land in the same place.
+    The cluster's ``spark.checkpoint.dir``.  Only in local mode, where driver and executors are one
+    process, may it be unset: a private temporary folder is then created and registered.  Elsewhere a
+    machine-local folder would be invisible to the executors, so an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="meterframe-")
         spark.sparkContext.setCheckpointDir(d)
         try:
@@ -60,6 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df, name: str):
+    """Write to the shared folder and read back: a lineage cut that is kept as columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (never a local checkpoint)."""
     scratch_dir(df.sparkSession)

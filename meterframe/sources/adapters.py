@@ -23,10 +23,23 @@ from pyspark.sql import functions as F
 from meterframe.operators.clean import recode_residence
 from meterframe.session import scratch_path
 
-# (application id, warehouse folder) -> folder of the materialized billing table
-_MATERIALIZED: dict = {}
-# A dimension is broadcast only when a count proves it has at most this many rows.
-DIMENSION_BROADCAST_ROWS = 100_000
+# (application id, warehouse folder) -> (version of the input files, folder of the billing table built from them)
+_BUILT: dict = {}
+SALES_INPUTS = ("orders", "lineitem", "customer", "nation")
+
+
+def files_version(spark: SparkSession, paths) -> tuple:
+    """Path, size and modification time of every file under ``paths``: changes when their content is
+    rewritten.  A listing by Spark's own file system client, so any store it reads will do."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    found = []
+    for p in paths:
+        root = jvm.org.apache.hadoop.fs.Path(p)
+        it = root.getFileSystem(conf).listFiles(root, True)
+        while it.hasNext():
+            f = it.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,18 +55,11 @@ def residence_code(segment) -> F.Column:
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = None) -> DataFrame:
-    """Broadcast a dimension only after checking its size (reads at most
-    max_rows + 1 rows); a larger one is returned as is, for a shuffled join."""
-    max_rows = DIMENSION_BROADCAST_ROWS if max_rows is None else max_rows
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Billing rows without the derived ``res_mapped`` column.
 
     Join order: the nation name is attached to the *customers* (a dimension
-    join, nation broadcast behind a size check), the line sums to the orders
+    join, broadcast by Spark while its statistics allow), the line sums to the orders
     on the order key (the aggregate's partitioning is reused), and the two
     meet on the customer key -- the last shuffle is by ``meterid``.
     """
@@ -68,7 +74,7 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(F.col("l_extendedprice") * (F.lit(1.0) - F.col("l_discount"))).alias("paymoney"),
         )
     )
-    nations = broadcast_if_small(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customers = (
         table(spark, sf_dir, "customer")
         .select("c_custkey", "c_nationkey", "c_mktsegment")
@@ -100,18 +106,20 @@ def build_sales_table(spark: SparkSession, sf_dir: str) -> str:
     """Write the billing table once into the shared scratch folder (the stored
     ``prod.sales`` of the source).  Rows are sorted by date inside each file, so
     Parquet row-group statistics let date-range filters skip row groups."""
+    version = files_version(spark, [f"{sf_dir}/{t}.parquet" for t in SALES_INPUTS])
     path = scratch_path(spark, "sales")
     sales(spark, sf_dir).sortWithinPartitions("chargedate").write.mode("errorifexists").parquet(path)
-    _MATERIALIZED[(spark.sparkContext.applicationId, os.path.abspath(sf_dir))] = path
+    _BUILT[(spark.sparkContext.applicationId, sf_dir)] = (version, path)
     return path
 
 
 def sales_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The billing table every dashboard query reads: built on first use in a
-    session, then scanned.  Reading a written table also cuts the lineage, so a
-    lost executor re-reads Parquet instead of recomputing the joins."""
-    path = _MATERIALIZED.get((spark.sparkContext.applicationId, os.path.abspath(sf_dir)))
-    if path is None:
+    session, and again when the files it was built from have changed; otherwise
+    scanned.  Reading a written table also cuts the lineage, so a lost executor
+    re-reads Parquet instead of recomputing the joins."""
+    version, path = _BUILT.get((spark.sparkContext.applicationId, sf_dir), (None, None))
+    if version is None or version != files_version(spark, [f"{sf_dir}/{t}.parquet" for t in SALES_INPUTS]):
         path = build_sales_table(spark, sf_dir)
     return spark.read.parquet(path)
 

@@ -9,9 +9,13 @@ opt-in (it costs an extra pass over the files).
 
 from __future__ import annotations
 
+import logging
 import re
 from typing import Callable, Iterable, List, Optional, Sequence
 
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,9 @@ from meterframe.schema import DEFAULT_ROLES, Roles
 
 CSV_GLOB_FILTER = "*.[cC][sS][vV]"  # upload gate: extension csv in any case
 ALLOWED_EXTENSIONS = {"csv"}
+#: Spark's error conditions for a table, path or data that is not there.
+MISSING = {"TABLE_OR_VIEW_NOT_FOUND", "PATH_NOT_FOUND", "SCHEMA_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+log = logging.getLogger(__name__)
 
 
 def allowed_file(name: str) -> bool:
@@ -31,15 +38,51 @@ def read_csv(
     spark: SparkSession, paths, infer_schema: bool = False, schema: Optional[T.StructType] = None,
     glob_filter: Optional[str] = CSV_GLOB_FILTER,
 ) -> DataFrame:
-    """A1 / A2: CSV files (a folder, a glob or a list of paths) with a header row."""
-    r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    """A1 / A2: CSV files (a folder, a glob or a list of paths) with a header row.
+
+    Columns are matched by header, not by place: files whose headers differ (in order, or by a column)
+    are read group by group and joined by name, absent columns as null.  Telling the groups apart takes
+    one pass over the files' lines, made only where there is more than one file.
+    """
+    paths = paths if isinstance(paths, (str, list)) else list(paths)
+
+    def read(where):
+        r = spark.read.option("header", True).option("mode", "PERMISSIVE")
+        if glob_filter:
+            r = r.option("pathGlobFilter", glob_filter)
+        if schema is not None:
+            r = r.schema(schema).option("enforceSchema", False)
+        elif infer_schema:
+            r = r.option("inferSchema", True)
+        return r.csv(where)
+
+    groups = [] if schema is not None else _files_by_header(spark, paths, glob_filter)
+    if len(groups) < 2:
+        return read(paths)
+    out = read(groups[0])
+    for files in groups[1:]:
+        out = out.unionByName(read(files), allowMissingColumns=True)
+    return out
+
+
+def _files_by_header(spark: SparkSession, paths, glob_filter: Optional[str]) -> List[List[str]]:
+    """Files grouped by their header line; empty where at most one file is read."""
+    r = spark.read
     if glob_filter:
         r = r.option("pathGlobFilter", glob_filter)
-    if schema is not None:
-        r = r.schema(schema).option("enforceSchema", False)
-    elif infer_schema:
-        r = r.option("inferSchema", True)
-    return r.csv(paths if isinstance(paths, (str, list)) else list(paths))
+    lines = r.text(paths)
+    if len(lines.inputFiles()) < 2:
+        return []
+    first = (
+        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        .withColumn("line", F.struct("start", F.monotonically_increasing_id()))
+        .groupBy("file").agg(F.min_by("value", "line").alias("header"))
+    )
+    # One row per file, as in the file listing that any scan keeps on the driver.
+    by_header: dict = {}
+    for row in first.orderBy("file").collect():
+        by_header.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(by_header.values())
 
 
 def type_ids(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
@@ -67,19 +110,28 @@ def preview_table(spark: SparkSession, name: str = "prod.sales", n: int = 5, rol
     return df.orderBy(*order).limit(n) if order else df.limit(n)
 
 
+def is_missing(error: Exception) -> bool:
+    """Whether an error says that a source is not there (and not that it failed)."""
+    if isinstance(error, FileNotFoundError):
+        return True
+    return isinstance(error, AnalysisException) and error.getCondition() in MISSING
+
+
 def load_first(spark: SparkSession, readers: Sequence[Callable[[], DataFrame]], empty_schema: T.StructType) -> DataFrame:
     """The first reader that resolves (its plan analyses), else an empty frame.
 
-    Failures of one source are logged by the caller's exception handling and
-    the next source is tried, like the source's table -> remote -> empty chain.
+    Only a source that is not there is passed over; any other failure is raised, so a broken store
+    never looks like an empty table.
     """
     for read in readers:
         try:
             df = read()
             df.schema  # forces analysis: missing table / path fails here
             return df
-        except Exception:  # noqa: BLE001 - any source failure moves to the next one
-            continue
+        except Exception as e:
+            if not is_missing(e):
+                raise
+            log.warning("source not found, trying the next: %s", str(e).splitlines()[0])
     return spark.createDataFrame([], empty_schema)
 
 

@@ -1,15 +1,16 @@
 """Sinks (A6, A7, A9, A11-A14, A17).
 
-Table replacement is *stage then swap*: the cleaned rows are written to a
-fresh folder first (validated before anything is dropped), and only then is
-the catalog entry pointed at the new folder.  A failed write leaves the old
-table untouched -- unlike dropping first and creating after.
+Table replacement is *write, then point*: the cleaned rows are written to a new managed table in the
+warehouse, and only when that is complete does the name, a view, get pointed at it in one catalog
+statement.  Readers always find the old rows or the new ones; a write or a catalog call that fails
+leaves the old ones in place.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
 import os
+import uuid
 from typing import Iterable, Optional, Sequence
 
 from pyspark.errors import AnalysisException
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 
 from meterframe.operators.clean import coerce_metrics, date_first, parse_dates, preprocess
 from meterframe.schema import DEFAULT_ROLES, RAW_DATE_FORMATS, Roles
-from meterframe.session import scratch_path
-from meterframe.sources.readers import allowed_file, ensure_database, read_csv, read_parquet, type_ids
+from meterframe.sources.readers import allowed_file, ensure_database, is_missing, read_csv, read_parquet, type_ids
 
 
 def validate_columns(df: DataFrame, required: Iterable[str]) -> None:
@@ -34,35 +34,46 @@ def replace_table(
     name: str = "prod.sales",
     roles: Roles = DEFAULT_ROLES,
     clean: bool = True,
-    location: Optional[str] = None,
     partition_by: Sequence[str] = (),
     analyze: bool = True,
 ) -> str:
-    """(preprocess ->) date first -> validate -> staged write -> swap -> analyze.
+    """(preprocess ->) date first -> validate -> write a new version -> analyze -> point ``name`` at it.
 
-    Returns the folder now backing the table.  ``partition_by`` (e.g. a year
-    column) enables partition pruning for date-bounded queries at scale.  The
-    previous folder is not deleted: readers that started before the swap may
-    still be scanning it, so its removal is left to the storage retention policy.
+    Returns the table that holds the new version.  ``partition_by`` (e.g. a year column) enables
+    partition pruning for date-bounded queries at scale.  Earlier versions are not dropped: readers
+    that started before the switch may still be scanning one; ``drop_old_versions`` removes them.
     """
     out = preprocess(df, roles) if clean else df
     validate_columns(out, [roles.date])
     out = date_first(out, roles)
-    path = location or scratch_path(spark, name.replace(".", "_"))
+    if "." in name:
+        ensure_database(spark, name.split(".", 1)[0])
+    version = f"{name}__{uuid.uuid4().hex}"
     w = out.write.mode("errorifexists").format("parquet")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.save(path)
-    if "." in name:
-        ensure_database(spark, name.split(".", 1)[0])
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.catalog.createTable(name, path=path, source="parquet")
+    w.saveAsTable(version)
     if analyze:
-        analyze_table(spark, name)
-    return path
+        analyze_table(spark, version)
+    point(spark, name, version, out.columns)
+    return version
+
 
+def point(spark: SparkSession, name: str, version: str, columns: Sequence[str]) -> None:
+    """Make ``name`` read ``version``, in one catalog statement."""
+    names = ", ".join(f"`{c}`" for c in columns)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {names} FROM {version}")
 
-def analyze_table(spark: SparkSession, name: str = "prod.sales") -> None:
+
+def drop_old_versions(spark: SparkSession, name: str, keep: str) -> None:
+    """Drop the versions of ``name`` other than ``keep``, once nothing reads them any more."""
+    database, _, table = name.rpartition(".")
+    for t in spark.catalog.listTables(database or None):
+        if t.name.startswith(f"{table}__") and t.name != keep.rpartition(".")[2]:
+            spark.sql(f"DROP TABLE IF EXISTS {database + '.' if database else ''}{t.name}")
+
+
+def analyze_table(spark: SparkSession, name: str) -> None:
     """Table and column statistics for the cost-based optimizer."""
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR ALL COLUMNS")
 
@@ -76,7 +87,9 @@ def rebuild_from_csv(spark: SparkSession, paths, name: str = "prod.sales", roles
     try:
         raw = read_csv(spark, paths)
         empty = not raw.columns or raw.limit(1).count() == 0
-    except AnalysisException:  # no file matched: nothing to infer a header from
+    except AnalysisException as e:  # no file matched: nothing to infer a header from
+        if not is_missing(e):
+            raise
         empty = True
     if empty:
         raise FileNotFoundError(f"no CSV rows found under {paths!r}; table {name} left unchanged")
@@ -85,11 +98,16 @@ def rebuild_from_csv(spark: SparkSession, paths, name: str = "prod.sales", roles
 
 
 def refresh_from_uri(spark: SparkSession, uri: str, name: str = "prod.sales", roles: Roles = DEFAULT_ROLES) -> bool:
-    """Re-read a Parquet export and replace the table; False when the source fails."""
+    """Re-read a Parquet export and replace the table; False when there is no such export.
+
+    Any other failure (a store that cannot be reached, a broken file) is raised.
+    """
     try:
         df = read_parquet(spark, uri)
         df.schema
-    except Exception:  # noqa: BLE001 - the source's refresh reports failure as False
+    except Exception as e:
+        if not is_missing(e):
+            raise
         return False
     replace_table(spark, df, name, roles)
     return True

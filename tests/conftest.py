@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,7 +14,8 @@ SF_SMALL = "/root/testdata/sf0.001"
 def spark():
     from meterframe.session import build_session
 
-    s = build_session("local[4]", app="meterframe-tests", conf={"spark.sql.shuffle.partitions": "8"})
+    warehouse = tempfile.mkdtemp(prefix="meterframe-warehouse-")
+    s = build_session("local[4]", app="meterframe-tests", conf={"spark.sql.shuffle.partitions": "8", "spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
 

@@ -127,17 +127,35 @@ def test_percentile_fixture(spark):
     assert rows(pr.percentile_under_filter(df, "kwh", 0.64)) == [(pytest.approx(2.56),)]
 
 
-@pytest.mark.parametrize("accuracy,max_candidates", [(10000, 2_000_000), (10, 50), (2, 3)])
-def test_exact_percentiles_match_numpy(spark, accuracy, max_candidates):
+def test_exact_percentiles_match_numpy(spark):
     rng = np.random.default_rng(11)
     g = rng.integers(0, 3, 4000)
-    v = np.round(rng.lognormal(3, 1, 4000), 1)  # many ties
+    v = np.concatenate([np.round(rng.lognormal(3, 1, 2000), 1), rng.normal(0, 1e-5, 1990), [0.0, -0.0, 1e300, -1e300, 5e-324, -5e-324, 1.0, 1.0, 1.0, 1.0]])
     df = spark.createDataFrame(pd.DataFrame({"g": g, "v": v}))
     ps = [0.0, 0.1, 0.25, 0.5, 0.64, 0.99, 1.0]
-    out = exact_percentiles(df, "v", ps, by=["g"], accuracy=accuracy, max_candidates=max_candidates).toPandas()
-    for (grp, p), val in out.set_index(["g", "percentage"])["v"].items():
-        assert val == pytest.approx(np.quantile(v[g == grp], p), rel=1e-12)
-    assert len(out) == 3 * len(ps)
+    for few in (False, True):
+        out = exact_percentiles(df, "v", ps, by=["g"], few_groups=few).toPandas()
+        for (grp, p), val in out.set_index(["g", "percentage"])["v"].items():
+            assert val == pytest.approx(np.quantile(v[g == grp], p), rel=1e-12, abs=0)
+        assert len(out) == 3 * len(ps)
+
+
+def test_exact_percentiles_null_groups_infinity_and_ties(spark):
+    inf = float("inf")
+    data = [(None, 1.0), (None, 3.0), ("a", inf), ("a", inf), ("a", 1.0), ("b", -inf), ("c", None), ("c", float("nan"))] + [("d", 7.0)] * 500
+    df = spark.createDataFrame(data, "g string, v double")
+    out = {(r["g"], r["percentage"]): r["v"] for r in exact_percentiles(df, "v", [0.5, 1.0], by=["g"]).collect()}
+    assert out == {(None, 0.5): 2.0, (None, 1.0): 3.0, ("a", 0.5): inf, ("a", 1.0): inf, ("b", 0.5): -inf, ("b", 1.0): -inf, ("d", 0.5): 7.0, ("d", 1.0): 7.0}
+    assert exact_percentiles(df.limit(0), "v", [0.5]).count() == 0
+
+
+def test_exact_percentiles_many_groups_and_no_job_while_planning(spark):
+    df = spark.range(60_000).selectExpr("id % 20000 AS g", "CAST(id AS DOUBLE) AS v")
+    spark.sparkContext.setJobGroup("planning", "percentiles")
+    out = exact_percentiles(df, "v", [0.5], by=["g"])
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setJobGroup("run", "percentiles")
+    assert out.filter("v <> g + 20000").count() == 0 and out.count() == 20_000
 
 
 def test_activity_summary_tie_break(spark):
@@ -153,14 +171,6 @@ def test_correlation_matches_pandas(spark):
         assert v == pytest.approx(want.loc[a, b])
 
 
-def test_exact_percentiles_refuses_unbounded_groups(spark):
-    df = spark.range(50).selectExpr("id AS g", "CAST(id AS DOUBLE) AS v")
-    with pytest.raises(ValueError):
-        exact_percentiles(df, "v", [0.5], by=["g"], max_groups=10)
-    out = exact_percentiles(df, "v", [0.5]).collect()
-    assert out[0]["v"] == 24.5
-
-
 def test_dashboard_panels_match_pandas_semantics(spark, sf_small):
     """Pie, bar, stats and summary panels against an independent pandas computation."""
     from meterframe.sources.adapters import sales_table

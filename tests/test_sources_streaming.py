@@ -29,12 +29,13 @@ def test_allowed_file():
 def test_upload_ingest_replaces_table(spark):
     d = tempfile.mkdtemp(prefix="mf-upload-")
     _write(os.path.join(d, "u1.csv"), "05-Jan-20,1,A,N-Resid [0],1,2,3\n")
-    path = sk.ingest_upload(spark, os.path.join(d, "u1.csv"), "t_up.sales")
+    version = sk.ingest_upload(spark, os.path.join(d, "u1.csv"), "t_up.sales")
     assert rows(spark.table("t_up.sales"), "chargedate", "meterid", "res_mapped") == [(D(2020, 1, 5), 1, "Commercial")]
     assert spark.table("t_up.sales").columns[0] == "chargedate"  # date moved first
     with pytest.raises(ValueError):
         sk.ingest_upload(spark, os.path.join(d, "u1.txt"), "t_up.sales")
-    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    where = spark.sql(f"DESCRIBE TABLE EXTENDED {version}").filter("col_name = 'Location'").first()["data_type"]
+    assert spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") in where
 
 
 def test_replace_keeps_old_table_when_validation_fails(spark):
@@ -140,16 +141,109 @@ def test_streaming_ingest_deletes_processed_uploads(spark):
     assert rows(spark.table("t_clean.sales"), "meterid") == [(2,)]
 
 
-def test_adapter_without_dimension_broadcast(spark, sf_small, monkeypatch):
-    """Nation fails the size check -> plain join; same billing rows."""
-    from meterframe.sources import adapters
+def test_partitioned_replace_keeps_its_rows(spark):
+    df = spark.createDataFrame([(D(2020 + k % 3, 1, 1), k, 2020 + k % 3) for k in range(30)], "chargedate date, meterid bigint, year int")
+    for analyze in (False, True):
+        version = sk.replace_table(spark, df, "t_part.sales", partition_by=["year"], analyze=analyze)
+        t = spark.table("t_part.sales")
+        assert t.columns == df.columns and sorted(rows(t)) == sorted(rows(df))
+        assert t.filter("year = 2021").count() == 10
+    # Another schema and layout behind the same name; old versions go on request only.
+    sk.replace_table(spark, df.drop("year"), "t_part.sales")
+    assert spark.table("t_part.sales").columns == ["chargedate", "meterid"]
+    assert spark.table(version).count() == 30
+    last = sk.replace_table(spark, df, "t_part.sales")
+    sk.drop_old_versions(spark, "t_part.sales", last)
+    assert sorted(rd.list_tables(spark, "t_part")) == sorted(["sales", last.split(".")[1]])
+    assert spark.table("t_part.sales").count() == 30
+
+
+@pytest.mark.parametrize("step", ["point", "analyze_table"])
+def test_failed_replace_keeps_the_old_rows(spark, monkeypatch, step):
+    df = spark.createDataFrame([(D(2020, 1, 1), 1)], "chargedate date, meterid bigint")
+    sk.replace_table(spark, df, "t_fail.sales")
+    monkeypatch.setattr(sk, step, lambda *a: (_ for _ in ()).throw(RuntimeError("catalog is down")))
+    with pytest.raises(RuntimeError):
+        sk.replace_table(spark, df.union(df), "t_fail.sales")
+    assert spark.table("t_fail.sales").count() == 1
+
+
+def test_csv_columns_are_matched_by_header(spark):
+    d = tempfile.mkdtemp(prefix="mf headers-")
+    for name, text in (("a.csv", "chargedate,meterid\n05-Jan-20,1\n"), ("b.csv", "meterid,chargedate\n2,06-Jan-20\n"), ("c.csv", "loc,meterid\nX,3\n")):
+        with open(os.path.join(d, name), "w") as f:
+            f.write(text)
+    got = sorted(rows(rd.read_csv(spark, d), "meterid", "chargedate", "loc"))
+    assert got == [("1", "05-Jan-20", None), ("2", "06-Jan-20", None), ("3", None, "X")]
+
+
+def test_only_missing_sources_are_passed_over(spark, tmp_path):
+    from pyspark.sql import types as T
 
-    with_bc = adapters.sales_raw(spark, sf_small)
-    monkeypatch.setattr(adapters, "DIMENSION_BROADCAST_ROWS", 1)
-    plain = adapters.sales_raw(spark, sf_small)
-    def hinted(df):
-        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    empty = T.StructType([T.StructField("x", T.IntegerType())])
+    assert rd.load_first(spark, [lambda: spark.read.parquet(str(tmp_path / "none"))], empty).count() == 0
+
+    def broken():
+        raise ConnectionError("store unreachable")
+
+    with pytest.raises(ConnectionError):
+        rd.load_first(spark, [broken, lambda: spark.range(1)], empty)
+    (tmp_path / "bad.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet|magic"):
+        sk.refresh_from_uri(spark, str(tmp_path / "bad.parquet"), "t_bad.sales")
+
+
+def test_rewritten_inputs_are_read_again(spark, tmp_path):
+    """The billing table and the category codes follow the files, not the path."""
+    from meterframe.operators import features as ft
+    from meterframe.sources import adapters
 
-    assert hinted(adapters.broadcast_if_small(spark.range(5), 5))
-    assert not hinted(adapters.broadcast_if_small(spark.range(5), 4))
-    assert plain.exceptAll(with_bc).count() == 0 and with_bc.exceptAll(plain).count() == 0
+    def write(nation):
+        for name, df in (
+            ("orders", spark.createDataFrame([(1, 1, D(2020, 1, 1)), (2, 2, D(2020, 2, 1))], "o_orderkey long, o_custkey long, o_orderdate date")),
+            ("lineitem", spark.createDataFrame([(1, 1.0, 2.0, 0.0)], "l_orderkey long, l_quantity double, l_extendedprice double, l_discount double")),
+            ("customer", spark.createDataFrame([(1, 1, "BUILDING"), (2, 2, "MACHINERY")], "c_custkey long, c_nationkey long, c_mktsegment string")),
+            ("nation", spark.createDataFrame([(1, nation), (2, "Z")], "n_nationkey long, n_name string")),
+        ):
+            df.write.mode("overwrite").parquet(str(tmp_path / f"{name}.parquet"))
+
+    def codes():
+        s = adapters.sales_table(spark, str(tmp_path))
+        f = ft.build_features(s, drop_incomplete=False)
+        return dict(rows(f, "loc", "loc_enc"))
+
+    write("A")
+    assert codes() == {"A": 0, "Z": 1} and codes() == {"A": 0, "Z": 1}
+    write("ZZ")
+    assert codes() == {"Z": 0, "ZZ": 1}
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    from meterframe import session
+
+    class Context:
+        def __init__(self, master):
+            self.master = master
+
+        def getCheckpointDir(self):
+            return None
+
+        def setCheckpointDir(self, d):
+            self.dir = d
+
+    class Session:
+        def __init__(self, master):
+            self.sparkContext, self.conf = Context(master), {}
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    for master, ok in (("local[4]", True), ("local", True), ("local-cluster[2,1,1024]", False), ("spark://h:7077", False), ("yarn", False)):
+        s = Session(master)
+        s.conf = Conf()
+        if ok:
+            assert os.path.isdir(session.scratch_dir(s))
+        else:
+            with pytest.raises(RuntimeError):
+                session.scratch_dir(s)

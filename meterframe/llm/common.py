@@ -32,9 +32,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, where the session does not say.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand text to Python workers in batches of bounded bytes: ten thousand long texts are too many at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared scratch folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
+    bounded_batches(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -79,6 +91,7 @@ def is_held_out(modulus: int, out: int) -> Column:
 def from_text(docs: DataFrame, compute, added: str) -> DataFrame:
     """All columns of ``docs`` and those of the DDL ``added``, which ``compute(text column)`` returns as a
     list of Arrow arrays.  Columns of ``docs`` with the added names are replaced."""
+    bounded_batches(docs.sparkSession)
     fields = T.StructType.fromDDL(added).fields
     new = [f.name for f in fields]
     names = [c for c in docs.columns if c not in new]
@@ -104,7 +117,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 #: Bytes of text hashed at once inside a task; one longer text is taken whole.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

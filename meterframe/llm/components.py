@@ -43,5 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    # Every link now goes from a node to the smallest of its component.
     leaves = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return leaves.unionByName(leaves.select(F.col("component").alias("node"), "component").distinct())

@@ -17,8 +17,9 @@ then bring no candidates together.  The sample steers cost only, never the resul
 parts that are not empty also probes empty ones, and empty parts are indexed for that reason.
 
 *Verification without all pairs.*  Equal sets are one class from the start.  In a bucket (equal part of
-equal band) each member is first verified against the smallest; verified links give components.  Only
-pairs of a probe and a member that lie in different components afterwards are verified in a second round.
+equal band) each member is first verified against a few centres; verified links give components.  Only
+pairs of a probe and a member that lie in different components afterwards are looked at in a second round.
+Before any set is fetched, the Hamming distance of the whole sketches must leave room for the link.
 A group of n near copies so costs about n verifications, and no link that joins components is missed.
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing; a text of
@@ -33,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,16 @@ SAMPLE = 20_000
 COMMON = 20
 COMMON_PARTS = 100_000
 #: Signatures that a reduce task is meant to hold.
-TASK_SIGNATURES = 1_500_000
+TASK_SIGNATURES = 500_000
+#: Members of a bucket that every other one is verified against in the first round.
+CENTRES = 3
+#: Buckets above so many members are compared by sketches of FINE bits an element.
+LARGE = 64
+FINE = 4
+#: Pairs of places, or words of sketches, that a task looks at together.
+PAIRS_AT_ONCE = 1 << 21
+#: Members of a bucket that one task holds in the second round.
+CHUNK = 20_000
 #: Bytes of a signature kept beside its shard; a clash costs a verification, never a link.
 KEY_BYTES = 5
 
@@ -121,6 +132,39 @@ def indexed(x: np.ndarray, common: np.ndarray):
     return np.concatenate(keys), np.concatenate(probes)
 
 
+def sketch(x: np.ndarray, scale: int = 1) -> bytes:
+    """The parity sketch of a whole set, of at least ``scale`` bits an element (a power of two)."""
+    bits = max(64, 1 << int(scale * len(x) - 1).bit_length())
+    odd = np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(raw: np.ndarray, size: int) -> np.ndarray:
+    """A sketch of ``size`` 64-bit words from a longer one: positions that fall together add their parities."""
+    return np.bitwise_xor.reduce(raw.reshape(-1, size), axis=0)
+
+
+def near_pairs(words: list, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of the pairs (i[k], j[k]) of sketches ``words`` of sets of ``n`` elements, those whose Hamming
+    distance leaves room for a link; each pair is compared at the shorter sketch's length."""
+    length = np.array([len(w) for w in words], np.int64)
+    short = np.minimum(length[i], length[j]) if len(i) else np.zeros(0, np.int64)
+    ok = np.zeros(len(i), bool)
+    for size in np.unique(short):
+        at = np.flatnonzero(short == size)
+        seen = np.zeros(len(words), bool)
+        seen[i[at]] = seen[j[at]] = True
+        place = np.cumsum(seen) - 1
+        table = np.stack([folded(words[x], size) for x in np.flatnonzero(seen)])
+        a, b = place[i[at]], place[j[at]]
+        step = max(1, PAIRS_AT_ONCE // size)
+        for lo in range(0, len(at), step):
+            gap = np.bitwise_count(table[a[lo : lo + step]] ^ table[b[lo : lo + step]]).sum(1, dtype=np.int64)
+            k = at[lo : lo + step]
+            ok[k] = gap <= (DEN - NUM) * (n[i[k]] + n[j[k]]) // (DEN + NUM)
+    return ok
+
+
 def digest(x: np.ndarray) -> bytes:
     return hashlib.blake2b(x.tobytes(), digest_size=16).digest()
 
@@ -137,18 +181,23 @@ def _sets(col):
 
 
 def _digests(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and its class id (null for empty sets), n_shingles of every row."""
+    """doc_id, n_shingles, and digest, class id and two sketches of the set (null for empty sets) of every row."""
 
     def run(batches):
         for b in batches:
-            d, n = [], []
+            d, n, s, fine = [], [], [], []
             for _, _, sets in _sets(b.column("text")):
                 n += [len(x) for x in sets]
                 d += [digest(x) if len(x) else None for x in sets]
+                s += [sketch(x) if len(x) else None for x in sets]
+                fine += [sketch(x, FINE) if len(x) else None for x in sets]
             short = pa.array([None if x is None else class_id(x) for x in d], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(d, pa.binary()), short, pa.array(n, pa.int64())], names=["doc_id", "digest", "id", "n_shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), short, pa.array(s, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "id", "sketch", "fine"],
+            )
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, id long, n_shingles long")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, id long, sketch binary, fine binary")
 
 
 def _common_parts(docs: DataFrame, classes: int) -> np.ndarray:
@@ -203,7 +252,7 @@ def _buckets(docs: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
                     keys.append(key)
                     ids.append(np.uint64(class_id(d) << 1) | probe.astype(np.uint64))
                     held += len(key)
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield flush()
                         keys, ids, held = [], [], 0
         if held:
@@ -298,37 +347,129 @@ def _alike(p: DataFrame) -> DataFrame:
     return p.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _sketches_near(pairs: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs (u, v) that the Hamming bound of their sketches leaves."""
+    side = lambda c: named.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+
+    def run(batches):
+        for t in batches:
+            words = [np.frombuffer(x.as_py(), np.uint64) for c in ("su", "sv") for x in t.column(c)]
+            n = np.concatenate([t.column("nu").to_numpy(), t.column("nv").to_numpy()])
+            k = np.arange(t.num_rows)
+            keep = pa.array(near_pairs(words, n, k, k + t.num_rows))
+            yield pa.RecordBatch.from_arrays([t.column("u").filter(keep), t.column("v").filter(keep)], names=["u", "v"])
+
+    return pairs.join(side("u"), "u").join(side("v"), "v").mapInArrow(run, "u long, v long")
+
+
+def _across(label: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a probe and a member of one bucket that lie in different components and that the
+    Hamming bound leaves.  ``label`` has bucket, rep, n, probe, comp and k, the members of the bucket.
+
+    Buckets of more than CHUNK members are dealt as a grid of cells, so no task holds one whole.
+    """
+    m = F.ceil(F.col("k") / CHUNK).cast("int")
+    c = F.pmod(F.xxhash64("rep"), F.col("m")).cast("int")
+    row = lambda i: F.struct((F.col("c") * F.col("m") + i).alias("cell"), F.col("probe").alias("probe"), (i == F.col("c")).alias("member"))
+    column = lambda i: F.struct((i * F.col("m") + F.col("c")).alias("cell"), F.lit(False).alias("probe"), F.lit(True).alias("member"))
+    every = F.sequence(F.lit(0), F.col("m") - 1)
+    cells = F.concat(F.transform(every, row), F.filter(F.transform(every, column), lambda x: x["cell"] != F.col("c") * F.col("m") + F.col("c")))
+    rows = label.withColumn("m", m).withColumn("c", c).withColumn("x", F.explode(cells)).filter("x.probe or x.member")
+    # Large buckets get sketches of more bits, so that few pairs pass that are not links.
+    wide = F.col("k") > LARGE
+    small = rows.filter(~wide).join(named.select("rep", "sketch"), "rep")
+    large = rows.filter(wide).join(named.select("rep", F.col("fine").alias("sketch")), "rep")
+    rows = small.unionByName(large).select("bucket", "x.cell", "rep", "n", "comp", "x.probe", "x.member", "sketch")
+    parts = int(label.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(t):
+        """Pairs of the whole buckets in a table sorted by bucket and cell."""
+        col = {c: t.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "cell", "rep", "n", "comp", "probe", "member")}
+        words = [np.frombuffer(x.as_py(), np.uint64) for x in t.column("sketch")]
+        start = np.flatnonzero(np.concatenate([[True], (col["bucket"][1:] != col["bucket"][:-1]) | (col["cell"][1:] != col["cell"][:-1])]))
+        size = np.diff(np.append(start, t.num_rows))
+        out = []
+
+        def keep(u, v):
+            """Note which of the pairs of rows of a bucket may be links."""
+            n, m = col["n"][u], col["n"][v]
+            ok = (col["probe"][u] & col["member"][v]) | (col["probe"][v] & col["member"][u])
+            ok &= (col["comp"][u] != col["comp"][v]) & (np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM)
+            u, v = u[ok], v[ok]
+            u, v = u[near := near_pairs(words, col["n"], u, v)], v[near]
+            out.append(np.stack([np.maximum(col["rep"][u], col["rep"][v]), np.minimum(col["rep"][u], col["rep"][v])], 1))
+
+        # Small buckets of one size at a time: all their pairs of places at once.
+        for k in np.unique(size[size <= LARGE]):
+            at = start[size == k]
+            x, y = np.triu_indices(k, 1)
+            step = max(1, PAIRS_AT_ONCE // (k * k))
+            for lo in range(0, len(at), step):
+                rows = at[lo : lo + step, None] + np.arange(k)
+                keep(rows[:, x].ravel(), rows[:, y].ravel())
+        # Large ones: pairs with a row outside the largest component.
+        for s, k in zip(start[size > LARGE], size[size > LARGE]):
+            labels, code, count = np.unique(col["comp"][s : s + k], return_inverse=True, return_counts=True)
+            apart = s + np.flatnonzero(code != count.argmax())
+            step = max(1, PAIRS_AT_ONCE // k)
+            for lo in range(0, len(apart), step):
+                part = apart[lo : lo + step]
+                keep(np.repeat(part, k), np.tile(np.arange(s, s + k), len(part)))
+        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            # The last bucket may go on in the next batch.
+            same = pa.compute.and_(pa.compute.equal(t.column("bucket"), t.column("bucket")[-1]), pa.compute.equal(t.column("cell"), t.column("cell")[-1]))
+            whole = t.num_rows - pa.compute.sum(same).as_py()
+            if whole:
+                yield compare(t.slice(0, whole).combine_chunks())
+            held = t.slice(whole)
+        if held is not None and held.num_rows:
+            yield compare(held.combine_chunks())
+
+    dealt = rows.repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs that are links, by the whole sets of the texts that they name."""
+    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-wanted")
+    sets = stored(_set_rows(docs.join(wanted, "doc_id")).dropDuplicates(["doc_id"]), f"{name}-sets")
+    return stored(_verify(pairs, sets), f"{name}-links")
+
+
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set), component_id of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = stored(_digests(docs), "shingle-digests")
     classes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("id").alias("id")
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("id").alias("id"), F.max("sketch").alias("sketch"), F.max("fine").alias("fine")
     )
     classes = stored(classes, "shingle-classes")
     total = classes.agg(F.sum("copies").alias("t"), F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).first()
     shards = max(-(-(total["s"] or 0) // TASK_SIGNATURES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     common = _common_parts(docs, total["c"] or 0)
     met = stored(_buckets(docs, shards, common), "buckets")
-    named = classes.filter("rep is not null").select("id", "rep", "n")
-    members = stored(met.join(named, "id").select("bucket", "rep", "n", "probe"), "bucket-members")
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = stored(_set_rows(docs.join(wanted, "doc_id")), "candidate-sets")
-    # Round 1: every member against the smallest of its bucket.
-    first = members.groupBy("bucket").agg(F.min(F.struct("rep", "n")).alias("f"))
-    star = members.join(first, "bucket").select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("f.rep").alias("v"), F.col("f.n").alias("nv"))
-    star = stored(_alike(star), "star-pairs")
-    links = stored(_verify(star, sets), "links-1")
-    comp = stored(components(links), "components-1")
+    named = classes.filter("rep is not null").select("id", "rep", "n", "sketch", "fine")
+    members = stored(met.join(named.drop("sketch", "fine"), "id").select("bucket", "rep", "n", "probe"), "bucket-members")
+    # Round 1: every member against the centres of its bucket.
+    orders = [F.col("rep"), *[F.xxhash64("rep", F.lit(k)) for k in range(1, CENTRES)]]
+    first = members.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("rep", "n"), o) for o in orders])).alias("f"))
+    star = members.join(first, "bucket").withColumn("c", F.explode("f"))
+    star = star.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("c.rep").alias("v"), F.col("c.n").alias("nv"))
+    star = stored(_sketches_near(_alike(star), named), "star-pairs")
+    links = _verified(docs, star, "star")
+    comp = components(links)
     # Round 2: a probe against the members that are still in other components.
     label = members.join(comp, members["rep"] == comp["node"], "left").select("bucket", "rep", "n", "probe", F.coalesce("component", "rep").alias("comp"))
     span = label.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"))
-    label = stored(label.join(span.filter("lo < hi and k > 2").select("bucket"), "bucket", "left_semi"), "split-buckets")
-    p = label.filter("probe").select("bucket", F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("comp").alias("cu"))
-    q = label.select("bucket", F.col("rep").alias("v"), F.col("n").alias("nv"), F.col("comp").alias("cv"))
-    rest = _alike(p.join(q, "bucket").filter("cu <> cv")).join(star, ["u", "v"], "left_anti")
-    more = stored(_verify(rest, sets), "links-2")
-    comp = stored(components(links.unionByName(more)), "components-2")
+    label = label.join(span.filter("lo < hi and k > 2").select("bucket", "k"), "bucket")
+    rest = stored(_across(label, named).join(star, ["u", "v"], "left_anti"), "rest-pairs")
+    comp = components(links.unionByName(_verified(docs, rest, "rest")))
     final = classes.join(comp, classes["rep"] == comp["node"], "left").select(
         "digest", F.col("copies"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.common import is_held_out, labelled, slices, text_buffers, words
+from meterframe.llm.common import bounded_batches, is_held_out, labelled, slices, text_buffers, words
 
 TRAIN_ROWS = 12_000
 BINS = 24
@@ -185,6 +185,7 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = 5, out: int = 0, bound: int = TRAIN_ROWS) -> dict:
     """Fit on the labelled documents that are not held out (see ``labelled``)."""
+    bounded_batches(docs.sparkSession)
     ids = labelled(docs, labels, column, modulus, out, bound)
 
     def run(batches):
@@ -206,6 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus:
 
 def score(docs: DataFrame, model: dict, modulus: int = 5, out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

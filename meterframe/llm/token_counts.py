@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterframe.llm.common import bounded_batches, stored
+
 VOCAB = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VOCAB_BYTES = 16 << 20
 #: How a byte-level BPE of this family splits text before merging (a fixed value of the vocabulary).
@@ -51,6 +53,7 @@ def encoder(raw: bytes):
 
 def length_histogram(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_vocab(vocab))
 
     def count(batches):
@@ -73,8 +76,6 @@ def limits(hist: DataFrame, width: int = RANGE) -> DataFrame:
     n_tokens, n_docs, docs_above (longer than the limit), docs_total, tokens_total,
     tokens_truncated (sum of min(length, limit)), quantile (share of documents at or below the limit).
     """
-    from meterframe.llm.common import stored
-
     hist = stored(hist.withColumn("_r", F.floor(F.col("n_tokens") / width)), "lengths")
     weight = F.col("n_docs") * F.col("n_tokens")
     ranges = hist.groupBy("_r").agg(F.sum("n_docs").alias("d"), F.sum(weight).alias("t"))

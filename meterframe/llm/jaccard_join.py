@@ -6,7 +6,7 @@ at most d bits, so the Hamming distance is a lower bound of the symmetric differ
 
 *Bands and parts.*  Sizes fall into bands.  For a pair of sizes b <= a with similarity t or more the
 difference is at most (1 - t) / (1 + t) * (a + b) <= 2a (1 - t) / (1 + t) = d.  In a band the sketch is cut
-into more than d parts of ``PART_BITS`` bits; d differences touch at most d parts, so by the pigeonhole
+into more than d parts of 2 ** ``PART_BITS`` bits; d differences touch at most d parts, so by the pigeonhole
 principle any d + 1 parts of the larger set hold one on which both sketches agree.  The larger set
 *probes* d + 1 parts of its choice; every set is *indexed* under all its parts, in its own band and in
 the next where a partner may fall there.  Sets of at most ``SMALL`` elements have one part per element.
@@ -48,16 +48,18 @@ NUM, DEN = 75, 100
 BAND_RATIO = 16 / 9
 SMALL = 128
 SLACK = 1.15
-PART_BITS = 4096
+#: log2 of the bits of a part: elements of different texts must not meet on one bit by chance.
+PART_BITS = 32
 #: Classes whose parts are sampled to find common ones, the share of them that makes a part common, and
 #: the most such parts that are broadcast.
 SAMPLE = 20_000
-COMMON = 20
+COMMON = 5
 COMMON_PARTS = 100_000
 #: Signatures that a reduce task is meant to hold.
 TASK_SIGNATURES = 500_000
-#: Members of a bucket that every other one is verified against in the first round.
+#: Members of a bucket that every other one is verified against in the first round; one up to FEW members.
 CENTRES = 3
+FEW = 8
 #: Buckets above so many members are compared by sketches of FINE bits an element.
 LARGE = 64
 FINE = 4
@@ -68,7 +70,6 @@ CHUNK = 20_000
 #: Bytes of a signature kept beside its shard; a clash costs a verification, never a link.
 KEY_BYTES = 5
 
-_BIT = np.random.default_rng(4096).integers(1, 2**63, PART_BITS, dtype=np.uint64)
 _K1, _K2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _EMPTY = np.uint64(0xE7037ED1A0B428DB)
 
@@ -102,7 +103,8 @@ def signatures(x: np.ndarray, k: int):
         return mix(x ^ salt), np.ones(len(x), np.int64)
     part = ((x >> np.uint64(32)) * np.uint64(p)) >> np.uint64(32)
     start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-    sketch = np.bitwise_xor.reduceat(_BIT[(x & np.uint64(PART_BITS - 1)).astype(np.int64)], start)
+    # A part is sparse, so it is kept as the sum (XOR) of a code for each of its bits that is set.
+    sketch = np.bitwise_xor.reduceat(mix((x & np.uint64(2**PART_BITS - 1)) + _K2), start)
     used = part[start]
     free = np.ones(p, bool)
     free[used.astype(np.int64)] = False
@@ -458,7 +460,10 @@ def link(docs: DataFrame) -> DataFrame:
     members = stored(met.join(named.drop("sketch", "fine"), "id").select("bucket", "rep", "n", "probe"), "bucket-members")
     # Round 1: every member against the centres of its bucket.
     orders = [F.col("rep"), *[F.xxhash64("rep", F.lit(k)) for k in range(1, CENTRES)]]
-    first = members.groupBy("bucket").agg(F.array_distinct(F.array(*[F.min_by(F.struct("rep", "n"), o) for o in orders])).alias("f"))
+    best = [F.min_by(F.struct("rep", "n"), o) for o in orders]
+    # Small buckets need one centre: their other pairs are few.
+    centres = F.when(F.count(F.lit(1)) > FEW, F.array_distinct(F.array(*best))).otherwise(F.array(best[0]))
+    first = members.groupBy("bucket").agg(centres.alias("f"))
     star = members.join(first, "bucket").withColumn("c", F.explode("f"))
     star = star.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("c.rep").alias("v"), F.col("c.n").alias("nv"))
     star = stored(_sketches_near(_alike(star), named), "star-pairs")

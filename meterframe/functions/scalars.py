@@ -42,11 +42,6 @@ def month_cos(month: Column) -> Column:
     return F.cos(F.lit(2 * math.pi) * month / F.lit(12.0))
 
 
-def as_text(c) -> Column:
-    """I7."""
-    return col_(c).cast("string")
-
-
 def thousands(c, decimals: int = 2) -> Column:
     """I11: '1,234.57' style number text."""
     return F.format_number(col_(c), decimals)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterframe.functions.dates import bucket, bucket_label, iso_text
 from meterframe.functions.quantiles import exact_percentiles
 from meterframe.functions.scalars import nan_to_null
-from meterframe.operators.filters import FilterParams, validate_metrics
+from meterframe.operators.filters import FilterParams, date_between, optional_equals, validate_metrics
 from meterframe.schema import DEFAULT_ROLES, OTHER_LABEL, TOP_N_SLICES, Roles
 
 
@@ -30,11 +30,8 @@ def daily_series(
 ) -> DataFrame:
     """SUM(metric) per day within [from, to], optional equality filters."""
     d = F.col(roles.date)
-    pred = d.between(F.lit(date_from), F.lit(date_to))
-    if loc is not None:
-        pred = pred & (F.col(roles.location) == F.lit(loc))
-    if res_mapped is not None:
-        pred = pred & (F.col(roles.residence_mapped) == F.lit(res_mapped))
+    pred = date_between(roles.date, date_from, date_to) & optional_equals(roles.location, loc)
+    pred = pred & optional_equals(roles.residence_mapped, res_mapped)
     return (
         df.filter(pred)
         .groupBy(d.alias("day"))
@@ -54,7 +51,7 @@ def top_categories(
     """
     cat = category or roles.location
     return (
-        df.filter(F.col(roles.date).between(F.lit(date_from), F.lit(date_to)))
+        df.filter(date_between(roles.date, date_from, date_to))
         .groupBy(cat)
         .agg(F.sum(metric).alias(f"total_{metric}"))
         .orderBy(F.col(f"total_{metric}").desc_nulls_last(), F.col(cat).asc_nulls_last())
@@ -284,14 +281,29 @@ def page(
 
     The key column makes the order total, so pages never overlap.
     """
-    pred = F.col(roles.date).between(F.lit(date_from), F.lit(date_to))
+    pred = date_between(roles.date, date_from, date_to)
     for c, v in (equals or {}).items():
-        if v is not None:
-            pred = pred & (F.col(c) == F.lit(v))
+        pred = pred & optional_equals(c, v)
     out = df.filter(pred).orderBy(F.col(roles.date).desc(), F.col(roles.key).asc()).offset(offset).limit(limit)
     return out.select(*columns) if columns else out
 
 
+def page_after(
+    df: DataFrame, date_from, date_to, after: Optional[tuple] = None, equals: Optional[dict] = None, limit: int = 100,
+    columns: Optional[List[str]] = None, roles: Roles = DEFAULT_ROLES,
+) -> DataFrame:
+    """G1 by key: the page that follows the row with (date, key) ``after`` (the first page without it).
+
+    However deep the page, each task keeps ``limit`` rows and the date bound prunes the scan, where an
+    offset carries every earlier row to one place.
+    """
+    d, k = F.col(roles.date), F.col(roles.key)
+    rest = df
+    if after is not None:
+        rest = df.filter((d < F.lit(after[0])) | ((d == F.lit(after[0])) & (k > F.lit(after[1]))))
+    return page(rest, date_from, date_to, equals, limit, 0, columns, roles)
+
+
 def preview(df: DataFrame, params: Optional[FilterParams] = None, n: int = 10, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """First n rows in a defined order (date, meter, key)."""
     base = params.apply(df, roles) if params else df

@@ -121,7 +121,3 @@ def residence_display(c) -> F.Column:
 def day_type(flag) -> F.Column:
     """Weekend flag -> 'Weekend' / 'Weekday'."""
     return F.when(flag, F.lit("Weekend")).when(~flag, F.lit("Weekday"))
-
-
-def is_numeric(dtype: T.DataType) -> bool:
-    return isinstance(dtype, T.NumericType)

@@ -1,10 +1,10 @@
 """Facet lists and meter search.
 
-All facets of a request come from ONE scan: the filtered rows are unpivoted
-into (facet, value) pairs, de-duplicated with a partial + final aggregate, and
-capped per facet with ``row_number() <= cap`` -- which Spark plans as a
-WindowGroupLimit *before* the shuffle, so a high-cardinality facet such as
-the meter id sends at most ``cap`` values per partition.
+The filtered rows are unpivoted into (facet, value) pairs and de-duplicated with a partial + final
+aggregate.  A facet with a cap is ranked by ``row_number() <= cap``, which Spark plans as a
+WindowGroupLimit: each task keeps at most ``cap`` values a facet.  A facet without one gets positions from
+a range partitioning, so no task ranks a whole facet; that costs one job while the plan is built.  Nothing
+is capped unless the caller says so, and every row carries the ``total`` number of values of its facet.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from meterframe.operators.filters import FilterParams, like_search, regex_search
-from meterframe.schema import DEFAULT_ROLES, FACET_CAP, METER_OPTIONS_CAP, SEARCH_LIMIT, Roles
+from meterframe.operators.filters import FilterParams, like_search, not_null, regex_search
+from meterframe.schema import DEFAULT_ROLES, Roles
 from meterframe.session import cut_lineage
 
 
@@ -25,58 +25,53 @@ def _stack(df: DataFrame, facets: Sequence[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.facet", "p.value")
 
 
-def _ranked_positions(distinct: DataFrame, n_parts: int) -> DataFrame:
-    """0-based position of each value inside its facet without a per-facet task.
+def _positions(df: DataFrame, order: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """Add ``position``: the 0-based place of each row of ``by`` in ``order``, without one task per group.
 
-    The distinct pairs are range-partitioned on (facet, value); each value is
-    ranked inside its (range partition, facet) and offset by the counts of the
-    earlier partitions of the same facet (a prefix sum over facets x
-    partitions rows, broadcast by construction).
+    The rows are range-partitioned on (by, order); each is ranked inside its (range partition, group) and
+    offset by the counts of the group's earlier partitions (a prefix sum over at most groups x partitions
+    rows, broadcast by construction).
     """
-    # Range boundaries are sampled: checkpoint the stamped pairs once so both
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Range boundaries are sampled: checkpoint the stamped rows once so both
     # uses below (and any retry) see the same partition ids.
-    ranged = cut_lineage(distinct.repartitionByRange(n_parts, "facet", "value").withColumn("_pid", F.spark_partition_id()))
-    local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", "facet").orderBy("value")))
-    counts = ranged.groupBy("facet", "_pid").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy("facet").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("facet", "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
-    return local.join(F.broadcast(offsets), ["facet", "_pid"]).select(
-        "facet", "value", (F.col("_off") + F.col("_lr") - 1).cast("int").alias("position")
-    )
-
+    ranged = cut_lineage(df.repartitionByRange(n_parts, *by, *order).withColumn("_pid", F.spark_partition_id()))
+    local = ranged.withColumn("_lr", F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order)))
+    counts = ranged.groupBy(*by, "_pid").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*by, "_pid", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"))
+    placed = local.join(F.broadcast(offsets), [*by, "_pid"])
+    return placed.withColumn("position", (F.col("_off") + F.col("_lr") - 1).cast("int")).drop("_pid", "_lr", "_off", "_c")
 
-def _capped(pairs: DataFrame, caps: Dict[str, Optional[int]], categorical: Sequence[str] = ()) -> DataFrame:
-    """Distinct values per facet with a 0-based position, first ``cap`` per facet.
 
-    Facets sharing a cap form one branch whose filter is a plain
-    ``row_number <= cap``: Spark turns exactly that shape into a WindowGroupLimit,
-    partial before the shuffle, so a capped facet moves at most ``cap`` values
-    per partition.  Uncapped category columns (bounded by their number of
-    categories) are ranked with a window per facet; any other uncapped facet
-    gets distributed positions (``_ranked_positions``).  All branches reuse the
-    one distinct-aggregation exchange.
-    """
+def _listed(pairs: DataFrame, caps: Dict[str, Optional[int]]) -> DataFrame:
+    """facet, value, position, total of the distinct values, the first ``cap`` of a capped facet."""
     distinct = pairs.filter(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("facet").orderBy("value")
+    totals = distinct.groupBy("facet").agg(F.count(F.lit(1)).alias("total"))
     groups: Dict[Optional[int], List[str]] = {}
-    open_ended: List[str] = []
     for f, cap in caps.items():
-        if cap is None and f not in categorical:
-            open_ended.append(f)
-        else:
-            groups.setdefault(cap, []).append(f)
+        groups.setdefault(cap, []).append(f)
+    w = Window.partitionBy("facet").orderBy("value")
     out = None
     for cap, fs in groups.items():
-        ranked = distinct.filter(F.col("facet").isin(fs)).withColumn("_rn", F.row_number().over(w))
-        if cap is not None:
-            ranked = ranked.filter(F.col("_rn") <= F.lit(cap))  # the shape the limit rule matches
-        ranked = ranked.select("facet", "value", (F.col("_rn") - 1).cast("int").alias("position"))
-        out = ranked if out is None else out.unionByName(ranked)
-    if open_ended:
-        n_parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranked = _ranked_positions(distinct.filter(F.col("facet").isin(open_ended)), n_parts)
-        out = ranked if out is None else out.unionByName(ranked)
-    return out
+        part = distinct.filter(F.col("facet").isin(fs))
+        if cap is None:
+            part = _positions(part, ["value"], ["facet"])
+        else:  # the shape the limit rule matches
+            part = part.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= F.lit(cap))
+            part = part.withColumn("position", (F.col("_rn") - 1).cast("int"))
+        part = part.select("facet", "value", "position")
+        out = part if out is None else out.unionByName(part)
+    # One row per facet of the request.
+    return out.join(F.broadcast(totals), "facet").select("facet", "value", "position", "total")
+
+
+EMPTY_LIST = "facet string, value string, position int, total bigint"
+
+
+def listable(df: DataFrame, column: str) -> bool:
+    """Whether a request may list a column's values: the text of a floating-point number is engine-specific."""
+    return not isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
 
 
 def facet_values(
@@ -88,94 +83,81 @@ def facet_values(
 ) -> DataFrame:
     """Distinct text values per facet under the *full* filter, sorted as text.
 
-    Default facets: location, residence category, meter id; the meter id list
-    is capped at 500, the rest are uncapped (category columns are ranked per
-    facet, any other column with distributed positions).  Output: facet,
-    value, position.
+    Default facets: location, residence category, meter id.  ``caps`` names the facets to cut short (the
+    dashboard shows 500 meter ids); the others are whole.  Requested facets that may not be listed are
+    left out.  Output: facet, value, position, total.
     """
     cols_lc = {c.lower(): c for c in df.columns}
     if facets:
-        fs = [cols_lc[f.lower()] for f in facets if f.lower() in cols_lc]
+        fs = list(dict.fromkeys(cols_lc[f.lower()] for f in facets if f.lower() in cols_lc and listable(df, cols_lc[f.lower()])))
     else:
         fs = [c for c in (roles.location, roles.residence_mapped, roles.meter) if c in df.columns]
-    caps = dict(caps) if caps is not None else {}
-    if roles.meter in fs and roles.meter not in caps:
-        caps[roles.meter] = METER_OPTIONS_CAP
-    for f in fs:
-        caps.setdefault(f, None)
     base = params.apply(df, roles) if params else df
     if not fs:
-        return df.sparkSession.createDataFrame([], "facet string, value string, position int")
-    categorical = (roles.location, roles.residence, roles.residence_mapped)
-    return _capped(_stack(base, fs), caps, categorical)
+        return df.sparkSession.createDataFrame([], EMPTY_LIST)
+    return _listed(_stack(base, fs), {f: (caps or {}).get(f) for f in fs})
 
 
-def unique_values(df: DataFrame, cap: int = FACET_CAP, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """H4: first ``cap`` sorted text values of every non-excluded column."""
+def unique_values(df: DataFrame, cap: Optional[int] = None, roles: Roles = DEFAULT_ROLES) -> DataFrame:
+    """H4: sorted text values of every non-excluded column, the first ``cap`` if given, and their total."""
     cols = [c for c in df.columns if c not in roles.exclude]
     if not cols:
-        return df.sparkSession.createDataFrame([], "facet string, value string, position int")
-    return _capped(_stack(df, cols), {c: cap for c in cols})
+        return df.sparkSession.createDataFrame([], EMPTY_LIST)
+    return _listed(_stack(df, cols), {c: cap for c in cols})
 
 
 def meter_options(
     df: DataFrame,
     params: Optional[FilterParams] = None,
     q: str = "",
-    limit: int = SEARCH_LIMIT,
+    limit: Optional[int] = None,
     regex: bool = True,
     roles: Roles = DEFAULT_ROLES,
 ) -> DataFrame:
     """H2 (+C9): meter ids as text under every filter except the meter selection
     itself, matching ``q`` case-insensitively (a regex by default, a literal
-    with ``regex=False``), sorted as text, first ``limit`` (>= 1)."""
-    limit = max(int(limit or SEARCH_LIMIT), 1)
+    with ``regex=False``), sorted as text, the first ``limit`` (>= 1) if given."""
     base = (params or FilterParams()).apply(df, roles, skip=[roles.meter])
     v = F.col(roles.meter).cast("string")
     out = base.select(v.alias("value")).filter(F.col("value").isNotNull())
     q = (q or "").strip()
     if q:
         out = out.filter(regex_search(F.col("value"), q, literal=not regex))
-    return out.distinct().orderBy("value").limit(limit)
+    out = out.distinct().orderBy("value")
+    return out if limit is None else out.limit(max(int(limit), 1))
 
 
 def meter_options_by_location(
-    df: DataFrame, loc: Optional[str] = None, q: str = "", limit: int = SEARCH_LIMIT, roles: Roles = DEFAULT_ROLES
+    df: DataFrame, loc: Optional[str] = None, q: str = "", limit: Optional[int] = None, roles: Roles = DEFAULT_ROLES
 ) -> DataFrame:
     """H3 (+C10): distinct meter ids, optional location equality and LIKE search
-    ('%' and '_' in q are wildcards), sorted by the id's own type, first ``limit``."""
-    limit = max(int(limit or SEARCH_LIMIT), 1)
+    ('%' and '_' in q are wildcards), sorted by the id's own type, the first ``limit`` (>= 1) if given."""
     m = F.col(roles.meter)
-    out = df.filter(m.isNotNull())
+    out = df.filter(not_null(roles.meter))
     if loc:
         out = out.filter(F.col(roles.location).cast("string") == F.lit(loc))
     q = (q or "").strip()
     if q:
         out = out.filter(like_search(m.cast("string"), q))
-    return out.select(m.alias("_id")).distinct().orderBy("_id").limit(limit).select(F.col("_id").cast("string").alias("value"))
+    out = out.select(m.alias("_id")).distinct().orderBy("_id")
+    return (out if limit is None else out.limit(max(int(limit), 1))).select(F.col("_id").cast("string").alias("value"))
 
 
 def selected_first(spark, selected: Sequence[str], options: DataFrame, value: str = "value", order: str = "position") -> DataFrame:
-    """H5: selected values (in their order) then the options (in theirs), de-duplicated.
-
-    ``options`` is a capped option list, so ranking the union is bounded.
-    """
+    """H5: selected values (in their order) then the options (in theirs), de-duplicated."""
     sel = spark.createDataFrame(
         [(str(v), 0, i) for i, v in enumerate(selected)],
         T.StructType([T.StructField("value", T.StringType()), T.StructField("_p", T.IntegerType()), T.StructField("_o", T.LongType())]),
     )
     opts = options.select(F.col(value).cast("string").alias("value"), F.lit(1).alias("_p"), F.col(order).cast("long").alias("_o"))
     merged = sel.unionByName(opts).groupBy("value").agg(F.min(F.struct("_p", "_o")).alias("_k"))
-    w = Window.orderBy(F.col("_k._p"), F.col("_k._o"))
-    return merged.select("value", (F.row_number().over(w) - 1).cast("int").alias("position"))
+    flat = merged.select("value", F.col("_k._p").alias("_p"), F.col("_k._o").alias("_o"))
+    return _positions(flat, ["_p", "_o"]).select("value", "position")
 
 
 def relevance_order(values: DataFrame, q: str = "", selected: Sequence[str] = (), value: str = "value") -> DataFrame:
     """G6 (+I13): selected values first (in their order), then prefix matches,
-    then substring matches, then the rest, each alphabetical by lower-case text.
-
-    Works on an option list (capped), so the global ordering is bounded.
-    """
+    then substring matches, then the rest, each alphabetical by lower-case text."""
     ql = (q or "").strip().lower()
     text = F.lower(F.trim(F.col(value).cast("string")))
     sel_map = {str(v): i for i, v in enumerate(selected)}
@@ -194,5 +176,4 @@ def relevance_order(values: DataFrame, q: str = "", selected: Sequence[str] = ()
         F.when(sel_idx.isNotNull(), F.lit(-1)).otherwise(score).alias("score"),
         text.alias("_t"),
     )
-    w = Window.orderBy("_sel", "_si", "score", "_t", "value")
-    return ranked.select("value", "score", (F.row_number().over(w) - 1).cast("int").alias("position"))
+    return _positions(ranked, ["_sel", "_si", "score", "_t", "value"]).select("value", "score", "position")

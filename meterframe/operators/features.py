@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterframe.functions.scalars import month_cos, month_sin, nan_to_null, safe_ratio
+from meterframe.operators.filters import as_of as up_to
 from meterframe.schema import DEFAULT_ROLES, Roles
 from meterframe.session import cut_lineage, stored
 
@@ -201,7 +202,7 @@ def build_features(
     restricts it to rows dated before that day, for look-ahead-free validation.
     """
     mt, d = roles.meter, roles.date
-    base = df.filter(F.col(d) <= F.lit(as_of)) if as_of is not None else df
+    base = up_to(df, as_of, roles) if as_of is not None else df
     base = base.select(
         mt, d, roles.key, roles.location, roles.residence, *[nan_to_null(F.col(m)).alias(m) for m in METRIC_COLS]
     ).filter(F.col(mt).isNotNull())

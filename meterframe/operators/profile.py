@@ -25,35 +25,36 @@ from meterframe.functions.dates import is_weekend, weekday_index
 from meterframe.functions.quantiles import exact_percentiles
 from meterframe.functions.scalars import nan_to_null
 from meterframe.operators.clean import day_type, residence_display
+from meterframe.operators.filters import min_support
 from meterframe.schema import DEFAULT_ROLES, WEEKDAYS, Roles
 
 
 # --------------------------------------------------------------------- calendars
-def _month_calendar(agg: DataFrame, month_col: str = "month") -> DataFrame:
-    bounds = agg.agg(F.min(month_col).alias("_a"), F.max(month_col).alias("_b"))
-    return bounds.select(F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 MONTH"))).alias(month_col))
+def _with_gap_months(agg: DataFrame, value: str, empty) -> DataFrame:
+    """Every month from the first to the last, ``empty`` where the aggregate has none.
+
+    Each month is followed by the months up to the next one it has (``lead``), so the table is read once.
+    The window holds one row per month.
+    """
+    ahead = agg.withColumn("_next", F.lead("month").over(Window.orderBy("month")))
+    upto = F.coalesce(F.add_months("_next", -1), F.col("month"))
+    run = ahead.withColumn("_m", F.explode(F.sequence("month", upto, F.expr("INTERVAL 1 MONTH"))))
+    own = F.when(F.col("_m") == F.col("month"), F.col(value))
+    return run.select(F.col("_m").alias("month"), F.coalesce(own, empty).alias(value))
 
 
 def monthly_total(df: DataFrame, metric: str = "kwh", roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Monthly sum with gap months filled with 0, labelled by month end."""
     rows = df.filter(F.col(roles.date).isNotNull())
-    agg = rows.groupBy(F.trunc(roles.date, "month").alias("month")).agg(F.sum(nan_to_null(F.col(metric))).alias("_v"))
-    cal = _month_calendar(agg)
-    return cal.join(agg, "month", "left").select(
-        F.last_day("month").alias("month_end"), F.coalesce(F.col("_v"), F.lit(0.0)).alias(metric)
-    )
+    agg = rows.groupBy(F.trunc(roles.date, "month").alias("month")).agg(F.sum(nan_to_null(F.col(metric))).alias(metric))
+    return _with_gap_months(agg, metric, F.lit(0.0)).select(F.last_day("month").alias("month_end"), metric)
 
 
 def monthly_distinct_meters(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """Distinct meters reporting per month, gaps filled with 0."""
     rows = df.filter(F.col(roles.date).isNotNull())
-    agg = rows.groupBy(F.trunc(roles.date, "month").alias("month")).agg(
-        F.countDistinct(roles.meter).alias("_v")
-    )
-    cal = _month_calendar(agg)
-    return cal.join(agg, "month", "left").select(
-        F.last_day("month").alias("month_end"), F.coalesce(F.col("_v"), F.lit(0)).cast("long").alias("unique_meters")
-    )
+    agg = rows.groupBy(F.trunc(roles.date, "month").alias("month")).agg(F.countDistinct(roles.meter).alias("unique_meters"))
+    return _with_gap_months(agg, "unique_meters", F.lit(0).cast("long")).select(F.last_day("month").alias("month_end"), "unique_meters")
 
 
 def period_change(series: DataFrame, value: str, order: str) -> DataFrame:
@@ -65,14 +66,9 @@ def period_change(series: DataFrame, value: str, order: str) -> DataFrame:
 def largest_drop(series_with_diff: DataFrame) -> DataFrame:
     """the row with the smallest diff (first such period on ties); null diffs skipped."""
     cols = series_with_diff.columns
-    order_col = cols[0]
-    best = series_with_diff.filter(F.col("diff").isNotNull()).agg(
-        F.min(F.struct(F.col("diff"), F.col(order_col))).alias("_k")
-    )
-    return series_with_diff.join(
-        best.select(F.col("_k.diff").alias("_d"), F.col(f"_k.{order_col}").alias("_o")),
-        (F.col("diff") == F.col("_d")) & (F.col(order_col) == F.col("_o")),
-    ).select(*cols)
+    best = F.min_by(F.struct(*cols), F.struct("diff", cols[0]))
+    found = series_with_diff.filter(F.col("diff").isNotNull()).agg(best.alias("_r"))
+    return found.filter(F.col("_r").isNotNull()).select("_r.*")
 
 
 # --------------------------------------------------------------------- group means
@@ -189,7 +185,7 @@ def meter_profile(df: DataFrame, metrics: Sequence[str] = ("kwh",), roles: Roles
 
 def profile_summary(df: DataFrame, metric: str = "kwh", min_count: int = 5, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """E24 (+C14): mean of per-meter means and stds over meters with count > min_count."""
-    prof = meter_profile(df, [metric], roles).filter(F.col(f"{metric}_count") > min_count)
+    prof = min_support(meter_profile(df, [metric], roles), f"{metric}_count", min_count)
     return prof.agg(
         F.count(F.lit(1)).alias("meters"),
         F.avg(f"{metric}_mean").alias("mean_of_means"),
@@ -396,13 +392,17 @@ def log_histogram_of_records(df: DataFrame, bins: int = 50, roles: Roles = DEFAU
     return histogram(per, ["records"], bins, transform=lambda c: F.log10(c.cast("double")))
 
 
+#: Grid points summed by one aggregate.
+GRID_SUMS = 50
+
+
 def density(values: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density of a column on a regular grid (Scott's rule).
 
     bandwidth = sample std * n^(-1/5); grid from min - cut*bw to max + cut*bw.
-    Exact sum over all points: each value is expanded to the ``gridsize`` grid
-    points and summed per grid point with a partial aggregate (no join, no
-    single-task collection).  Only the five summary numbers reach the driver.
+    Exact sums over all values, one per grid point, ``GRID_SUMS`` of them in an
+    aggregate (each value is read once per such group and never multiplied
+    into rows).  Only the four summary numbers reach the driver.
     """
     v = nan_to_null(F.col(column).cast("double"))
     base = values.select(v.alias("v")).filter(F.col("v").isNotNull())
@@ -414,17 +414,17 @@ def density(values: DataFrame, column: str, gridsize: int = 200, cut: float = 3.
     bw = sd * math.pow(n, -0.2)
     lo, hi = st["lo"] - cut * bw, st["hi"] + cut * bw
     step = (hi - lo) / (gridsize - 1)
-    pts = base.select("v", F.explode(F.sequence(F.lit(0), F.lit(gridsize - 1))).alias("point"))
-    x = F.col("point").cast("double") * F.lit(step) + F.lit(lo)
-    z = (x - F.col("v")) / F.lit(bw)
-    k = F.exp(F.lit(-0.5) * z * z)
-    agg = pts.groupBy("point").agg(F.sum(k).alias("_s"))
+    at = [lo + i * step for i in range(gridsize)]
+    # One aggregate with a sum per grid point: a row adds to the points without becoming gridsize rows.
+    kernel = lambda x: F.exp(F.lit(-0.5) * F.pow((F.lit(x) - F.col("v")) / F.lit(bw), F.lit(2.0)))
+    sums = None
+    for first in range(0, gridsize, GRID_SUMS):
+        part = base.agg(*[F.sum(kernel(x)).alias(f"_{i}") for i, x in enumerate(at) if first <= i < first + GRID_SUMS])
+        rows = [F.struct(F.lit(i).alias("point"), F.lit(x).alias("x"), F.col(f"_{i}").alias("_s")) for i, x in enumerate(at) if first <= i < first + GRID_SUMS]
+        part = part.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+        sums = part if sums is None else sums.unionByName(part)
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
-    return agg.select(
-        F.col("point").cast("int").alias("point"),
-        (F.col("point").cast("double") * F.lit(step) + F.lit(lo)).alias("x"),
-        (F.col("_s") * F.lit(norm)).alias("density"),
-    )
+    return sums.select("point", "x", (F.col("_s") * F.lit(norm)).alias("density"))
 
 
 def percentile_under_filter(df: DataFrame, column: str, p: float, predicate=None, exact: bool = True,
@@ -452,12 +452,13 @@ def date_text_bounds(df: DataFrame, roles: Roles = DEFAULT_ROLES, fmt: str = "dd
 
 
 def fixed_sample(df: DataFrame, n: int = 5000, seed: int = 1, roles: Roles = DEFAULT_ROLES) -> DataFrame:
-    """Exactly n rows (or all), repeatable: the n smallest hash(key, seed).
+    """Exactly n rows (or all), repeatable on any engine: the n smallest md5 of "key-seed".
 
     ``orderBy().limit()`` is a TakeOrderedAndProject: each partition keeps only
     n rows, so the sample size, not the data, bounds the final merge.
     """
-    return df.orderBy(F.xxhash64(F.col(roles.key), F.lit(seed)), F.col(roles.key)).limit(n)
+    rank = F.md5(F.concat_ws("-", F.col(roles.key).cast("string"), F.lit(str(seed))))
+    return df.orderBy(rank, F.col(roles.key)).limit(n)
 
 
 def exploration_report(df: DataFrame, roles: Roles = DEFAULT_ROLES, metric: str = "kwh") -> dict:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from meterframe.operators import aggregates as agg
 from meterframe.operators import facets as fc
 from meterframe.operators.filters import FilterParams, metric_label, params_from_request, validate_metrics
-from meterframe.schema import DEFAULT_ROLES, Roles
+from meterframe.schema import DEFAULT_ROLES, FACET_CAP, METER_OPTIONS_CAP, SEARCH_LIMIT, Roles
 
 
 def chart_data(df: DataFrame, request: Mapping, roles: Roles = DEFAULT_ROLES) -> Dict:
@@ -59,15 +59,21 @@ def bar_data(df: DataFrame, request: Mapping, roles: Roles = DEFAULT_ROLES) -> D
 
 
 def filter_options(df: DataFrame, payload: Mapping, roles: Roles = DEFAULT_ROLES) -> Dict:
-    """Facet lists under the full filter, the filtered date span and row count."""
+    """Facet lists under the full filter, cut at the dashboard's lengths (``truncated`` names those that
+    were), the filtered date span and row count."""
     p = params_from_request(payload, df.columns, roles, enforce_exclusions=False, check_freq=False)
     facets = payload.get("facets") or None
+    caps = {c: METER_OPTIONS_CAP if c == roles.meter else FACET_CAP for c in df.columns}
     lists: Dict[str, List[str]] = {}
-    for r in fc.facet_values(df, p, facets, roles=roles).orderBy("facet", "position").collect():
+    truncated = set()
+    for r in fc.facet_values(df, p, facets, caps, roles).orderBy("facet", "position").collect():
         lists.setdefault(r["facet"], []).append(r["value"])
+        if r["total"] > caps[r["facet"]]:
+            truncated.add(r["facet"])
     span = agg.date_bounds(df, p, roles).first()
     return {
         "options": lists,
+        "truncated": sorted(truncated),
         "dates": {"min": span["date_min"], "max": span["date_max"]},
         "rows": agg.row_count(df, p, roles).first()["rows"],
     }
@@ -77,9 +83,9 @@ def meter_options(df: DataFrame, payload: Mapping, roles: Roles = DEFAULT_ROLES)
     """Meter ids for the search box (regex search, own selection ignored)."""
     p = params_from_request(payload, df.columns, roles, enforce_exclusions=False, check_freq=False)
     try:
-        limit = int(payload.get("limit") or 200)
+        limit = int(payload.get("limit") or SEARCH_LIMIT)
     except (TypeError, ValueError):
-        limit = 200
+        limit = SEARCH_LIMIT
     q = str(payload.get("q") or "").strip()
     return [r["value"] for r in fc.meter_options(df, p, q, limit, roles=roles).collect()]
 

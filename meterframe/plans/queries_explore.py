@@ -13,6 +13,7 @@ from meterframe.operators.filters import FilterParams
 from meterframe.plans.queries_dashboard import AND_TWO, AND_TWO_SQL
 from meterframe.plans.registry import register
 from meterframe.plans.sql import with_events, with_sales
+from meterframe.schema import FACET_CAP, METER_OPTIONS_CAP
 from meterframe.sources.adapters import event_sales, sales_table as sales
 
 D = dt.date
@@ -29,29 +30,30 @@ def _facets_sql(where: str, facets, caps) -> str:
         f"(facet = '{f}' AND position < {caps[f]})" if caps.get(f) is not None else f"facet = '{f}'" for f in facets
     )
     return with_sales(
-        f"SELECT facet, value, position FROM r WHERE {cap_pred}",
+        f"SELECT facet, value, position, total FROM r WHERE {cap_pred}",
         f"f AS ({union}), d AS (SELECT DISTINCT facet, value FROM f WHERE value IS NOT NULL), "
-        "r AS (SELECT facet, value, CAST(ROW_NUMBER() OVER (PARTITION BY facet ORDER BY value) - 1 AS INTEGER) AS position FROM d)",
+        "r AS (SELECT facet, value, CAST(ROW_NUMBER() OVER (PARTITION BY facet ORDER BY value) - 1 AS INTEGER) AS position, "
+        "COUNT(*) OVER (PARTITION BY facet) AS total FROM d)",
     )
 
 
 # ----------------------------------------------------------------- facets
 @register("h01_facets", _facets_sql(FACET_SQL, ["loc", "res_mapped", "meterid"], {"meterid": 500}))
 def q_h01(spark, sf):
-    """All facet lists of a request from one scan (meter ids capped at 500)."""
-    return fc.facet_values(sales(spark, sf), FACET_PARAMS)
+    """All facet lists of a request (the dashboard shows 500 meter ids)."""
+    return fc.facet_values(sales(spark, sf), FACET_PARAMS, caps={"meterid": METER_OPTIONS_CAP})
 
 
 @register("h01_facets_unfiltered", _facets_sql("TRUE", ["loc", "res_mapped", "meterid"], {"meterid": 500}))
 def q_h01u(spark, sf):
     """Facet lists of the whole table."""
-    return fc.facet_values(sales(spark, sf))
+    return fc.facet_values(sales(spark, sf), caps={"meterid": METER_OPTIONS_CAP})
 
 
 @register("h04_unique_values", _facets_sql(AND_TWO_SQL, ["meterid", "loc", "res_mapped"], {"meterid": 200, "loc": 200, "res_mapped": 200}))
 def q_h04(spark, sf):
     """First 200 sorted values of every non-excluded column under a filter."""
-    return fc.unique_values(AND_TWO.apply(sales(spark, sf)))
+    return fc.unique_values(AND_TWO.apply(sales(spark, sf)), FACET_CAP)
 
 
 @register(
@@ -545,7 +547,11 @@ def q_b11(spark, sf):
     return eda_clean(sales(spark, sf))
 
 
-@register("h10_fixed_sample", None)
+@register(
+    "h10_fixed_sample",
+    with_sales("SELECT key, kwh, ghc, paymoney FROM sales ORDER BY md5(CAST(key AS VARCHAR) || '-1'), key LIMIT 5000"),
+    doubles=["kwh", "ghc", "paymoney"],
+)
 def q_h10(spark, sf):
     """Repeatable fixed-size sample (5000 rows) for scatter plots."""
     return pr.fixed_sample(sales(spark, sf), 5000, seed=1).select("key", "kwh", "ghc", "paymoney")
@@ -573,9 +579,8 @@ def q_e32e(spark, sf):
 
 @register("h01_facets_requested", _facets_sql(FACET_SQL, ["res", "key"], {}))
 def q_h01r(spark, sf):
-    """Facets named in the request: a category column and an uncapped id column
-    (ranked with distributed positions, not one task per facet)."""
-    return fc.facet_values(sales(spark, sf), FACET_PARAMS, facets=["RES", "key"], caps={"key": None})
+    """Facets named in the request, whole: a category column and an id column."""
+    return fc.facet_values(sales(spark, sf), FACET_PARAMS, facets=["RES", "key"])
 
 
 _PER_USER = "per AS (SELECT meterid, COUNT(*) AS records FROM event_sales WHERE meterid IS NOT NULL GROUP BY meterid)"

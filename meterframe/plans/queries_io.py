@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from meterframe.operators.clean import preprocess
+from pyspark.sql import functions as F
+
+from meterframe.operators.clean import add_weekend_flag, drop_columns, preprocess, project, rename
+from meterframe.operators.filters import FilterParams
 from meterframe.plans.registry import register
 from meterframe.plans.sql import with_sales
 from meterframe.session import scratch_path
@@ -53,6 +56,97 @@ def q_a06(spark, sf):
     return rd.read_table(spark, "prod.sales")
 
 
+@register(
+    "a06_table_replace_partitioned",
+    with_sales(f"SELECT DISTINCT chargedate, key, meterid, loc, res, kwh, ghc, paymoney, res_mapped, CAST(year(chargedate) AS INTEGER) AS year FROM sales WHERE {_ALL_PRESENT}"),
+    doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"],
+)
+def q_a06p(spark, sf):
+    """Replace a table partitioned by year, twice, and scan it."""
+    rows = preprocess(sales_raw(spark, sf)).withColumn("year", F.year("chargedate"))
+    for _ in range(2):
+        sk.replace_table(spark, rows, "prod.sales_by_year", clean=False, partition_by=["year"], analyze=False)
+    return rd.read_table(spark, "prod.sales_by_year")
+
+
+_TYPED = "chargedate, key, meterid, loc, res, kwh, ghc, paymoney"
+
+
+@register("a07_rebuild_from_csv", with_sales(f"SELECT {_TYPED} FROM sales"), doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"])
+def q_a07(spark, sf):
+    """Rebuild a table from CSV files in the source's layout (no dedupe, no null drop), and scan it."""
+    path = scratch_path(spark, "csv_rebuild")
+    sk.export_csv(sk.to_source_csv_layout(sales_raw(spark, sf)), path)
+    sk.rebuild_from_csv(spark, path, "prod.sales_rebuilt")
+    return rd.read_table(spark, "prod.sales_rebuilt").select(*[c.strip() for c in _TYPED.split(",")])
+
+
+@register(
+    "a11_ingest_upload",
+    with_sales(f"SELECT DISTINCT {_TYPED}, res_mapped FROM sales WHERE {_ALL_PRESENT}"),
+    doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"],
+)
+def q_a11(spark, sf):
+    """An uploaded CSV (a folder of part files here) replaces a table; scan it."""
+    path = scratch_path(spark, "upload") + ".csv"
+    sk.export_csv(sk.to_source_csv_layout(sales_raw(spark, sf)), path)
+    sk.ingest_upload(spark, path, "prod.sales_uploaded")
+    return rd.read_table(spark, "prod.sales_uploaded")
+
+
+@register(
+    "a09_refresh_from_parquet",
+    with_sales(f"SELECT DISTINCT {_TYPED}, res_mapped FROM sales WHERE {_ALL_PRESENT}"),
+    doubles=["kwh", "ghc", "paymoney"], dates=["chargedate"],
+)
+def q_a09(spark, sf):
+    """A Parquet export is read from its URI (A3) and replaces a table (A9); a missing one changes nothing."""
+    path = scratch_path(spark, "export")
+    sales_raw(spark, sf).write.parquet(path)
+    sk.refresh_from_uri(spark, path, "prod.sales_refreshed")
+    sk.refresh_from_uri(spark, path + "-missing", "prod.sales_refreshed")
+    return rd.read_table(spark, "prod.sales_refreshed")
+
+
+@register("a13_quoted_export", with_sales("SELECT CAST(key AS VARCHAR) AS key, CAST(meterid AS VARCHAR) AS meterid, loc || ', \"x\"' AS loc FROM sales"))
+def q_a13(spark, sf):
+    """A fully quoted CSV export, inner quotes doubled, read back."""
+    path = scratch_path(spark, "quoted")
+    cells = sales_table(spark, sf).select("key", "meterid", F.concat("loc", F.lit(', "x"')).alias("loc"))
+    sk.export_csv(cells, path, quote_all=True)
+    return spark.read.option("header", True).option("escape", '"').csv(path)
+
+
+@register(
+    "b08_reshape",
+    with_sales(
+        "SELECT meterid AS meter, kwh AS energy, chargedate AS day, isodow(chargedate) >= 6 AS is_weekend FROM sales"
+    ),
+    doubles=["energy"], dates=["day"],
+)
+def q_b08(spark, sf):
+    """Columns dropped (B8), kept in a named order (B9) and renamed (B10), with a weekend flag."""
+    d = add_weekend_flag(drop_columns(sales_table(spark, sf), ["loc", "res", "nosuch"]))
+    return rename(project(d, ["meterid", "kwh", "chargedate", "is_weekend", "loc"]), {"meterid": "meter", "kwh": "energy", "chargedate": "day"})
+
+
+@register(
+    "c02_filter_sql_text",
+    with_sales(
+        "SELECT key, meterid, kwh FROM sales WHERE chargedate BETWEEN DATE '1996-01-01' AND DATE '1998-12-31' "
+        "AND loc IN ('NATION_3', 'NATION_7') AND res_mapped IN ('Commercial')"
+    ),
+    doubles=["kwh"],
+)
+def q_c02(spark, sf):
+    """The dashboard filter as SQL text with bound values."""
+    s = sales_table(spark, sf)
+    s.createOrReplaceTempView("mf_sales_c02")
+    p = FilterParams(start=dt.date(1996, 1, 1), end=dt.date(1998, 12, 31), selections={"loc": ["NATION_3", "NATION_7"], "res_mapped": ["Commercial"]})
+    clause, values = p.to_sql_where("chargedate", s.columns)
+    return rd.run_query(spark, f"SELECT key, meterid, kwh FROM mf_sales_c02 WHERE {clause}", values)
+
+
 @register(
     "a05_table_preview",
     with_sales(
@@ -64,7 +158,7 @@ def q_a06(spark, sf):
 def q_a05(spark, sf):
     """First five rows of a replaced table in (date, meter, key) order (its own
     table name, so it never races the replace / scan query)."""
-    sk.replace_table(spark, sales_raw(spark, sf), "prod.sales_preview")
+    sk.replace_table(spark, sales_raw(spark, sf), "prod.sales_preview", analyze=False)
     return rd.preview_table(spark, "prod.sales_preview", 5)
 
 

@@ -13,7 +13,7 @@ from typing import Callable, Dict, Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterframe.plans.checks import for_check, wrap_sql
+from meterframe.plans.checks import for_check, is_exact, wrap_sql
 
 
 @dataclass
@@ -28,12 +28,16 @@ class Query:
     doc: str = ""
 
     def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return for_check(self.fn(spark, sf_dir))
+        return for_check(self.fn(spark, sf_dir), self.exact)
+
+    @property
+    def exact(self) -> list:
+        return [c for c in self.doubles if is_exact(self.name, c)]
 
     def oracle(self) -> Optional[str]:
         if self.sql is None:
             return None
-        return wrap_sql(self.sql, self.doubles, self.dates, self.timestamps)
+        return wrap_sql(self.sql, self.doubles, self.dates, self.timestamps, self.exact)
 
 
 REGISTRY: Dict[str, Query] = {}
@@ -48,13 +52,7 @@ def register(name: str, sql: Optional[str] = None, doubles=(), dates=(), timesta
 
 
 def all_queries() -> Dict[str, Query]:
-    # Import for the registration side effect.
-    from meterframe.plans import queries_dashboard  # noqa: F401
-
-    for mod in ("queries_explore", "queries_features", "queries_io"):
-        try:
-            __import__(f"meterframe.plans.{mod}")
-        except ModuleNotFoundError as e:  # pragma: no cover - modules land step by step
-            if mod not in str(e):
-                raise
+    # Imported for the registration; a module that is missing is an error.
+    from meterframe.plans import queries_dashboard, queries_explore, queries_features, queries_io  # noqa: F401
+
     return REGISTRY

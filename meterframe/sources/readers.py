@@ -9,6 +9,7 @@ opt-in (it costs an extra pass over the files).
 
 from __future__ import annotations
 
+import itertools
 import logging
 import re
 from typing import Callable, Iterable, List, Optional, Sequence
@@ -151,8 +152,19 @@ def ensure_database(spark: SparkSession, name: str = "prod") -> None:
 
 
 def run_query(spark: SparkSession, sql: str, params: Optional[Iterable] = None) -> DataFrame:
-    """Parameterised SQL with positional ``?`` markers (values bound, never spliced)."""
-    return spark.sql(sql, args=list(params)) if params else spark.sql(sql)
+    """Parameterised SQL with positional ``?`` markers (values bound, never spliced).
+
+    The markers are bound by name: Spark 4.1 mixes up five or more positional arguments.
+    """
+    values = list(params or ())
+    if not values:
+        return spark.sql(sql)
+    count = itertools.count()
+    # Quoted text and names are left as they are.
+    named = re.sub(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|\?""", lambda m: f":p{next(count)}" if m[0] == "?" else m[0], sql)
+    if next(count) != len(values):
+        raise ValueError("the markers and the values differ in number")
+    return spark.sql(named, args={f"p{i}": v for i, v in enumerate(values)})
 
 
 def _ident(name: str) -> str:

@@ -222,7 +222,7 @@ def test_endpoint_payloads(spark):
     assert ep.pie_data(df, {"metric": "kwh"})["labels"] == ["Residential", "Commercial"]
     assert ep.bar_data(df, {"metric": "kwh", "LOC": ["N1"]}) == {"labels": ["N1"], "values": [2.0], "metric_label": "kWh", "segment": "loc"}
     opts = ep.filter_options(df, {"selections": {"loc": ["N1"]}})
-    assert opts == {"options": {"loc": ["N1"], "meterid": ["10"], "res_mapped": ["Commercial"]},
+    assert opts == {"options": {"loc": ["N1"], "meterid": ["10"], "res_mapped": ["Commercial"]}, "truncated": [],
                     "dates": {"min": "2020-01-05", "max": "2020-02-01"}, "rows": 2}
     assert ep.meter_options(df, {"q": "1", "limit": "1"}) == ["10"]
     assert ep.stats(df, {})["kwh"]["median"] == 3.0

@@ -25,7 +25,7 @@ def test_declared_presentation_matches_schema(spark, sf_small):
     """Every oracle query declares its double / date columns; they must match the
     Spark result's types, or the two sides would be presented differently."""
     for name, q in all_queries().items():
-        if q.oracle() is None:
+        if q.oracle() is None or name.startswith("k08"):  # k08 trains models
             continue
         schema = q.fn(spark, sf_small).schema
         doubles = {f.name for f in schema.fields if isinstance(f.dataType, T.DoubleType)}

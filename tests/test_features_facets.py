@@ -105,10 +105,10 @@ FACET_ROWS = [(1, 1, "N1", "Commercial"), (2, 10, "N2", "Residential"), (3, 21,
 FSCHEMA = "key bigint, meterid bigint, loc string, res_mapped string"
 
 
-def test_facets_one_scan_sorted_text(spark):
+def test_facets_sorted_text(spark):
     df = spark.createDataFrame(FACET_ROWS, FSCHEMA)
     out = rows(fc.facet_values(df).orderBy("facet", "position"))
-    assert [r for r in out if r[0] == "meterid"] == [("meterid", "1", 0), ("meterid", "10", 1), ("meterid", "110", 2), ("meterid", "21", 3)]
+    assert [r for r in out if r[0] == "meterid"] == [("meterid", "1", 0, 4), ("meterid", "10", 1, 4), ("meterid", "110", 2, 4), ("meterid", "21", 3, 4)]
     assert [r[1] for r in out if r[0] == "loc"] == ["N1", "N2"]  # null dropped
     capped = rows(fc.facet_values(df, caps={"meterid": 2}).filter("facet = 'meterid'"), "value")
     assert capped == [("1",), ("10",)]
@@ -189,7 +189,7 @@ def test_composition_and_facet_plans(spark, sf_small):
     assert "TakeOrderedAndProject(limit=8" in plan  # top slices: each partition keeps 8 groups
     assert "LeftAnti" in plan and "BroadcastExchange" in plan  # remainder against <= 8 labels
     assert "ReusedExchange" in plan  # one aggregation shuffle for both branches
-    plan = _plan_without_aqe(spark, lambda: fc.facet_values(s))
+    plan = _plan_without_aqe(spark, lambda: fc.facet_values(s, caps={"meterid": 500}))
     assert "WindowGroupLimit" in plan and "Partial" in plan  # meter cap applied before the shuffle
 
 
@@ -264,3 +264,48 @@ def test_profile_before_cutoff(spark, threshold):
     assert len(got) == len(data)
     assert {v for k, v in got.items() if v[0] == 1} == {(1, 2.5, 4)}
     assert {v for k, v in got.items() if v[0] == 3} == {(3, None, None)}
+
+
+def test_requested_facets_and_totals(spark):
+    df = spark.createDataFrame([(i, float(i), f"L{i % 3}") for i in range(30)], "meterid bigint, kwh double, loc string")
+    got = fc.facet_values(df, facets=["KWH", "loc", "meterid", "loc", "nope"], caps={"meterid": 4}).toPandas()
+    assert set(got["facet"]) == {"loc", "meterid"}  # a double is not listed
+    assert got[got.facet == "meterid"][["position", "total"]].values.tolist() == [[k, 30] for k in range(4)]
+    assert got[got.facet == "loc"].sort_values("position")["value"].tolist() == ["L0", "L1", "L2"]
+    from meterframe.plans import endpoints
+
+    out = endpoints.filter_options(df.withColumn("chargedate", F.to_date(F.lit("2020-01-01"))), {"facets": ["meterid"]})
+    assert out["truncated"] == [] and len(out["options"]["meterid"]) == 30
+
+
+def test_page_after_continues_the_offset_pages(spark):
+    from meterframe.operators.aggregates import page, page_after
+
+    data = [(i, dt.date(2020, 1, 1 + i % 5)) for i in range(40)]
+    df = spark.createDataFrame(data, "key bigint, chargedate date")
+    span = (dt.date(2020, 1, 1), dt.date(2020, 12, 31))
+    after, seen = None, []
+    while rows_ := page_after(df, *span, after=after, limit=7).collect():
+        seen += [r["key"] for r in rows_]
+        after = (rows_[-1]["chargedate"], rows_[-1]["key"])
+    assert seen == [r["key"] for r in page(df, *span, limit=100).collect()]
+
+
+def test_r2_of_labels_with_a_large_mean(spark):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    from meterframe.operators.forecast import regression_metrics
+
+    rng = np.random.default_rng(3)
+    y = 1e9 + rng.normal(0, 10, 500)
+    df = spark.createDataFrame([(float(a), float(a + b)) for a, b in zip(y, rng.normal(0, 1, 500))], "y double, y_pred double")
+    want = RegressionEvaluator(labelCol="y", predictionCol="y_pred", metricName="r2").evaluate(df)
+    assert abs(regression_metrics(df, "y", "y_pred").first()["r2"] - want) < 1e-9
+
+
+def test_selection_beyond_64_bits_matches_nothing(spark):
+    from meterframe.operators.filters import FilterParams
+
+    df = spark.createDataFrame([(1,)], "meterid bigint")
+    assert FilterParams(selections={"meterid": ["9" * 20]}).apply(df).count() == 0
+    assert FilterParams(selections={"meterid": ["9" * 20, "1"]}).apply(df).count() == 1

@@ -68,6 +68,10 @@ def test_load_first_and_parameterized_sql(spark):
     assert rd.load_first(spark, [lambda: spark.table("nope.nope")], empty).count() == 0
     got = rd.run_query(spark, "SELECT ? + 1 AS v, ? AS s", [41, "it's"]).collect()[0]
     assert (got.v, got.s) == (42, "it's")
+    many = rd.run_query(spark, "SELECT " + ", ".join(f"? AS c{i}" for i in range(12)) + ", '?' AS q, \"a?\" AS r", range(12)).first()
+    assert list(many) == [*range(12), "?", "a?"]
+    with pytest.raises(ValueError):
+        rd.run_query(spark, "SELECT ?, ?", [1])
 
 
 def test_streaming_upload_ingest_latest_upload_wins(spark):

@@ -1,16 +1,22 @@
 """Benchmark decontamination: rare word-pair seeds join documents to test items, Smith-Waterman scores them.
 
-Words are runs of lower-cased letters, so punctuation, case and layout edits do not matter.  The document
-frequency of every word pair of the test items is counted over all documents; the rarer half of each
-item's pairs (ties with the median included) are its seeds.  Where a document holds a seed, the stretch
-of text that the item would cover there, with half its length to spare on either side, is aligned with
-the item: match 1, mismatch and gap -0.5.  A copy is reported where the best local alignment reaches
-``SHARE`` of the item's words, or ``LONG`` words.
+Words are runs of lower-cased letters, so punctuation, case and layout edits do not matter.  An alignment
+scores match 1, mismatch and gap -0.5; a copy is reported where the best local alignment reaches ``need``:
+``SHARE`` of the item's words, or ``LONG`` words.  The result is that of aligning every document with
+every item:
+
+An alignment that passes has matches that follow each other without an error (weight 1) or over one
+error (weight 0.5), of total weight ``need - 1`` or more, since two errors cost what a match earns.  So
+the pairs of words at distance 1 or 2 find it, each at its own place in the item.  The document frequency
+of every such pair is counted over all documents, and each item's most frequent places, ``SKIP`` of
+``need - 1`` at most, are no seeds: the others still carry the rest of the weight, however the frequencies
+fall.  Stretches of text with less seed weight, less weight over all places or fewer of the item's words
+than any passing alignment holds are skipped by these bounds; the others are aligned, with as many words
+to spare on either side as an alignment that passes can have errors.
 
 The items are a stated query set, taken in blocks of about ``BLOCK_WORDS`` words; each block is one
 broadcast of that size.  Nothing about the documents is broadcast or collected, and no candidate is
-capped: windows that hold too few of the item's words for any alignment to pass are skipped by that
-bound.
+capped.
 
 Defined results: null and empty texts have no copies.  Items of fewer than ``MIN_WORDS`` words, or null,
 match nothing (chance would).  Repeated items each report.  Repeated documents each report.  A document
@@ -32,6 +38,8 @@ LONG = 20.0
 MIN_WORDS = 8
 MISMATCH = GAP = 0.5
 BLOCK_WORDS = 1_000_000
+#: Share of the weight of a passing alignment that may lie on places which are no seeds.
+SKIP = 0.7
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _LEAK = "array<struct<item_id:bigint,score:double,begin:int,end:int>>"
 
@@ -44,9 +52,19 @@ def _word_hashes(col):
         yield i, j, h, first
 
 
-def pairs(h: np.ndarray) -> np.ndarray:
-    """Hash of each word with the next one (one fewer than words)."""
-    return mix(h[:-1] * _PAIR + h[1:])
+def pairs(h: np.ndarray, apart: int = 1) -> np.ndarray:
+    """Hash of each word with the one ``apart`` words after it."""
+    return mix(h[:-apart] * _PAIR + h[apart:])
+
+
+def needed(n: int) -> float:
+    """Score from which an alignment with an item of ``n`` words is a copy."""
+    return min(SHARE * n, LONG)
+
+
+def errors(n: int) -> int:
+    """Mismatches and gaps that an alignment which passes can have at most."""
+    return int((n - needed(n)) / min(MISMATCH, GAP))
 
 
 class Items:
@@ -62,9 +80,10 @@ class Items:
                 if len(w) >= MIN_WORDS:
                     self.ids.append(ids[i + k])
                     self.words.append(w)
-        of = [np.unique(pairs(w)) for w in self.words]
-        self.seeds = np.unique(np.concatenate(of)) if of else np.zeros(0, np.uint64)
-        self.index([np.ones(len(p), bool) for p in of])
+        # (near, far) pairs of each item by place; the last place has no far pair.
+        self.pairs = [(pairs(w), pairs(w, 2)) for w in self.words]
+        self.seeds = np.unique(np.concatenate([p for both in self.pairs for p in both])) if self.words else np.zeros(0, np.uint64)
+        self.index([np.ones(len(w) - 1, bool) for w in self.words])
 
     @classmethod
     def of(cls, state: dict) -> "Items":
@@ -74,27 +93,37 @@ class Items:
         return out
 
     def index(self, keep) -> None:
-        """Keep of each item's distinct pairs those marked, and lay out seed -> (item, place in it)."""
-        seed, item, place = [], [], []
-        for k, w in enumerate(self.words):
-            p = pairs(w)
-            distinct, at = np.unique(p, return_inverse=True)
-            for pos in np.flatnonzero(keep[k][at]):
+        """Make seeds of each item's marked places, and lay out seed -> (item, place in it, whether far)."""
+        seed, item, place, far = [], [], [], []
+        for k, both in enumerate(self.pairs):
+            for apart, p in enumerate(both):
+                pos = np.flatnonzero(keep[k][: len(p)])
                 seed.append(p[pos])
-                item.append(k)
+                item.append(np.full(len(pos), k))
                 place.append(pos)
-        order = np.argsort(np.array(seed, np.uint64), kind="stable")
-        self.seed = np.array(seed, np.uint64)[order]
-        self.item, self.place = np.array(item, np.int64)[order], np.array(place, np.int64)[order]
+                far.append(np.full(len(pos), apart == 1))
+        flat = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+        self.seed = flat(seed, np.uint64)
+        order = np.argsort(self.seed, kind="stable")
+        self.seed = self.seed[order]
+        self.item, self.place, self.far = flat(item, np.int64)[order], flat(place, np.int64)[order], flat(far, bool)[order]
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.seed >> np.uint64(44)).astype(np.int64)] = True
+        n = [len(w) for w in self.words]
+        # Words of text that an alignment spans at most, and the seed weight that it has at least.
+        self.span = np.array([x + errors(x) for x in n], np.int64)
+        self.weight = np.array([needed(x) - 1 - (~k).sum() for x, k in zip(n, keep)], float)
 
     def rare(self, frequency: dict) -> "Items":
-        """Keep the rarer half of each item's pairs, by document frequency over the whole corpus."""
+        """No seeds at each item's most frequent places, by document frequency over the whole corpus."""
+        count = np.array([frequency.get(int(p), 0) for p in self.seeds.view(np.int64)], np.int64)
         keep = []
-        for w in self.words:
-            df = np.array([frequency.get(int(p.astype(np.int64)), 0) for p in np.unique(pairs(w))])
-            keep.append(df <= np.median(df))
+        for w, (adjacent, far) in zip(self.words, self.pairs):
+            df = count[np.searchsorted(self.seeds, adjacent)]
+            df[: len(far)] += count[np.searchsorted(self.seeds, far)]
+            k = np.ones(len(df), bool)
+            k[np.argsort(-df, kind="stable")[: int(SKIP * (needed(len(w)) - 1))]] = False
+            keep.append(k)
         self.index(keep)
         return self
 
@@ -129,31 +158,69 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def heavy(w: np.ndarray, start: np.ndarray, span: int) -> np.ndarray:
+    """Sum of ``w`` over each window that begins in ``start`` and has ``span`` entries."""
+    c = np.concatenate([[0.0], np.cumsum(w)])
+    return c[np.minimum(start + span, len(w))] - c[start]
+
+
+def candidates(items: Items, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, text position less item place) of the seeds of ``h`` that enough seed weight follows."""
+    entry, at, weight = [], [], []
+    for apart in (1, 2):
+        if len(h) <= apart:
+            continue
+        found = items.hits(p := pairs(h, apart))
+        lo, hi = np.searchsorted(items.seed, p[found], "left"), np.searchsorted(items.seed, p[found], "right")
+        n = hi - lo
+        e = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        entry.append(e)
+        at.append(np.repeat(found, n))
+        weight.append(np.where(items.far[e] | (apart == 2), 0.5, 1.0))
+    if not entry or not sum(map(len, entry)):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    entry, at, weight = np.concatenate(entry), np.concatenate(at), np.concatenate(weight)
+    item = items.item[entry]
+    # A text position counts once an item, with its best weight; items are too far apart to share a window.
+    key = item * (len(h) + int(items.span.max()) + 1) + at
+    order = np.lexsort((-weight, key))
+    entry, at, weight, item, key = entry[order], at[order], weight[order], item[order], key[order]
+    weight[1:][key[1:] == key[:-1]] = 0.0
+    c = np.concatenate([[0.0], np.cumsum(weight)])
+    passing = c[np.searchsorted(key, key + items.span[item], "right")] - c[np.searchsorted(key, key, "left")] >= items.weight[item]
+    return item[passing], (at - items.place[entry])[passing]
+
+
+def may_pass(items: Items, k: int, h: np.ndarray) -> bool:
+    """Whether some window of ``h`` has the words and the weight over all places of an alignment with item ``k`` that passes."""
+    w, need, span = items.words[k], needed(len(items.words[k])), int(items.span[k])
+    at = np.arange(len(h))
+    if heavy(np.isin(h, w), at, span).max() < need:
+        return False
+    adjacent, far = items.pairs[k]
+    every = np.concatenate([adjacent, far])
+    weight = np.zeros(len(h))
+    weight[:-2][np.isin(pairs(h, 2), every)] = 0.5
+    p = pairs(h)
+    weight[:-1][np.isin(p, far)] = 0.5
+    weight[:-1][np.isin(p, adjacent)] = 1.0
+    return heavy(weight, at, span).max() >= need - 1
+
+
 def copies(items: Items, h: np.ndarray) -> list[tuple]:
     """(item_id, score, begin, end) for each item that the word sequence ``h`` copies."""
-    if len(h) < 2:
-        return []
-    found = items.hits(p := pairs(h))
-    if not len(found):
-        return []
-    lo, hi = np.searchsorted(items.seed, p[found], "left"), np.searchsorted(items.seed, p[found], "right")
-    at = np.repeat(found, hi - lo)
-    entry = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)])
-    item, origin = items.item[entry], at - items.place[entry]
+    item, origin = candidates(items, h)
     out = []
     for k in np.unique(item):
         w = items.words[k]
-        need = min(SHARE * len(w), LONG)
-        spare = len(w) // 2
-        vocabulary = np.unique(w)
+        need, spare = needed(len(w)), errors(len(w))
         begins = np.unique(np.maximum(origin[item == k] - spare, 0))
         ends = np.minimum(begins + len(w) + 2 * spare, len(h))
         # Windows that overlap are one stretch.
         fresh = np.flatnonzero(np.concatenate([[True], begins[1:] > np.maximum.accumulate(ends)[:-1]]))
         best = (0.0, 0, 0)
         for a, b in zip(begins[fresh], np.maximum.reduceat(ends, fresh)):
-            shared = np.isin(h[a:b], vocabulary)
-            if shared.sum() < need:
+            if b - a < need or not may_pass(items, k, h[a:b]):
                 continue
             s, x, y = align(w, h[a:b])
             if s > best[0]:
@@ -172,14 +239,17 @@ def _frequency(docs: DataFrame, items) -> dict:
         total = np.zeros(len(block.seeds), np.int64)
         for b in batches:
             for i, j, h, first in _word_hashes(b.column(0)):
-                if len(h) < 2:
-                    continue
-                p = pairs(h)
-                at = block.hits(p)
-                doc = np.searchsorted(first, at, "right")
-                ok = at + 1 < first[doc]  # both words in one document
-                both = np.unique(np.stack([doc[ok], np.searchsorted(block.seeds, p[at[ok]])]), axis=1)
-                np.add.at(total, both[1], 1)
+                both = []
+                for apart in (1, 2):
+                    if len(h) <= apart:
+                        continue
+                    p = pairs(h, apart)
+                    at = block.hits(p)
+                    doc = np.searchsorted(first, at, "right")
+                    ok = at + apart < first[doc]  # both words in one document
+                    both.append(doc[ok] * len(total) + np.searchsorted(block.seeds, p[at[ok]]))
+                if both:
+                    total += np.bincount(np.unique(np.concatenate(both)) % len(total), minlength=len(total))
         k = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(block.seeds[k].view(np.int64)), pa.array(total[k])], names=["seed", "n"])
 

@@ -119,6 +119,13 @@ def positions(max_repeats: int = 2) -> Column:
     return F.filter(at, lambda x: x.isNotNull())
 
 
+def ordered(plan_df: DataFrame, max_repeats: int = 2) -> DataFrame:
+    """The plan with the positions of each document's copies, range-sorted by the first (``position``; without one last)."""
+    p = plan_df.withColumn("positions", positions(max_repeats)).withColumn("position", F.get("positions", F.lit(0)))
+    first = F.col("position").asc_nulls_last()
+    return p.repartitionByRange(first, "doc_id").sortWithinPartitions(first, "doc_id")
+
+
 def curriculum(plan_df: DataFrame, max_repeats: int = 2) -> DataFrame:
     """One row per copy that is trained on: doc_id, copy, words, position, range-sorted by position."""
     copies = plan_df.withColumn("copy", F.explode(F.array(*[F.lit(k) for k in range(max_repeats)])))

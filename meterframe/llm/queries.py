@@ -36,8 +36,9 @@ def op2_quality(spark, sf_dir):
 
 
 def op3_mix_sources(spark, sf_dir):
-    """All documents mixed to 150 % of their words, weights 3, 1, 2, at most twice each source."""
-    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    """All documents mixed to 150 % of their words, weights 3, 1, 2, at most twice each source, in the order
+    in which they are first trained on."""
+    return mixing.ordered(mixing.plan(documents(spark, sf_dir))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP3_SQL = """

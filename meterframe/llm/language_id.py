@@ -7,10 +7,16 @@ them).  A text is normalised (lower-cased, runs of non-letters become one space)
 text, and the smallest sum wins.  Each piece starts afresh, so a long text does not become its own
 dictionary.
 
-The margin is the gap between the smallest and second smallest sum as a share of the smaller;
-``accepted`` is false below ``MARGIN`` and where there is no language.  Sizes are whole bytes, so short
-texts can tie; a tie is first put to the sizes of the words compressed one by one, and texts below
-``SHORT`` compressed bytes, where one byte is more than any narrow margin, are accepted.
+The margin is the gap between the smallest and second smallest sum as a share of the second.  ``accepted``
+is false where it is narrow for the language and the compressed size, and where there is no language.
+What is narrow is learned: a fifth of the labelled texts (by hash, at most ``CHECKED`` a language) stay out of the
+dictionaries, are cut to ``CUTS`` characters and judged, and of the margins of each language and power of
+two of compressed bytes, ``SLACK`` times the ``NARROW`` quantile is the least that is accepted; other sizes
+use the next smaller learned one.  So texts of a language that is not learned, gibberish and mixtures, whose margins
+are narrower, go.  Sizes are whole bytes, so short texts can tie; a tie is first put to the sizes of the
+words compressed one by one, and where labelled texts tie as well, ties are accepted.  A language with
+fewer than ``LEAST`` labelled rows, or a size with fewer than ``OBSERVED`` labelled texts, has the margin
+``MARGIN``, or none below ``SHORT`` compressed bytes.
 
 Defined results: null texts and texts without a letter get ``und`` and score 0.  Ties go to the language
 with more training documents, then by name.  With no labelled rows everything is ``und``.  Repeated rows
@@ -39,6 +45,12 @@ MAX_LANGUAGES = 200
 SHORT = 48
 #: Smallest share by which the second language must compress worse.
 MARGIN = 0.0005
+#: Labelled rows of a language from which some are kept back, and at most so many of them.
+LEAST, CHECKED = 100, 200
+#: Lengths to which they are cut, and labelled texts of a size from which its margin is learned.
+CUTS, OBSERVED = (32, 64, 128, 256, 512, 1024, 2048), 15
+#: Margins below this quantile of the labelled texts of a size, times the slack for what few texts tell, are narrow.
+NARROW, SLACK = 0.01, 0.5
 UNDETERMINED = "und"
 
 _NON_LETTERS = regex.compile(r"[^\p{L}]+")
@@ -53,44 +65,96 @@ def held_out() -> F.Column:
 
 
 def training_texts(docs: DataFrame) -> DataFrame:
-    """lang, n (labelled rows of it), text: cuts of the sampled texts of each language, 2 * DICT_BYTES a language."""
+    """lang, n (labelled rows of it), doc_id, text, back: cuts of the sampled texts of each language,
+    2 * DICT_BYTES a language, and of those kept back for the margins."""
     rows = docs.filter("lang is not null and doc_id is not null and length(text) > 0").filter(~held_out())
     # Ids first: the rank limit runs inside each task before anything is shuffled, and each language is
     # drawn from in SALTS classes of the hash, so a language with most rows is not ranked in one task.
     key = F.xxhash64("doc_id")
-    by_hash = Window.partitionBy("lang", "_c").orderBy("_h", "doc_id")
-    ids = rows.select("doc_id", "lang", key.alias("_h"), F.pmod(key, F.lit(SALTS)).alias("_c"))
-    ids = ids.withColumn("_k", F.row_number().over(by_hash)).filter(F.col("_k") <= SAMPLE // SALTS)
+    back = F.pmod(F.xxhash64("doc_id", F.lit("margin")), F.lit(5)) == 0
+    by_hash = Window.partitionBy("lang", "_c", "back").orderBy("_h", "doc_id")
+    ids = rows.select("doc_id", "lang", key.alias("_h"), F.pmod(key, F.lit(SALTS)).alias("_c"), back.alias("back"))
+    most = F.when(F.col("back"), CHECKED // SALTS).otherwise(SAMPLE // SALTS)
+    ids = ids.withColumn("_k", F.row_number().over(by_hash)).filter(F.col("_k") <= most)
     counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     ids = ids.select("doc_id")
+    back = back & (F.col("n") >= LEAST)
     share = F.greatest(F.lit(512), F.ceil(F.lit(2 * DICT_BYTES) / F.least(F.col("n"), F.lit(SAMPLE)))).cast("int")
     picked = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").join(F.broadcast(counts), "lang")
-    return picked.select("lang", "n", "doc_id", F.substring(F.col("text"), F.lit(1), share).alias("text"))
+    share = F.when(back, F.lit(CUTS[-1])).otherwise(share)
+    return picked.select("lang", "n", "doc_id", F.substring(F.col("text"), F.lit(1), share).alias("text"), back.alias("back"))
 
 
-def train(docs: DataFrame) -> list[tuple[str, bytes]]:
-    """(language, dictionary content) of every labelled language, most rows first."""
+class Dictionaries(list):
+    """(language, dictionary content) of each language; ``margins``: {language: {power of two: least margin}}."""
+
+    margins: dict = {}
+
+
+def train(docs: DataFrame) -> Dictionaries:
+    """(language, dictionary content) of every labelled language, most rows first, with the margins."""
     langs = docs.filter("lang is not null").select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
     if langs > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     by_lang: dict[str, list] = {}
     size: dict[str, int] = {}
+    kept_back = []
     for r in training_texts(docs).collect():
+        if r["back"]:
+            kept_back.append((r["lang"], r["text"]))
+            continue
         by_lang.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
         size[r["lang"]] = r["n"]
-    out = []
+    out = Dictionaries()
     for lang in sorted(by_lang, key=lambda x: (-size[x], x)):
         seen = dict.fromkeys(normalise(t) for _, t in sorted(by_lang[lang]))
         content = " ".join(t for t in seen if t).encode()[-DICT_BYTES:]
         if content:
             out.append((lang, content))
+    if kept_back:
+        out.margins = learned_margins(docs.sparkSession, out, kept_back)
     return out
 
 
+def learned_margins(spark, dictionaries, texts) -> dict:
+    """{language: {power of two: least margin}} from (language, text) rows that the dictionaries do not hold."""
+    shared = spark.sparkContext.broadcast(list(dictionaries))
+    rows = spark.createDataFrame(texts, "lang string, text string")
+
+    def run(batches):
+        judge = Compressors(shared.value).measure
+        for b in batches:
+            found = []
+            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                for n in CUTS:
+                    best, gap, size = judge(text[:n])
+                    if best == lang:
+                        found.append((lang, power(size), gap))
+                    if n >= len(text):
+                        break
+            columns = list(zip(*found)) or [(), (), ()]
+            kinds = (pa.string(), pa.int32(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "power", "gap"])
+
+    gaps = rows.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "lang string, power int, gap double")
+    least = gaps.groupBy("lang", "power").agg(F.percentile("gap", F.lit(NARROW)).alias("least"), F.count(F.lit(1)).alias("n"))
+    out: dict = {}
+    # At most a dozen rows a language.
+    for r in least.filter(F.col("n") >= OBSERVED).collect():
+        out.setdefault(r["lang"], {})[r["power"]] = SLACK * r["least"]
+    return out
+
+
+def power(size: float) -> int:
+    """The power of two at or below a size in bytes."""
+    return int(size).bit_length() - 1
+
+
 class Compressors:
     """One zstandard compressor per language, over prepared raw-content dictionaries."""
 
-    def __init__(self, dictionaries):
+    def __init__(self, dictionaries, margins=None):
+        self.margins = getattr(dictionaries, "margins", {}) if margins is None else margins
         self.langs, self.each = [x for x, _ in dictionaries], []
         for _, content in dictionaries:
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -105,19 +169,30 @@ class Compressors:
         pieces = [raw[i : i + PIECE] for i in range(0, len(raw), PIECE)]
         return np.array([sum(len(c.compress(p)) for p in pieces) for c in self.each], float)
 
-    def judge(self, text, margin: float = MARGIN) -> tuple[str, float, bool]:
-        """(language, margin, accepted)."""
+    def measure(self, text) -> tuple[str, float, float]:
+        """(language, margin, compressed bytes)."""
         s = self.sizes(text) if text and self.each else np.zeros(0)
         if not len(s):
-            return UNDETERMINED, 0.0, False
-        short = s.min() < SHORT
+            return UNDETERMINED, 0.0, 0.0
+        size = float(s.min())
         if (s == s.min()).sum() > 1:
             # Sizes are whole bytes, so short texts tie: let the words, compressed alone, decide.
             s = s + np.array([sum(len(c.compress(w)) for w in normalise(text).encode().split()) for c in self.each], float)
         best = int(s.argmin())
         rest = np.delete(s, best)
-        gap = float(1 - s[best] / rest.min()) if len(rest) else 1.0
-        return self.langs[best], gap, bool(gap >= margin or short)
+        return self.langs[best], float(1 - s[best] / rest.min()) if len(rest) else 1.0, size
+
+    def judge(self, text, margin: float = MARGIN) -> tuple[str, float, bool]:
+        """(language, margin, accepted)."""
+        lang, gap, size = self.measure(text)
+        if not size:
+            return lang, gap, False
+        least = 0.0 if size < SHORT else margin
+        learned = self.margins.get(lang, {})
+        below = [p for p in learned if p <= power(size)]
+        if below:
+            least = max(least, learned[max(below)])
+        return lang, gap, gap >= least
 
 
 def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN, prefix: str = "") -> DataFrame:
@@ -126,10 +201,11 @@ def identify(docs: DataFrame, dictionaries=None, margin: float = MARGIN, prefix:
     Columns of those names that ``docs`` already has are replaced.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs) if dictionaries is None else dictionaries)
+    dictionaries = train(docs) if dictionaries is None else dictionaries
+    shared = spark.sparkContext.broadcast((list(dictionaries), getattr(dictionaries, "margins", {})))
 
     def compute(col):
-        judge = Compressors(shared.value).judge
+        judge = Compressors(*shared.value).judge
         got = [judge(t.as_py(), margin) for t in col]
         lang = pa.array([g[0] for g in got], pa.string())
         score = pa.array([g[1] for g in got], pa.float64())

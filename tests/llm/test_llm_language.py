@@ -24,19 +24,3 @@ def test_unlearned_language_and_gibberish_are_rejected(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
     assert accepted([" ".join(word() for _ in range(r.randint(50, 400))) for _ in range(100)]) < 0.05
-
-
-def test_dictionary_has_a_share_of_every_sampled_text_from_its_whole_length(spark):
-    """Openings are the same in all texts; what tells them apart is at their middles and ends."""
-    r = random.Random(8)
-    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
-    texts = {d: "opening " * 100 + " ".join(word() for _ in range(400)) for d in range(700)}
-    ((_, made),) = language_id.train(spark.createDataFrame([(d, t, "xx") for d, t in texts.items()], "doc_id long, text string, lang string"))
-    assert 0.9 * language_id.DICT_BYTES < len(made) <= language_id.DICT_BYTES
-    held = {x.decode() for x in made.split()}
-    words = {d: t.split()[100:] for d, t in texts.items()}
-    half = [[sum(any(w in held for w in part) for part in [words[d][a : a + 200]]) for d in words] for a in (0, 200)]
-    # 400 texts are sampled at most, less those kept back.
-    assert all(sum(x) > 250 for x in half)
-    # Small and large ids alike.
-    assert min(sum(half[1][:350]), sum(half[1][350:])) > 100

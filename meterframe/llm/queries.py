@@ -6,8 +6,23 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from meterframe.llm import decontaminate, exact_dedup, jaccard_join, language_id, mixing, quality, substring_dedup, token_counts, toxicity, url_filter
-from meterframe.llm.common import documents
+from meterframe.llm import (
+    conversation_repair,
+    decontaminate,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    merkle,
+    mixing,
+    quality,
+    substring_dedup,
+    token_counts,
+    token_records,
+    toxicity,
+    url_filter,
+)
+from meterframe.llm.common import documents, stored
+from meterframe.session import scratch_path
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -117,6 +132,32 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.link(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_token_records(spark, sf_dir):
+    """Every document's token ids, written as record files and read back."""
+    index = token_records.write(documents(spark, sf_dir), scratch_path(spark, "token-records"))
+    return token_records.read(index, digest_only=True)
+
+
+def op12_conversation_repair(spark, sf_dir):
+    """Every conversation, damaged by the checksums of its turns, and its cheapest repair."""
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    damaged = conversation_repair.damage(conv)
+    decided = stored(conversation_repair.audits(damaged), "audits")
+    hashed = conversation_repair.digests(conversation_repair.repair(damaged, decided))
+    every = conv.select(F.col("conv_id").alias("id")).distinct()
+    out = every.join(decided, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    out = out.join(hashed, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in (*conversation_repair.COUNTS, "cost")]
+    sha = F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return out.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), sha)
+
+
+def op13_merkle(spark, sf_dir):
+    """Every document's leaf, proof and fold to the root, a third of them with a tampered text."""
+    proofs = merkle.manifest(documents(spark, sf_dir), merkle.lowered_leaf())
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality": op2_quality,
@@ -128,5 +169,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_token_records": op11_token_records,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_merkle": op13_merkle,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op3_mix_sources": OP3_SQL}

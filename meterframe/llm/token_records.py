@@ -30,6 +30,8 @@ import os
 import struct
 import unicodedata
 import uuid
+import zlib
+from operator import add
 from pathlib import Path
 
 import numpy as np
@@ -61,19 +63,21 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 # --- checksums ------------------------------------------------------------------------------
 
 CASTAGNOLI = np.uint32(0x82F63B78)
-BLOCK = 256
+BLOCK = 128
 _MASK_DELTA = np.uint32(0xA282EAD8)
+#: Blocks looked up at once: their indices then stay in the processor's cache.
+_LANES = 1024
 
 
 def _crc_tables() -> np.ndarray:
-    """``t[j, b]``: what byte b adds to the checksum when j bytes of its block follow it."""
+    """``t[i, b]``: what byte b adds to the checksum as byte i of a block."""
     t = np.zeros((BLOCK, 256), np.uint32)
     c = np.arange(256, dtype=np.uint32)
     for _ in range(8):
         c = np.where(c & 1, (c >> np.uint32(1)) ^ CASTAGNOLI, c >> np.uint32(1))
-    t[0] = c
-    for j in range(1, BLOCK):
-        t[j] = (t[j - 1] >> np.uint32(8)) ^ t[0][t[j - 1] & np.uint32(255)]
+    t[-1] = c
+    for i in reversed(range(BLOCK - 1)):
+        t[i] = (t[i + 1] >> np.uint32(8)) ^ t[-1][t[i + 1] & np.uint32(255)]
     return t
 
 
@@ -83,35 +87,36 @@ _CRC = _crc_tables()
 def masked_crc32c(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Masked CRC-32C of each ``data[starts[i]:ends[i]]`` (at least four bytes each).
 
-    All messages advance together, a block at a time.  Zeros before a message do not change a checksum that
-    starts from zero, so messages are padded in front to whole blocks; the usual start from all ones is the
-    same as flipping the first four bytes.
+    Zeros before a message do not change a checksum that starts from zero, so messages are padded in front to
+    whole blocks; the usual start from all ones is the same as flipping the first four bytes.  A block's
+    checksum is the sum of its bytes' table entries; a message's blocks are then chained, all messages at once.
     """
     n = len(starts)
+    if n == 0:
+        return np.zeros(0, np.uint32)
     lengths = ends - starts
     blocks = -(-lengths // BLOCK)
+    last = np.cumsum(blocks)
+    padded = np.zeros(int(last[-1]) * BLOCK, np.uint8)
+    for a, b, end in zip(starts.tolist(), ends.tolist(), (last * BLOCK).tolist()):
+        padded[end - b + a : end] = data[a:b]
+    head = last * BLOCK - lengths
+    padded[head[:, None] + np.arange(4)] ^= 255
+    padded = padded.reshape(-1, BLOCK)
+    raw = np.empty(len(padded), np.uint32)
+    table, lane = _CRC.ravel(), np.arange(BLOCK) * 256
+    for i in range(0, len(padded), _LANES):
+        raw[i : i + _LANES] = np.bitwise_xor.reduce(table.take(padded[i : i + _LANES] + lane), axis=1)
     order = np.argsort(-blocks, kind="stable")
+    first, count = (last - blocks)[order], blocks[order]
     state = np.zeros(n, np.uint32)
-    lane = np.arange(BLOCK)
-    active = n
-    for k in range(int(blocks.max()) if n else 0):
-        while active and blocks[order[active - 1]] <= k:
-            active -= 1
-        for lo in range(0, active, 4096):
-            which = order[lo : min(lo + 4096, active)]
-            at = (ends[which] - (blocks[which] - k) * BLOCK)[:, None] + lane
-            rel = at - starts[which][:, None]
-            m = np.where(rel >= 0, data[np.maximum(at, 0)], 0).astype(np.uint8)
-            if k < 2:  # the first four bytes of a message lie in its first two blocks
-                m[(rel >= 0) & (rel < 4)] ^= 255
-            if k:
-                m[:, :4] ^= state[which].astype("<u4").view(np.uint8).reshape(-1, 4)
-            m = np.ascontiguousarray(m.T)
-            crc = _CRC[BLOCK - 1][m[0]]
-            for j in range(1, BLOCK):
-                crc ^= _CRC[BLOCK - 1 - j][m[j]]
-            state[which] = crc
-    c = ~state
+    for k in range(int(count[0])):
+        active = int(np.searchsorted(-count, -k, "left"))
+        s = state[:active]
+        moved = _CRC[0][s & 255] ^ _CRC[1][s >> 8 & 255] ^ _CRC[2][s >> 16 & 255] ^ _CRC[3][s >> 24]
+        state[:active] = moved ^ raw[first[:active] + k]
+    c = np.empty(n, np.uint32)
+    c[order] = ~state
     return ((c >> np.uint32(15)) | (c << np.uint32(17))) + _MASK_DELTA
 
 
@@ -125,10 +130,10 @@ class WordEncoder:
 
     Splitting at ASCII white space, folding A-Z and cutting off trailing ASCII punctuation do not change the
     ids: the vocabulary normalises and splits in the same places.  Words that may hold a special token are
-    left as they are.  The memo is emptied when it is full; long words are not kept.
+    left as they are.  A full memo keeps the words of the texts at hand; long words are not kept.
     """
 
-    ENTRIES, LONGEST, GROUP = 200_000, 64, 256
+    ENTRIES, LONGEST, GROUP = 500_000, 64, 256
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -142,56 +147,69 @@ class WordEncoder:
         self.end = np.array([END_ID], self.dtype).tobytes()
         self.closes = np.zeros(self.size, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.memo: dict[bytes, bytes] = {}
+        self.memo: dict[bytes, bytes] = {b"": b""}
 
     def _plain(self, word: bytes) -> bytes:
         return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _encode_cores(self, cores: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: set[bytes]) -> None:
         """Ids of words; runs of letters are encoded many at once, and cut where a token closes a word."""
-        out, letters = {}, []
-        for w in cores:
-            if len(w) <= self.LONGEST and b"<|" not in w and w.decode().isalpha():
+        letters = []
+        for w in words:
+            if len(w) <= self.LONGEST and (w.isalpha() or w.decode().isalpha()):
                 letters.append(w)
             else:
-                out[w] = self._plain(w)
+                self.memo[w] = self._plain(w)
         groups = [letters[i : i + self.GROUP] for i in range(0, len(letters), self.GROUP)]
         texts = [b" ".join(g).decode() for g in groups]
+        k = self.dtype.itemsize
         for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(self.closes[ids]) + 1
             if len(cuts) == len(g) and cuts[-1] == len(ids):
-                raw, k, a = ids.tobytes(), self.dtype.itemsize, 0
-                for w, b in zip(g, (cuts * k).tolist()):
-                    out[w] = raw[a:b]
-                    a = b
+                raw, ends = ids.tobytes(), (cuts * k).tolist()
+                self.memo.update(zip(g, [raw[a:b] for a, b in zip([0, *ends], ends)]))
             else:
-                out.update((w, self._plain(w)) for w in g)
-        return out
+                self.memo.update((w, self._plain(w)) for w in g)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, without the end id."""
-        memo = self.memo if len(self.memo) < self.ENTRIES else {}
-        self.memo = memo
         split = [t.split() for t in texts]
-        missing = set().union(*split) - memo.keys()
-        extra = {}
+        words, memo = set().union(*split), self.memo
+        missing = words.difference(memo)
+        if missing:
+            plain = [w for w in missing if w.isalpha()]  # ASCII letters only
+            other = [w for w in missing if not w.isalpha()]
+            lower = [w.lower() for w in plain]
+            cores = [self._core(w) for w in other]
+            tails = [w[len(c) :] for w, c in zip(other, cores)]
+            need = set(lower)
+            need.update(cores, tails)
+            need = need.difference(memo)
+            self._learn(need)
+            memo.update(zip(plain, map(memo.__getitem__, lower)))
+            memo.update(zip(other, map(add, map(memo.__getitem__, cores), map(memo.__getitem__, tails))))
+        out = [b"".join(map(memo.__getitem__, s)) for s in split]
         if missing:
-            parts = {}
-            for w in missing:
-                core = b"" if b"<|" in w else w.lower().rstrip(_PUNCTUATION)
-                # The rest is a piece of its own only behind what the vocabulary's rules end as a letter or number.
-                cut = core and unicodedata.normalize("NFC", core.decode()[-1]).lower().isalnum()
-                parts[w] = (core, w[len(core) :]) if cut else (w, b"")
-            need = {p for pair in parts.values() for p in pair if p} - memo.keys()
-            ids = self._encode_cores(list(need))
-            memo.update((p, i) for p, i in ids.items() if len(p) <= self.LONGEST)
-            known = lambda p: (ids.get(p) or memo.get(p, b"")) if p else b""
-            for w, (core, tail) in parts.items():
-                (memo if len(w) <= self.LONGEST else extra)[w] = known(core) + known(tail)
-        if not extra:
-            return [b"".join(map(memo.__getitem__, s)) for s in split]
-        return [b"".join([memo[w] if w in memo else extra[w] for w in s]) for s in split]
+            for some in (missing, need):
+                if max(map(len, some), default=0) > self.LONGEST:
+                    for w in some:
+                        if len(w) > self.LONGEST:
+                            memo.pop(w, None)
+            if len(memo) > self.ENTRIES:
+                self.memo = {b"": b""} | {w: memo[w] for w in words if w in memo}
+        return out
+
+    @staticmethod
+    def _core(w: bytes) -> bytes:
+        """What of a word is encoded apart from its trailing punctuation."""
+        if b"<|" in w:
+            return w
+        core = w.lower().rstrip(_PUNCTUATION)
+        # The rest is a piece of its own only behind what the vocabulary's rules end as a letter or number.
+        if core[-1:].isalnum() or core and unicodedata.normalize("NFC", core.decode()[-1]).lower().isalnum():
+            return core
+        return w
 
 
 def _encoder(spec: bytes) -> WordEncoder:
@@ -350,8 +368,7 @@ def _chunks(lengths: np.ndarray):
 
 
 def _load(batch: pa.RecordBatch, handles: dict, digest_only: bool) -> pa.RecordBatch:
-    import zlib
-
+    
     files, offsets, lengths = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
     n = len(files)
     # Records that follow one another in a file are read at once; results keep the order of the batch.

@@ -15,7 +15,8 @@ file of its own name and returns its index rows; Spark commits the index as Parq
 the index names it, so a task that is run again, or twice, leaves at worst a file that nobody reads.
 
 Texts are encoded word by word with a memo: the vocabulary's rules drop white space and never look across
-it, so the ids of a text are those of its words in turn (tests compare with the plain encoding).
+it, so the ids of a text are those of its words in turn (tests compare with the plain encoding).  A vocabulary
+with other rules gets whole texts.
 
 Defined results: null and empty texts give a record with the end id alone.  Null ids come first.  Rows that
 share an id are ordered by a hash of their text; whole repeats are interchangeable, each has its record.
@@ -26,6 +27,7 @@ written with Arrow's file systems: a shared mount or one of their remote schemes
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import unicodedata
@@ -133,13 +135,19 @@ class WordEncoder:
     left as they are.  A full memo keeps the words of the texts at hand; long words are not kept.
     """
 
-    ENTRIES, LONGEST, GROUP = 500_000, 64, 256
+    ENTRIES, LONGEST, GROUP = 1_000_000, 64, 256
 
     def __init__(self, spec: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_str(spec.decode())
+        rules = json.loads(spec)
+        self.by_word = [n["type"] for n in (rules["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        self.by_word &= (rules["model"].get("end_of_word_suffix") or "") == "</w>"
+        # Lower-case ASCII letters pass the vocabulary's normalising and splitting as they are: merges alone.
+        bare = rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.size = max(vocab.values()) + 1
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
@@ -153,17 +161,24 @@ class WordEncoder:
         return np.array(self.tok.encode(word.decode(), add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _learn(self, words: set[bytes]) -> None:
-        """Ids of words; runs of letters are encoded many at once, and cut where a token closes a word."""
-        letters = []
+        """Ids of words (ASCII ones in lower case)."""
+        ascii_only, letters = [], []
         for w in words:
-            if len(w) <= self.LONGEST and (w.isalpha() or w.decode().isalpha()):
+            if len(w) <= self.LONGEST and w.isalpha():
+                ascii_only.append(w)
+            elif len(w) <= self.LONGEST and w.decode().isalpha():
                 letters.append(w)
             else:
                 self.memo[w] = self._plain(w)
+        self._learn_letters(self.merges, ascii_only)
+        self._learn_letters(self.tok, letters)
+
+    def _learn_letters(self, tok, letters: list[bytes]) -> None:
+        """Runs of letters are encoded many at once, and cut where a token closes a word."""
         groups = [letters[i : i + self.GROUP] for i in range(0, len(letters), self.GROUP)]
         texts = [b" ".join(g).decode() for g in groups]
         k = self.dtype.itemsize
-        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+        for g, e in zip(groups, tok.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, self.dtype)
             cuts = np.flatnonzero(self.closes[ids]) + 1
             if len(cuts) == len(g) and cuts[-1] == len(ids):
@@ -174,6 +189,8 @@ class WordEncoder:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text, without the end id."""
+        if not self.by_word:
+            return [self._plain(t) for t in texts]
         split = [t.split() for t in texts]
         words, memo = set().union(*split), self.memo
         missing = words.difference(memo)

@@ -138,3 +138,13 @@ def test_damage_is_found(spark, at):
     os.truncate(path, len(raw) - 4)
     with pytest.raises(Exception, match="damaged|cut"):
         token_records.read(index).collect()
+
+
+def test_vocabulary_with_other_rules():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, plain = token_records.WordEncoder(open(path, "rb").read()), Tokenizer.from_file(path)
+    for text in ("Two words,  and\nmore.", ""):
+        assert np.frombuffer(enc.encode([text.encode()])[0], enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids

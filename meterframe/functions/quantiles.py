@@ -1,110 +1,80 @@
-"""Exact percentiles (linear interpolation) of any number of groups in one plan.
+"""Exact percentiles (linear interpolation) of any number of groups in one plan, from two reads of the input.
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer, and a
-ranking window holds a whole group in one task.  This operator selects by digits instead: the bits of a
-double, read as an ordered 64-bit number, are three digits (22, 21 and 21 bits).
-
-1. Count the values of each group by first digit (map-side combine), form running totals over the
-   digits, and note for each wanted rank the digit in which it lies and the rank inside that digit.
-2. Count the values under the noted digits by second digit, and narrow the ranks again.
-3. The same with the third digit; what shares all three digits is one value.
-
-What a window holds is a table of digits, at most 2 to the power 22 rows however many values there are
-and however they are distributed or tied.  There is one code path for every size, no job runs while the
-plan is built, and groups and targets only ever travel as rows of the plan.
+ranking window holds a whole group in one task.  This operator brackets, then counts:
+
+1. One aggregate gives each group its size and a mergeable quantile sketch (``percentile_approx``), asked a
+   little below and a little above each percentage.  A sketch of accuracy a is off by at most n / a ranks, so
+   the wanted ranks lie between the two answers; groups of few rows are bracketed by infinity.
+2. The rows meet the bracket of their group.  Rows below it are only counted, rows above it are dropped, and
+   those inside are counted by value (map-side combine).  Running totals over the values then name the ranks.
+
+What a window holds is the distinct values of one bracket, at most ``4 / a`` of a group's rows (1/7,500 of
+them for few groups, 1/2,500 for many), or the group itself where it has at most ``2 a`` rows.  There is one
+code path, and no job runs while the plan is built.  A bracket that misses its rank, which the sketch's bound
+rules out, raises an error.
 """
 
 from __future__ import annotations
 
 from typing import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SHIFTS = (42, 21, 0)
-
-
-def ordered_bits(v: Column) -> Column:
-    """The bits of a double as a long that sorts like the double (``-0.0`` counts as ``0.0``)."""
-    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), v + F.lit(0.0)).cast("long")
-    return F.when(bits < 0, bits.bitwiseXOR(F.lit(2**63 - 1))).otherwise(bits)
+#: Accuracy of the sketches where groups are few, and where there may be many (each has a buffer).
+FEW_ACCURACY, MANY_ACCURACY = 30_000, 10_000
 
 
-def _digit(level: int) -> Column:
-    top = F.shiftright(F.col("_k"), SHIFTS[level])
-    return top if level == 0 else top.bitwiseAND(F.lit(2**21 - 1))
-
-
-def exact_percentiles(df: DataFrame, value: str, percentages: Sequence[float], by: Iterable[str] = (), few_groups: bool = False) -> DataFrame:
+def exact_percentiles(
+    df: DataFrame, value: str, percentages: Sequence[float], by: Iterable[str] = (), few_groups: bool = False, accuracy: int | None = None
+) -> DataFrame:
     """Returns ``by..., percentage, value`` with exact linear-interpolated percentiles.
 
     Null and NaN values are ignored; a group without values gives no row; a null group is a group.
-    ``few_groups`` states that the caller's groups are few by construction (metrics, columns): the ranks
-    looked for, two a group and percentage, are then broadcast; without ``by`` they always are.
+    ``few_groups`` states that the caller's groups are few by construction (metrics, columns): their brackets,
+    one row each, are then broadcast; without ``by`` the one row always is.  ``accuracy`` is the sketches'.
     """
     user_by = list(by)
-    keys = [f"_g{i}" for i in range(len(user_by))]
-    base = df.select(*[F.col(c).alias(k) for c, k in zip(user_by, keys)], F.col(value).cast("double").alias("_v"))
-    base = base.filter(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_k", ordered_bits(F.col("_v")))
-    small = F.broadcast if few_groups or not user_by else (lambda t: t)
+    keys = [f"_g{i}" for i in range(len(user_by))] or ["_all"]
+    few = few_groups or not user_by
+    accuracy = accuracy or (FEW_ACCURACY if few else MANY_ACCURACY)
+    named = [F.col(c).alias(k) for c, k in zip(user_by, keys)] or [F.lit(0).alias("_all")]
+    # Adding zero makes one value of both zeros.
+    base = df.select(*named, (F.col(value).cast("double") + F.lit(0.0)).alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
 
-    # Ranks wanted: both neighbours of each percentage's position among n values.
     pcts = sorted({float(p) for p in percentages})
-    position = [(i, (F.col("_n") - 1) * F.lit(p)) for i, p in enumerate(pcts)]
-    ranks = [
-        F.struct(F.lit(i).alias("pid"), F.lit(side).alias("side"), (pos - F.floor(pos)).alias("frac"), rank(pos).cast("long").alias("rank"))
-        for i, pos in position
-        for side, rank in ((0, F.floor), (1, F.ceil))
-    ]
-    found = None
-    for level in range(3):
-        above = [f"_d{i}" for i in range(level)]
-        scope = keys + above
-        rows = base
-        if level:
-            prefixes = found.select(*scope).distinct()
-            for i in range(level):
-                rows = rows.withColumn(f"_d{i}", _digit(i))
-            rows = _semi(rows, small(prefixes), scope, keys)
-        digit = f"_d{level}"
-        counts = rows.withColumn(digit, _digit(level)).groupBy(*scope, digit).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"))
-        upto = Window.partitionBy(*scope).orderBy(digit) if scope else Window.orderBy(digit)
-        counts = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
-        if level == 0:
-            every = Window.partitionBy(*keys) if keys else Window.partitionBy()
-            counts = counts.withColumn("_n", F.sum("_c").over(every))
-            wanted = F.filter(F.array(*ranks), lambda r: (r["rank"] >= F.col("_start")) & (r["rank"] < F.col("_end")))
-            found = counts.select(*scope, digit, "_start", "_low", F.explode(wanted).alias("_r"))
-            found = found.select(*scope, digit, "_low", F.col("_r.pid").alias("_pid"), F.col("_r.side").alias("_side"), F.col("_r.frac").alias("_frac"), (F.col("_r.rank") - F.col("_start")).alias("_rank"))
-        else:
-            found = _narrow(counts, small(found.drop("_low")), scope, keys, digit)
-    pair = found.groupBy(*keys, "_pid").agg(
-        F.max("_frac").alias("_frac"), F.min("_low").alias("_lo"), F.max("_low").alias("_hi")
+    slack, k = 2.0 / accuracy, len(pcts)
+    asked = [max(p - slack, 0.0) for p in pcts] + [min(p + slack, 1.0) for p in pcts]
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", asked, accuracy).alias("_q"))
+    whole = F.col("_n") <= 2 * accuracy
+    brackets = sizes.select(
+        *[F.col(c).alias(f"{c}_b") for c in keys],
+        "_n",
+        *[F.when(whole, float("-inf")).otherwise(F.col("_q")[i]).alias(f"_lo{i}") for i in range(k)],
+        *[F.when(whole, float("inf")).otherwise(F.col("_q")[k + i]).alias(f"_hi{i}") for i in range(k)],
     )
-    between = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{c}_b"))
+    rows = base.join(F.broadcast(brackets) if few else brackets, same)
+    cells = [F.struct(F.lit(i).alias("pid"), (F.col("_v") <= F.col(f"_hi{i}")).alias("use"), F.when(F.col("_v") >= F.col(f"_lo{i}"), F.col("_v")).alias("cell")) for i in range(k)]
+    cell = rows.select(*keys, "_n", F.explode(F.array(*cells)).alias("_c")).filter("_c.use")
+    group = [*keys, "_n", "_pid"]
+    counts = cell.select(*keys, "_n", F.col("_c.pid").alias("_pid"), F.col("_c.cell").alias("_cell")).groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_c"))
+    # The rows below the bracket, without a value, come first.
+    upto = Window.partitionBy(*group).orderBy(F.col("_cell").asc_nulls_first())
+    counts = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
     share = F.element_at(F.array(*[F.lit(p) for p in pcts]), F.col("_pid") + 1)
-    return pair.select(*[F.col(k).alias(c) for c, k in zip(user_by, keys)], share.alias("percentage"), between.alias(value))
-
-
-def _renamed(t: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return t.select(*[F.col(c).alias(f"{c}_x" if c in cols else c) for c in t.columns])
-
-
-def _same(left: DataFrame, right: DataFrame, cols: Sequence[str], nullable: Sequence[str]) -> Column:
-    cond = F.lit(True)
-    for c in cols:
-        a, b = left[c], right[f"{c}_x"]
-        cond = cond & (a.eqNullSafe(b) if c in nullable else a == b)
-    return cond
-
-
-def _semi(rows: DataFrame, prefixes: DataFrame, scope: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    right = _renamed(prefixes, scope)
-    return rows.join(right, _same(rows, right, scope, keys), "left_semi")
-
-
-def _narrow(counts: DataFrame, found: DataFrame, scope: Sequence[str], keys: Sequence[str], digit: str) -> DataFrame:
-    """The digit of each wanted rank among the counted digits of its prefix, and the rank inside it."""
-    right = _renamed(found, scope)
-    hit = counts.join(right, _same(counts, right, scope, keys)).filter((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-    return hit.select(*scope, digit, "_low", "_pid", "_side", "_frac", (F.col("_rank") - F.col("_start")).alias("_rank"))
+    position = (F.col("_n") - 1) * share
+
+    def at(rank):
+        hit = (F.col("_start") <= rank) & (rank < F.col("_end"))
+        return F.max(F.when(hit, F.col("_cell")))
+
+    found = counts.groupBy(*group).agg(at(F.floor(position)).alias("_lo"), at(F.ceil(position)).alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    between = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (position - F.floor(position)))
+    missed = F.raise_error(F.lit("a percentile lies outside its bracket")).cast("double")
+    result = F.when(lo.isNull() | hi.isNull(), missed).otherwise(between)
+    return found.select(*[F.col(c).alias(u) for u, c in zip(user_by, keys)], share.alias("percentage"), result.alias(value))

@@ -140,6 +140,32 @@ def test_exact_percentiles_match_numpy(spark):
         assert len(out) == 3 * len(ps)
 
 
+@pytest.mark.parametrize("accuracy", [20, 200])
+def test_exact_percentiles_inside_narrow_brackets(spark, accuracy):
+    rng = np.random.default_rng(accuracy)
+    groups = {
+        "spread": rng.normal(size=4001),
+        "ties": rng.integers(0, 3, 3000).astype(float),
+        "one": np.full(2500, 7.0),
+        "tail": np.concatenate([rng.random(2000) * 1e-9, [1e300, -1e300]]),
+        "signs": np.where(rng.random(1500) < 0.5, -0.0, 0.0),
+        "few": rng.random(5),
+    }
+    df = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "g string, v double").repartition(7)
+    ps = [0.0, 0.001, 0.25, 0.5, 0.64, 0.999, 1.0]
+    for few in (True, False):
+        out = exact_percentiles(df, "v", ps, by=["g"], few_groups=few, accuracy=accuracy).collect()
+        assert len(out) == len(ps) * len(groups)
+        for r in out:
+            assert r["v"] == pytest.approx(np.quantile(groups[r["g"]], r["percentage"]), rel=1e-12, abs=0.0), (r, few)
+
+
+def test_exact_percentiles_read_the_input_twice(spark, tmp_path):
+    spark.range(1000).selectExpr("id % 3 AS g", "rand(1) AS v").write.parquet(str(tmp_path / "t"))
+    plan = exact_percentiles(spark.read.parquet(str(tmp_path / "t")), "v", [0.25, 0.5], by=["g"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 2 and plan.count("Exchange") <= 6
+
+
 def test_exact_percentiles_null_groups_infinity_and_ties(spark):
     inf = float("inf")
     data = [(None, 1.0), (None, 3.0), ("a", inf), ("a", inf), ("a", 1.0), ("b", -inf), ("c", None), ("c", float("nan"))] + [("d", 7.0)] * 500

@@ -255,8 +255,9 @@ def q_h06(spark, sf):
 # ----------------------------------------------------------------- models (rows-only)
 # Every query on the trained models shares one training run per session and version of the data.
 _TRAINED: dict = {}
-#: Two candidates of the tuning grid's kind, smaller; early stopping holds the validation months out.
-CANDIDATES = (fc.GBTParams(max_iter=30, max_depth=5, step_size=0.1), fc.GBTParams(max_iter=30, max_depth=3, step_size=0.1))
+#: Two candidates of the grid's kind.  Their rounds are those of the source's grid, which early stopping ends.
+CANDIDATES = tuple(fc.GBTParams(max_iter=fc.SOURCE_GRID_ROUNDS, max_depth=d, step_size=0.1) for d in (5, 3))
+PATIENCE, FIRST = 10, 16
 
 
 def trained(spark, sf):
@@ -264,12 +265,27 @@ def trained(spark, sf):
 
     key = (spark.sparkContext.applicationId, files_version(spark, [f"{sf}/{t}.parquet" for t in SALES_INPUTS]))
     if key not in _TRAINED:
-        forecaster, _ = fc.train_forecaster(sales(spark, sf), AS_OF, TRAIN_END, VALID_START, VALID_END, candidates=CANDIDATES, refit=True)
+        forecaster, _ = fc.train_forecaster(
+            sales(spark, sf), AS_OF, TRAIN_END, VALID_START, VALID_END, candidates=CANDIDATES, refit=True, patience=PATIENCE, first=FIRST
+        )
         _TRAINED.clear()
         _TRAINED[key] = forecaster
     return _TRAINED[key]
 
 
+@register("k05_tuning", None, bench=False)
+def q_k05(spark, sf):
+    """The source's grid for one target by successive halving, one row per candidate."""
+    train, valid = fc.temporal_split(ft.training_frame(sales(spark, sf), AS_OF), TRAIN_END, VALID_START, VALID_END)
+    return fc.tune(fc.assemble(train, valid), "kwh_next", fc.source_grid(), PATIENCE, FIRST)[1]
+
+
+@register("k05_trials", None, bench=False)
+def q_k05t(spark, sf):
+    """The candidates tried for each target by the trained forecaster."""
+    return trained(spark, sf).trials
+
+
 @register("k08_predict_next_month", None, bench=False)
 def q_k08(spark, sf):
     """Tune the three GBT models on the temporal split with early stopping, refit, score the latest row per meter."""

@@ -394,15 +394,21 @@ def log_histogram_of_records(df: DataFrame, bins: int = 50, roles: Roles = DEFAU
 
 #: Bandwidths beyond which exp(-z * z / 2) is zero in a double.
 REACH = 39.0
+#: Cells per bandwidth and moments per cell of the density.  For a value d bandwidths from its cell's middle and
+#: a grid point z from it, the kernel is exp(-z²/2) * exp(-d²/2) * exp(z d); the last factor's series is cut after
+#: MOMENTS terms.  |z d| <= REACH / (2 CELLS) = 1.22, so the cut is off by at most 1.22^16 / 16! * e^1.22, a share
+#: of 4e-12 of that value's kernel.
+CELLS, MOMENTS = 16, 16
 
 
 def density(values: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0) -> DataFrame:
     """Gaussian kernel density of a column on a regular grid (Scott's rule).
 
     bandwidth = sample std * n^(-1/5); grid from min - cut*bw to max + cut*bw.
-    Exact sum over all values: each adds to the grid points within reach of its
-    kernel, summed per point with a partial aggregate (no join of the values, no
-    single-task collection).  Only the four summary numbers reach the driver.
+    All values go into cells of a sixteenth of a bandwidth, each kept as its weighted moments (one
+    aggregate with map-side combine, a row per cell that has values); the cells are then convolved with the
+    kernel, each with the grid points in reach.  No row per value and grid point; every density is within a
+    share of 4e-12 of the exact sum.  Only the four summary numbers reach the driver.
     """
     v = nan_to_null(F.col(column).cast("double"))
     base = values.select(v.alias("v")).filter(F.col("v").isNotNull())
@@ -414,14 +420,29 @@ def density(values: DataFrame, column: str, gridsize: int = 200, cut: float = 3.
     bw = sd * math.pow(n, -0.2)
     lo, hi = st["lo"] - cut * bw, st["hi"] + cut * bw
     step = (hi - lo) / (gridsize - 1)
+    width = bw / CELLS
+
+    def middle(cell):
+        return (cell.cast("double") + F.lit(0.5)) * F.lit(width) + F.lit(lo)
+
+    placed = base.withColumn("cell", F.floor((F.col("v") - F.lit(lo)) / F.lit(width)))
+    placed = placed.withColumn("d", (F.col("v") - middle(F.col("cell"))) / F.lit(bw))
+    placed = placed.withColumn("w0", F.exp(F.lit(-0.5) * F.col("d") * F.col("d")))
+    powers = ["w0"]
+    for k in range(1, MOMENTS):  # w_k = exp(-d²/2) d^k / k!
+        placed = placed.withColumn(f"w{k}", F.col(powers[-1]) * F.col("d") / F.lit(float(k)))
+        powers.append(f"w{k}")
+    cells = placed.groupBy("cell").agg(*[F.sum(w).alias(w) for w in powers])
     # Only the grid points within REACH bandwidths: beyond, the kernel is zero in a double.
-    near = F.lit(REACH * bw)
-    first = F.greatest(F.lit(0), F.ceil((F.col("v") - near - F.lit(lo)) / F.lit(step))).cast("int")
-    last = F.least(F.lit(gridsize - 1), F.floor((F.col("v") + near - F.lit(lo)) / F.lit(step))).cast("int")
-    pts = base.select("v", F.explode(F.sequence(first, last)).alias("point"))
-    x = F.col("point").cast("double") * F.lit(step) + F.lit(lo)
-    z = (x - F.col("v")) / F.lit(bw)
-    sums = pts.groupBy("point").agg(F.sum(F.exp(F.lit(-0.5) * z * z)).alias("_s"))
+    at, near = middle(F.col("cell")), F.lit(REACH * bw)
+    first = F.greatest(F.lit(0), F.ceil((at - near - F.lit(lo)) / F.lit(step))).cast("int")
+    last = F.least(F.lit(gridsize - 1), F.floor((at + near - F.lit(lo)) / F.lit(step))).cast("int")
+    pts = cells.withColumn("point", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))))
+    pts = pts.withColumn("z", (F.col("point").cast("double") * F.lit(step) + F.lit(lo) - middle(F.col("cell"))) / F.lit(bw))
+    series = F.col(powers[-1])
+    for w in reversed(powers[:-1]):
+        series = series * F.col("z") + F.col(w)
+    sums = pts.groupBy("point").agg(F.sum(F.exp(F.lit(-0.5) * F.col("z") * F.col("z")) * series).alias("_s"))
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
     grid = spark.range(gridsize).select(F.col("id").cast("int").alias("point"))
     return grid.join(F.broadcast(sums), "point", "left").select(

@@ -101,6 +101,25 @@ def test_histogram_matches_numpy(spark):
     assert got == list(np.histogram(np.array([3.0] * 5), bins=50)[0])
 
 
+@pytest.mark.parametrize("shape", ["gap", "heavy", "two"])
+def test_density_error_bound_far_from_the_data(spark, shape):
+    """Grid points many bandwidths from any value keep their relative accuracy, down to the smallest doubles."""
+    rng = np.random.default_rng(8)
+    x = {"gap": np.concatenate([rng.normal(0, 1, 3000), rng.normal(40, 0.5, 20)]), "heavy": rng.standard_cauchy(2000), "two": np.array([0.0, 1.0])}[shape]
+    out = pr.density(spark.createDataFrame(pd.DataFrame({"v": x})).repartition(4), "v", gridsize=160).orderBy("point").toPandas()
+    bw = x.std(ddof=1) * len(x) ** -0.2
+    z = (out["x"].to_numpy()[:, None] - x[None, :]) / bw
+    want = np.exp(-0.5 * z * z).sum(axis=1) / (len(x) * bw * np.sqrt(2 * np.pi))
+    near = want > 1e-280
+    np.testing.assert_allclose(out["density"][near], want[near], rtol=1e-10)
+    assert (out["density"][~near] < 1e-279).all()
+
+
+def test_density_makes_no_row_per_value(spark):
+    plan = pr.density(spark.range(5000).selectExpr("rand(3) AS v"), "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate [cell")
+
+
 def test_density_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(100, 15, 500)

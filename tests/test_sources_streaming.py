@@ -252,3 +252,57 @@ def test_scratch_folder_must_be_shared_on_a_cluster():
         else:
             with pytest.raises(RuntimeError):
                 session.scratch_dir(s)
+
+
+def _some(spark, n):
+    return spark.createDataFrame([(dt.date(2020, 1, 1 + i), i, "a", "b", float(i), 1.0, 2.0) for i in range(n)], "chargedate date, meterid bigint, loc string, res string, kwh double, ghc double, paymoney double")
+
+
+def test_replace_of_a_real_table_with_retention_and_rollback(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS t_real")
+    _some(spark, 1).write.saveAsTable("t_real.sales")
+    made = [sk.replace_table(spark, _some(spark, n), "t_real.sales", clean=False, keep=3) for n in (2, 3)]
+    assert spark.table("t_real.sales").count() == 3
+    known = sk.versions(spark, "t_real.sales")
+    assert len(known) == 3 and known[1:] == made and spark.table(known[0]).count() == 1
+    assert sk.current_version(spark, "t_real.sales") == made[-1]
+    made += [sk.replace_table(spark, _some(spark, n), "t_real.sales", clean=False, keep=3) for n in (4, 5)]
+    assert sk.versions(spark, "t_real.sales") == made[1:]
+    assert sk.rollback(spark, "t_real.sales") == made[2] and spark.table("t_real.sales").count() == 4
+    assert sk.rollback(spark, "t_real.sales", made[1]) == made[1] and spark.table("t_real.sales").count() == 3
+    with pytest.raises(ValueError, match="no version before"):
+        sk.rollback(spark, "t_real.sales")
+    with pytest.raises(ValueError, match="is no version"):
+        sk.rollback(spark, "t_real.sales", "t_real.other")
+    # A replace after a rollback gets a new number, and the version that is read is never dropped.
+    last = sk.replace_table(spark, _some(spark, 6), "t_real.sales", clean=False, keep=1)
+    assert sk.versions(spark, "t_real.sales") == [last] and spark.table("t_real.sales").count() == 6
+
+
+@pytest.mark.parametrize("start", ["table", "view", "nothing"])
+def test_failed_switch_leaves_no_orphan(spark, monkeypatch, start):
+    name = f"t_orphan.{start}"
+    spark.sql("CREATE DATABASE IF NOT EXISTS t_orphan")
+    if start == "table":
+        _some(spark, 2).write.saveAsTable(name)
+    elif start == "view":
+        sk.replace_table(spark, _some(spark, 2), name, clean=False)
+    before = {t.name for t in spark.catalog.listTables("t_orphan")}
+
+    def broken(*_):
+        raise RuntimeError("the catalog went away")
+
+    monkeypatch.setattr(sk, "point", broken)
+    with pytest.raises(RuntimeError, match="went away"):
+        sk.replace_table(spark, _some(spark, 4), name, clean=False)
+    assert {t.name for t in spark.catalog.listTables("t_orphan")} == before
+    if start != "nothing":
+        assert spark.table(name).count() == 2
+
+
+def test_a_view_of_someone_else_is_not_replaced(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS t_view")
+    spark.sql("CREATE OR REPLACE VIEW t_view.sales AS SELECT 1 AS x")
+    with pytest.raises(ValueError, match="not made by"):
+        sk.replace_table(spark, _some(spark, 1), "t_view.sales", clean=False)
+    assert sk.versions(spark, "t_view.sales") == []

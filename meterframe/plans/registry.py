@@ -53,6 +53,6 @@ def register(name: str, sql: Optional[str] = None, doubles=(), dates=(), timesta
 
 def all_queries() -> Dict[str, Query]:
     # Imported for the registration; a module that is missing is an error.
-    from meterframe.plans import queries_dashboard, queries_explore, queries_features, queries_io  # noqa: F401
+    from meterframe.plans import queries_dashboard, queries_explore, queries_features, queries_io, queries_summaries  # noqa: F401
 
     return REGISTRY

@@ -15,8 +15,8 @@ A source may hold most rows: running totals come from per-bucket sums (combined
 window inside a bucket, so no task sees a whole source.
 
 Defined results: null text has size 0; null source is a source of its own, last in order; documents
-of size 0 take 0 words; no words at all gives targets of 0.  Rows repeated whole count as documents
-of their own, in either order.  Columns other than doc_id, text and source are not read.
+of size 0 take 0 words; no words at all gives targets of 0.  Rows that share an id stand by size and a hash
+of their text; rows repeated whole count as documents of their own, in either order.  Columns other than doc_id, text and source are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ def word_count(c: str = "text") -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the order key of each document, written once (the text is read once)."""
+    """doc_id, source, size and the order key of each document, written once (the text is read once).  Rows that
+    share an id are ordered by size and a hash of their text, so reruns agree."""
     return stored(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
@@ -43,6 +44,7 @@ def sized(docs: DataFrame) -> DataFrame:
             # Never null, so one exchange serves the bucket sums, the windows and the join.
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")).alias("skey"),
             word_count().alias("size"),
+            F.xxhash64("text").alias("tie"),
             F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("ord"),
         ),
         "mix-sizes",
@@ -91,7 +93,7 @@ def plan(docs: DataFrame, share: float = 1.5, max_repeats: int = 2, weights=(3,
     upto = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.withColumn("start", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n", "source")
     info = starts.join(tgt.drop("source"), "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("ord", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("ord", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     d = d.join(info, ["skey", "bucket"])
     d = d.withColumn("begin", F.col("start") + F.col("_in"))

@@ -29,3 +29,10 @@ def test_documents_come_in_training_order(spark):
     trained = [p for p in got if p is not None]
     assert got == trained + [None] * (len(got) - len(trained))
     assert all(b >= a - 1e-9 for a, b in zip(trained, trained[1:]))
+
+
+def test_rows_of_one_id_in_any_partitioning(spark):
+    rows = [(d % 3, " ".join(["w"] * (1 + (7 * d) % 41)) + f" {d}", "src") for d in range(300)] + [(None, f"n {k}" * (k % 5), "src") for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    runs = [sorted(((r["doc_id"], r["size"], r["begin"], r["taken"]) for r in mixing.plan(frame.repartition(n)).collect()), key=str) for n in (1, 3, 11)]
+    assert runs[0] == runs[1] == runs[2]

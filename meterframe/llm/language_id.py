@@ -1,8 +1,10 @@
 """Language identification by compression: the language whose dictionary compresses a text best.
 
 Per language, a raw-content zstandard dictionary is cut from a bounded sample of labelled texts
-(``SAMPLE`` documents a language, lowest hash first, ``DICT_BYTES`` of normalised text spread over
-them).  A text is normalised (lower-cased, runs of non-letters become one space), cut into pieces of
+(``SAMPLE`` documents a language, lowest hash first; ``DICT_BYTES`` of normalised text shared evenly by
+bytes over them, each share from ``PLACES`` places between the text's first and last character; texts that
+are filler are passed over).  A text is normalised (lower-cased, runs of non-letters become one space), cut
+into pieces of
 ``PIECE`` bytes, and every piece is compressed with each dictionary; the sizes are summed over the whole
 text, and the smallest sum wins.  Each piece starts afresh, so a long text does not become its own
 dictionary.
@@ -25,6 +27,8 @@ and other columns do not matter.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -37,6 +41,10 @@ from meterframe.llm.common import from_text
 SAMPLE = 400
 SALTS = 40
 DICT_BYTES = 96 << 10
+#: Places of a text that its share of the dictionary is cut from.
+PLACES = 4
+#: Cuts of so many bytes or more that compress to less than one part in so many teach no language.
+FILLER_BYTES, FILLER_SHARE = 128, 12
 PIECE = 512
 LEVEL = 9
 #: Languages the operator takes; so many dictionaries of DICT_BYTES are broadcast at most.
@@ -65,8 +73,8 @@ def held_out() -> F.Column:
 
 
 def training_texts(docs: DataFrame) -> DataFrame:
-    """lang, n (labelled rows of it), doc_id, text, back: cuts of the sampled texts of each language,
-    2 * DICT_BYTES a language, and of those kept back for the margins."""
+    """lang, n (labelled rows of it), doc_id, text, back, cuts: PLACES cuts of the sampled texts of each
+    language (short ones whole), 2 * DICT_BYTES a language, and ``text`` of those kept back for the margins."""
     rows = docs.filter("lang is not null and doc_id is not null and length(text) > 0").filter(~held_out())
     # Ids first: the rank limit runs inside each task before anything is shuffled, and each language is
     # drawn from in SALTS classes of the hash, so a language with most rows is not ranked in one task.
@@ -80,9 +88,46 @@ def training_texts(docs: DataFrame) -> DataFrame:
     ids = ids.select("doc_id")
     back = back & (F.col("n") >= LEAST)
     share = F.greatest(F.lit(512), F.ceil(F.lit(2 * DICT_BYTES) / F.least(F.col("n"), F.lit(SAMPLE)))).cast("int")
-    picked = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").join(F.broadcast(counts), "lang")
-    share = F.when(back, F.lit(CUTS[-1])).otherwise(share)
-    return picked.select("lang", "n", "doc_id", F.substring(F.col("text"), F.lit(1), share).alias("text"), back.alias("back"))
+    picked = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
+    # One row of each id, however often it repeats, so the sample stays bounded.
+    picked = picked.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("_r")).select("doc_id", "_r.*")
+    picked = picked.join(F.broadcast(counts), "lang")
+    piece = F.ceil(share / PLACES).cast("int")
+    # What is kept back for the margins comes from any place of its text.
+    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.length("text") - CUTS[-1] + 1, F.lit(1)))
+    window = F.substring("text", (start + 1).cast("int"), F.lit(CUTS[-1]))
+    room = F.length("text") - piece
+    spread = F.array(*[F.substring(F.col("text"), (F.floor(room * k / (PLACES - 1)) + 1).cast("int"), piece) for k in range(PLACES)])
+    cuts = F.when(F.length("text") <= share, F.array("text")).otherwise(spread)
+    return picked.select("lang", "n", "doc_id", F.when(back, window).alias("text"), back.alias("back"), F.when(~back, cuts).alias("cuts"))
+
+
+def even_share(sizes, total: int) -> int:
+    """The most bytes that every text may have where smaller ones leave theirs to the others."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return left // (len(sizes) - k)
+        left -= n
+    return total
+
+
+def filler(raw: bytes) -> bool:
+    """Whether a text says next to nothing: a run of one letter, or one line over and over."""
+    return len(raw) >= FILLER_BYTES and len(zlib.compress(raw, 9)) * FILLER_SHARE < len(raw)
+
+
+def content(texts) -> bytes:
+    """The dictionary of the texts' cuts: DICT_BYTES shared evenly, each text's share taken evenly from its cuts."""
+    seen = dict.fromkeys(tuple(x for x in map(normalise, cuts) if x) for cuts in texts)
+    raw = [[x.encode() for x in cuts] for cuts in seen if cuts]
+    raw = [cuts for cuts in raw if not filler(b" ".join(cuts))]
+    share = even_share([sum(len(x) + 1 for x in cuts) for cuts in raw], DICT_BYTES)
+    out = []
+    for cuts in raw:
+        each = even_share([len(x) + 1 for x in cuts], share)
+        out += [x[: max(each - 1, 0)].decode(errors="ignore") for x in cuts]
+    return " ".join(x for x in out if x).encode()
 
 
 class Dictionaries(list):
@@ -103,14 +148,12 @@ def train(docs: DataFrame) -> Dictionaries:
         if r["back"]:
             kept_back.append((r["lang"], r["text"]))
             continue
-        by_lang.setdefault(r["lang"], []).append((r["doc_id"], r["text"]))
+        by_lang.setdefault(r["lang"], []).append((zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["cuts"]))
         size[r["lang"]] = r["n"]
     out = Dictionaries()
     for lang in sorted(by_lang, key=lambda x: (-size[x], x)):
-        seen = dict.fromkeys(normalise(t) for _, t in sorted(by_lang[lang]))
-        content = " ".join(t for t in seen if t).encode()[-DICT_BYTES:]
-        if content:
-            out.append((lang, content))
+        if made := content(cuts for _, _, cuts in sorted(by_lang[lang])):
+            out.append((lang, made))
     if kept_back:
         out.margins = learned_margins(docs.sparkSession, out, kept_back)
     return out

@@ -19,6 +19,7 @@ import base64
 from pathlib import Path
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Lengths per range of the suffix sums.
 RANGE = 256
 
+#: Runs of white space from this length are cut out and encoded by themselves: the pattern matches them by
+#: backtracking, which overflows its stack on a million characters.
+LONG_SPACE = 10_000
+
 _ENCODERS: dict = {}
 
 
@@ -51,6 +56,21 @@ def encoder(raw: bytes):
     return _ENCODERS[key]
 
 
+def n_tokens(enc, text: str, long_space: int = LONG_SPACE) -> int:
+    """Encoded length of a whole text.
+
+    In a run of white space before a word, the pattern takes all but the last character as one piece, and at
+    the end of a text all of it; what stands before and behind is split as it would be alone.
+    """
+    total, start = 0, 0
+    if len(text) >= long_space:
+        for run in regex.finditer(r"\p{White_Space}{%d,}" % long_space, text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            total += len(enc.encode_ordinary(text[start : run.start()])) + len(enc._encode_single_piece(text[run.start() : end]))
+            start = end
+    return total + len(enc.encode_ordinary(text[start:]))
+
+
 def length_histogram(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length."""
     bounded_batches(docs.sparkSession)
@@ -62,7 +82,7 @@ def length_histogram(docs: DataFrame, vocab: str = VOCAB) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 t = text.as_py()
-                n = len(enc.encode_ordinary(t)) if t else 0
+                n = n_tokens(enc, t) if t else 0
                 seen[n] = seen.get(n, 0) + 1
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(seen), pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
 

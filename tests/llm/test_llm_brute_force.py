@@ -231,6 +231,19 @@ def test_token_counts_by_plain_encoding(spark, texts):
     assert ans["quantile", 0.5] == sorted(lengths)[(len(lengths) + 1) // 2 - 1]
 
 
+def test_long_white_space_is_cut_exactly():
+    enc = token_counts.encoder(token_counts.read_vocab())
+    r = random.Random(3)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "bc", " ", " ", " ", "\n", "\t", "\u00a0", "\x1c", "\u2003", "7", "!", "'s", "é"]) for _ in range(r.randint(0, 30)))
+        assert token_counts.n_tokens(enc, t, 3 if r.random() < 0.5 else 2) == len(enc.encode_ordinary(t)), t
+    for c in (" ", "\n", " \n"):
+        run = c * 2_000_000
+        ended = token_counts.n_tokens(enc, "x" + run)
+        assert 1 < ended <= len(run) + 1
+        assert token_counts.n_tokens(enc, "x" + run + c[-1] + "y") in (ended + 1, ended + 2)
+
+
 def test_held_out_accuracy(spark, texts):
     labels = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     lang = queries.op7_language_id(spark, SF).collect()

@@ -52,6 +52,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, n: int, *taken: str) -> list[str]:
+    """``n`` column names that ``df`` does not have, whatever their case, nor ``taken``."""
+    have = {c.lower() for c in (*df.columns, *taken)}
+    out, k = [], 0
+    while len(out) < n:
+        name, k = f"_free{k}", k + 1
+        if name not in have:
+            out.append(name)
+    return out
+
+
 def attach(left: DataFrame, stats: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """Left join of ``stats`` (one row per key) to ``left`` where a key may hold a third of all rows.
 
@@ -134,6 +145,13 @@ def letters_only() -> np.ndarray:
     return sep
 
 
+def letters_and_digits() -> np.ndarray:
+    """Separator table for words of letters and digits."""
+    sep = letters_only()
+    sep[48:58] = False
+    return sep
+
+
 def text_buffers(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string column; nulls become empty texts."""
     if isinstance(col, pa.ChunkedArray):

@@ -24,8 +24,8 @@ A group of n near copies so costs about n verifications, and no link that joins
 
 Defined results: null, empty and word-less texts have an empty set and are linked with nothing; a text of
 fewer than five words has its whole word sequence as its one shingle.  Rows repeated whole are copies.
-Rows without an id get the component of their text's class if another row of it has an id, else null.
-An empty table gives an empty result.  Columns other than doc_id and text are not read.
+Classes are numbered apart from ids, so rows that share an id, or have none, lose no link; a component's id
+is the smallest id in it, null where no row of it has one.  An empty table gives an empty result.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.common import attach, mix, shingle_sets, slices, stored, text_buffers
+from meterframe.llm.common import attach, free_names, mix, shingle_sets, slices, stored, text_buffers
 from meterframe.llm.components import components
 
 SHINGLE = 5
@@ -195,11 +195,11 @@ def _digests(docs: DataFrame) -> DataFrame:
                 fine += [sketch(x, FINE) if len(x) else None for x in sets]
             short = pa.array([None if x is None else class_id(x) for x in d], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), short, pa.array(s, pa.binary()), pa.array(fine, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "id", "sketch", "fine"],
+                [b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), short, pa.array(s, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "id", "sketch", "fine"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, id long, sketch binary, fine binary")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, id long, sketch binary, fine binary")
 
 
 def _common_parts(docs: DataFrame, classes: int) -> np.ndarray:
@@ -312,9 +312,9 @@ def _buckets(docs: DataFrame, shards: int, common: np.ndarray) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) of representatives whose sets (doc_id, members) are similar enough."""
-    a = sets.select(F.col("doc_id").alias("u"), F.col("members").alias("x"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("members").alias("y"))
+    """The pairs (u, v) of classes whose sets (rep, members) are similar enough."""
+    a = sets.select(F.col("rep").alias("u"), F.col("members").alias("x"))
+    b = sets.select(F.col("rep").alias("v"), F.col("members").alias("y"))
 
     def run(batches):
         for t in batches:
@@ -332,15 +332,17 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted shingle hashes of each text, one row per id."""
+    """doc_id, and digest and sorted shingle hashes of the set, of each row that has one."""
 
     def run(batches):
         for b in batches:
             ids = b.column("doc_id")
             for i, j, sets in _sets(b.column("text")):
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([x.tobytes() for x in sets], pa.binary())], names=["doc_id", "members"])
+                made = [digest(x) if len(x) else None for x in sets]
+                arrays = [ids.slice(i, j - i), pa.array(made, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "digest", "members"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, members binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, members binary")
 
 
 def _alike(p: DataFrame) -> DataFrame:
@@ -437,26 +439,33 @@ def _across(label: DataFrame, named: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """The pairs that are links, by the whole sets of the texts that they name."""
-    wanted = stored(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-wanted")
-    sets = stored(_set_rows(docs.join(wanted, "doc_id")).dropDuplicates(["doc_id"]), f"{name}-sets")
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """The pairs that are links, by the whole sets of their classes.
+
+    A class's set comes from a row with its smallest id and its digest: other rows may share the id."""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    wanted = stored(wanted.join(classes.select("rep", F.col("first").alias("wid"), F.col("digest").alias("wd")), "rep"), f"{name}-wanted")
+    picked = docs.join(wanted.select("wid").distinct(), F.col("doc_id").eqNullSafe(F.col("wid")), "left_semi")
+    sets = _set_rows(picked).join(wanted, (F.col("digest") == F.col("wd")) & F.col("doc_id").eqNullSafe(F.col("wid")))
+    sets = stored(sets.select("rep", "members").dropDuplicates(["rep"]), f"{name}-sets")
     return stored(_verify(pairs, sets), f"{name}-links")
 
 
 def link(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest id with an equal set), component_id of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_shingles, class_id (smallest id with an equal set), component_id of every row, and what tells
+    its row and component apart where ids are missing or repeat: text_hash, and component (null for empty sets)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     rows = stored(_digests(docs), "shingle-digests")
     classes = rows.filter("digest is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("id").alias("id"), F.max("sketch").alias("sketch"), F.max("fine").alias("fine")
+        F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.max("id").alias("id"), F.max("sketch").alias("sketch"), F.max("fine").alias("fine")
     )
-    classes = stored(classes, "shingle-classes")
+    # Classes are numbered once, in what is stored: ids of documents may be null, or shared by several classes.
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "shingle-classes")
     total = classes.agg(F.sum("copies").alias("t"), F.sum("n").alias("s"), F.count(F.lit(1)).alias("c")).first()
     shards = max(-(-(total["s"] or 0) // TASK_SIGNATURES), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     common = _common_parts(docs, total["c"] or 0)
     met = stored(_buckets(docs, shards, common), "buckets")
-    named = classes.filter("rep is not null").select("id", "rep", "n", "sketch", "fine")
+    named = classes.select("id", "rep", "n", "sketch", "fine")
     members = stored(met.join(named.drop("sketch", "fine"), "id").select("bucket", "rep", "n", "probe"), "bucket-members")
     # Round 1: every member against the centres of its bucket.
     orders = [F.col("rep"), *[F.xxhash64("rep", F.lit(k)) for k in range(1, CENTRES)]]
@@ -467,16 +476,36 @@ def link(docs: DataFrame) -> DataFrame:
     star = members.join(first, "bucket").withColumn("c", F.explode("f"))
     star = star.select(F.col("rep").alias("u"), F.col("n").alias("nu"), F.col("c.rep").alias("v"), F.col("c.n").alias("nv"))
     star = stored(_sketches_near(_alike(star), named), "star-pairs")
-    links = _verified(docs, star, "star")
+    links = _verified(docs, classes, star, "star")
     comp = components(links)
     # Round 2: a probe against the members that are still in other components.
     label = members.join(comp, members["rep"] == comp["node"], "left").select("bucket", "rep", "n", "probe", F.coalesce("component", "rep").alias("comp"))
     span = label.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("k"))
     label = label.join(span.filter("lo < hi and k > 2").select("bucket", "k"), "bucket")
     rest = stored(_across(label, named).join(star, ["u", "v"], "left_anti"), "rest-pairs")
-    comp = components(links.unionByName(_verified(docs, rest, "rest")))
-    final = classes.join(comp, classes["rep"] == comp["node"], "left").select(
-        "digest", F.col("copies"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id")
-    )
+    comp = components(links.unionByName(_verified(docs, classes, rest, "rest")))
+    known = classes.join(comp, classes["rep"] == comp["node"], "left").select("digest", "copies", "first", F.coalesce("component", "rep").alias("component"))
+    known = stored(known, "class-components")
+    smallest = known.groupBy("component").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    known = attach(known, smallest, "component", "classes", total["c"] or 0)
+    final = known.select("digest", "copies", F.col("first").alias("class_id"), "component", "component_id")
     out = attach(rows, final, "digest", "copies", total["t"] or 0)
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    alone = F.col("digest").isNull()
+    return out.select(
+        "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component", "text_hash",
+    )
+
+
+def keep_one(docs: DataFrame, linked: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without all but one text of each component, the one with the smallest id (rows
+    without an id last, then by a hash of the text); all columns unchanged."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    stay = linked.filter("component is not null").groupBy("component").agg(F.min(order).alias("stay"), F.count(F.lit(1)).alias("members"))
+    stay = stored(stay.filter("members > 1"), "near-groups")
+    rows = attach(linked, stay, "component", "members", linked.count())
+    gone = rows.filter(F.col("stay").isNotNull() & (order != F.col("stay"))).select("doc_id", "text_hash").distinct()
+    mine, (i, h) = docs.columns, free_names(docs, 2)
+    gone = gone.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+    return docs.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in mine])

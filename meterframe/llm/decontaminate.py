@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterframe.llm.common import from_text, letters_only, mix, slices, text_buffers, words
+from meterframe.llm.common import free_names, from_text, letters_and_digits, mix, slices, text_buffers, words
 
 SHARE = 0.5
 LONG = 20.0
@@ -48,7 +48,7 @@ def _word_hashes(col):
     """(hash of every word, first word of each text), slice by slice of the batch."""
     raw, off = text_buffers(pc.utf8_lower(col))
     for i, j in slices(off):
-        h, _, _, first = words(raw, off[i : j + 1], lower=True, space=letters_only())
+        h, _, _, first = words(raw, off[i : j + 1], lower=True, space=letters_and_digits())
         yield i, j, h, first
 
 
@@ -271,6 +271,7 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
 def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS, into: str = "leaks") -> DataFrame:
     """All columns of ``docs`` and ``into``: the items each document copies, with score and word span."""
     out = docs.drop(into).withColumn(into, F.expr(f"cast(array() as {_LEAK})"))
+    (found,) = free_names(out, 1)
     for rows in blocks(benchmark, block_words):
         items = Items(rows)
         if not items.words:
@@ -284,7 +285,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS,
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("begin", pa.int32()), ("end", pa.int32())]))
             return [pa.array(got, kind)]
 
-        out = from_text(out, compute, f"_found {_LEAK}").withColumn(into, F.concat(into, "_found")).drop("_found")
+        out = from_text(out, compute, f"{found} {_LEAK}").withColumn(into, F.concat(into, found)).drop(found)
     return out
 
 

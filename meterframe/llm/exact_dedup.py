@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterframe.llm.common import ascii_lower, attach, stored
+from meterframe.llm.common import ascii_lower, attach, free_names, stored
 
 
 def text_digest(c="text"):
@@ -32,6 +32,10 @@ class DigestIndex:
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.table)
 
+    def drop(self) -> None:
+        """Remove the table; decisions already made do not read it."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def append(self, rows: DataFrame) -> None:
         # One exchange on the bucket columns, so each append writes one sorted file a bucket.
         (
@@ -85,7 +89,8 @@ class DigestIndex:
 
 def keep_first(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of ``docs`` that ``decisions`` keeps, one of each repeated row, all columns unchanged."""
-    kept = decisions.filter("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_dg"))
-    marked = docs.withColumn("_digest", F.unhex(text_digest()))
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_dg")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    i, d, own = free_names(docs, 3)
+    kept = decisions.filter("kept").select(F.col("doc_id").alias(i), F.col("digest").alias(d))
+    marked = docs.withColumn(own, F.unhex(text_digest()))
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(own) == F.col(d)), "left_semi")
+    return out.dropDuplicates(["doc_id", own]).drop(own)

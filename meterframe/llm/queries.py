@@ -29,6 +29,7 @@ def op1_exact_dedup(spark, sf_dir):
     """Every document against a fresh index: which copy stays, and the group's size."""
     index = exact_dedup.DigestIndex(spark, f"digests_{uuid.uuid4().hex}")
     d = index.ingest(documents(spark, sf_dir))
+    index.drop()
     return d.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

@@ -199,3 +199,48 @@ def test_pipeline_stages(spark, docs, empty, benchmark, tmp_path):
     # Rejected: 3, 4, 5, 8, 9; copies: 1 of 2, one of the rows 7; near copies: 7 of 6; the item: 10.
     assert sizes == [9, 7, 6, 5, 0, 0, 0, 0]
     assert {r["doc_id"] for r in d.collect()} == set()
+
+
+CLASHES = "_id _dg _digest _gone _found _leaks _lid_accepted _lid_score _lid_lang_pred _free0 _FREE1 _free2 _free3 rep component text_hash first accepted".split()
+
+
+def test_pipeline_stages_with_every_helper_name_as_a_column(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = random.Random(3)
+    rows = [(d, _words(d, r.randint(30, 60)), "en", "a") for d in range(100, 130)] + [(200, ITEM, "en", "a"), (None, _words(7, 50), "en", None)]
+    docs = spark.createDataFrame([(*x, len(x[1])) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHES])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *CLASHES], name
+        for row in docs.collect():
+            assert all(row[c] == f"{c}-{row['doc_id'] if row['doc_id'] is not None else 'none'}" for c in CLASHES), (name, row)
+
+
+def test_jaccard_links_through_shared_and_missing_ids(spark):
+    base = _words(50, 60).split()
+    near = lambda k: " ".join([*base[:k], f"x{k}", *base[k + 1 :]])
+    a, other = " ".join(base), _words(51, 60)
+    chain = [" ".join(_words(60, 80).split()[k : k + 70]) for k in (0, 5, 10)]
+    for order in (1, -1):
+        rows = [(1, other), (1, a), (2, near(30))][::order] + [(7, chain[0]), (None, chain[1]), (8, chain[2]), (9, _words(52, 50)), (None, _words(53, 40))]
+        got = {(r["doc_id"], r["text_hash"]): r["component_id"] for r in jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+        by_id: dict = {}
+        for (i, _), c in got.items():
+            by_id.setdefault(i, []).append(c)
+        assert by_id[1] == [1, 1] and by_id[2] == [1] and by_id[8] == [7] == by_id[7] and by_id[9] == [9]
+        assert sorted(by_id[None], key=str) == [7, None]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        kept = sorted((r["doc_id"], r["text"]) for r in jaccard_join.keep_one(docs, jaccard_join.link(docs)).collect() if r["doc_id"] is not None)
+        # Of the row pair (1, a) and (2, near) one stays; (1, other) is no copy of anything.
+        assert kept == sorted([(1, other), (1, a), (7, chain[0]), (9, _words(52, 50))])
+
+
+def test_numbered_words_are_no_copies(spark):
+    item = " ".join(f"w{k}" for k in range(1000, 1030))
+    docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40))), (2, "so " + item), (3, " ".join(str(k) for k in range(50)))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, " ".join(str(7 * k) for k in range(20, 40)))], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(2, 1)}

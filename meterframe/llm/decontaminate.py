@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare word-pair seeds join documents to test items, Smith-Waterman scores them.
 
-Words are runs of lower-cased letters, so punctuation, case and layout edits do not matter.  An alignment
-scores match 1, mismatch and gap -0.5; a copy is reported where the best local alignment reaches ``need``:
-``SHARE`` of the item's words, or ``LONG`` words.  The result is that of aligning every document with
-every item:
+Words are runs of lower-cased letters and digits, so punctuation, case and layout edits do not matter; in
+scripts that put no space between words every character is a word, and two count as one below.  An
+alignment scores match 1, mismatch and gap -0.5; a copy is reported where the best local alignment reaches
+``need``: ``SHARE`` of the item's words, or ``LONG`` words, and all its words where the item has fewer than
+``MIN_WORDS``.  The result is that of aligning every document with every item:
 
 An alignment that passes has matches that follow each other without an error (weight 1) or over one
 error (weight 0.5), of total weight ``need - 1`` or more, since two errors cost what a match earns.  So
@@ -18,7 +19,7 @@ The items are a stated query set, taken in blocks of about ``BLOCK_WORDS`` words
 broadcast of that size.  Nothing about the documents is broadcast or collected, and no candidate is
 capped.
 
-Defined results: null and empty texts have no copies.  Items of fewer than ``MIN_WORDS`` words, or null,
+Defined results: null and empty texts have no copies.  Items of fewer than ``SHORT_WORDS`` words, or null,
 match nothing (chance would).  Repeated items each report.  Repeated documents each report.  A document
 that copies an item twice reports it once, where it scores best.
 """
@@ -36,17 +37,25 @@ from meterframe.llm.common import free_names, from_text, letters_and_digits, mix
 SHARE = 0.5
 LONG = 20.0
 MIN_WORDS = 8
+SHORT_WORDS = 4
 MISMATCH = GAP = 0.5
 BLOCK_WORDS = 1_000_000
 #: Share of the weight of a passing alignment that may lie on places which are no seeds.
 SKIP = 0.7
+#: Characters of scripts without spaces between words, and the marks between their sentences.
+UNSPACED = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"
+WIDE_MARKS = r"[\x{3000}-\x{3004}\x{3008}-\x{3020}\x{FF01}-\x{FF0F}\x{FF1A}-\x{FF20}\x{FF3B}-\x{FF40}\x{FF5B}-\x{FF65}]"
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _LEAK = "array<struct<item_id:bigint,score:double,begin:int,end:int>>"
 
 
 def _word_hashes(col):
     """(hash of every word, first word of each text), slice by slice of the batch."""
-    raw, off = text_buffers(pc.utf8_lower(col))
+    col = pc.utf8_lower(col)
+    raw, off = text_buffers(col)
+    if len(raw) and raw.max() >= 0xE0:  # every character of the two classes begins with such a byte
+        marked = pc.replace_substring_regex(pc.fill_null(col, ""), WIDE_MARKS, " ")
+        raw, off = text_buffers(pc.replace_substring_regex(marked, f"({UNSPACED})", r" \1 "))
     for i, j in slices(off):
         h, _, _, first = words(raw, off[i : j + 1], lower=True, space=letters_and_digits())
         yield i, j, h, first
@@ -57,14 +66,17 @@ def pairs(h: np.ndarray, apart: int = 1) -> np.ndarray:
     return mix(h[:-apart] * _PAIR + h[apart:])
 
 
-def needed(n: int) -> float:
-    """Score from which an alignment with an item of ``n`` words is a copy."""
-    return min(SHARE * n, LONG)
+def needed(n: int, unspaced: bool = False) -> float:
+    """Score from which an alignment with an item of ``n`` words is a copy; infinite for too short ones."""
+    unit = 2 if unspaced else 1
+    if n < MIN_WORDS * unit:
+        return n if n >= SHORT_WORDS * unit else np.inf
+    return min(SHARE * n, LONG * unit)
 
 
-def errors(n: int) -> int:
-    """Mismatches and gaps that an alignment which passes can have at most."""
-    return int((n - needed(n)) / min(MISMATCH, GAP))
+def errors(n: int, need: float) -> int:
+    """Mismatches and gaps that an alignment of score ``need`` with ``n`` words can have at most."""
+    return int((n - need) / min(MISMATCH, GAP))
 
 
 class Items:
@@ -73,13 +85,17 @@ class Items:
     def __init__(self, rows):
         # rows: (item_id, text), by id
         ids = [i for i, _ in rows]
-        self.ids, self.words = [], []
-        for i, j, h, first in _word_hashes(pa.array([t for _, t in rows], pa.string())) if rows else ():
+        self.ids, self.words, self.need = [], [], []
+        texts = pa.array([t for _, t in rows], pa.string())
+        unspaced = pc.count_substring_regex(texts, UNSPACED).to_pylist()
+        for i, j, h, first in _word_hashes(texts) if rows else ():
             for k in range(j - i):
                 w = h[first[k] : first[k + 1]]
-                if len(w) >= MIN_WORDS:
+                need = needed(len(w), 2 * unspaced[i + k] > len(w))
+                if need <= len(w):
                     self.ids.append(ids[i + k])
                     self.words.append(w)
+                    self.need.append(need)
         # (near, far) pairs of each item by place; the last place has no far pair.
         self.pairs = [(pairs(w), pairs(w, 2)) for w in self.words]
         self.seeds = np.unique(np.concatenate([p for both in self.pairs for p in both])) if self.words else np.zeros(0, np.uint64)
@@ -109,20 +125,19 @@ class Items:
         self.item, self.place, self.far = flat(item, np.int64)[order], flat(place, np.int64)[order], flat(far, bool)[order]
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.seed >> np.uint64(44)).astype(np.int64)] = True
-        n = [len(w) for w in self.words]
         # Words of text that an alignment spans at most, and the seed weight that it has at least.
-        self.span = np.array([x + errors(x) for x in n], np.int64)
-        self.weight = np.array([needed(x) - 1 - (~k).sum() for x, k in zip(n, keep)], float)
+        self.span = np.array([len(w) + errors(len(w), need) for w, need in zip(self.words, self.need)], np.int64)
+        self.weight = np.array([need - 1 - (~k).sum() for need, k in zip(self.need, keep)], float)
 
     def rare(self, frequency: dict) -> "Items":
         """No seeds at each item's most frequent places, by document frequency over the whole corpus."""
         count = np.array([frequency.get(int(p), 0) for p in self.seeds.view(np.int64)], np.int64)
         keep = []
-        for w, (adjacent, far) in zip(self.words, self.pairs):
+        for need, (adjacent, far) in zip(self.need, self.pairs):
             df = count[np.searchsorted(self.seeds, adjacent)]
             df[: len(far)] += count[np.searchsorted(self.seeds, far)]
             k = np.ones(len(df), bool)
-            k[np.argsort(-df, kind="stable")[: int(SKIP * (needed(len(w)) - 1))]] = False
+            k[np.argsort(-df, kind="stable")[: int(SKIP * (need - 1))]] = False
             keep.append(k)
         self.index(keep)
         return self
@@ -193,7 +208,7 @@ def candidates(items: Items, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def may_pass(items: Items, k: int, h: np.ndarray) -> bool:
     """Whether some window of ``h`` has the words and the weight over all places of an alignment with item ``k`` that passes."""
-    w, need, span = items.words[k], needed(len(items.words[k])), int(items.span[k])
+    w, need, span = items.words[k], items.need[k], int(items.span[k])
     at = np.arange(len(h))
     if heavy(np.isin(h, w), at, span).max() < need:
         return False
@@ -213,7 +228,7 @@ def copies(items: Items, h: np.ndarray) -> list[tuple]:
     out = []
     for k in np.unique(item):
         w = items.words[k]
-        need, spare = needed(len(w)), errors(len(w))
+        need, spare = items.need[k], errors(len(w), items.need[k])
         begins = np.unique(np.maximum(origin[item == k] - spare, 0))
         ends = np.minimum(begins + len(w) + 2 * spare, len(h))
         # Windows that overlap are one stretch.

@@ -196,10 +196,10 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus:
             )
 
     sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
-    got = sorted(
-        (r["doc_id"], tuple(r["x"]), r["label"])
-        for r in sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>").collect()
-    )
+    rows = sample.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, x array<double>")
+    # One row an id, however often the id repeats.
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.*")
+    got = sorted((r["doc_id"], tuple(r["x"]), r["label"]) for r in rows.collect())
     if not got:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     return fit(np.array([g[1] for g in got], np.float32), np.array([g[2] for g in got], float))

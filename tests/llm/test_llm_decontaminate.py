@@ -75,3 +75,34 @@ def test_against_exhaustive_alignment(spark, vocabulary):
     items = [(i, " ".join(w)) for i, w in items]
     want = exhaustive(docs, items)
     assert len(want) > 30 and found(spark, docs, items) == pytest.approx(want)
+
+
+def test_short_items_match_whole(spark):
+    """Items of four to seven words match word for word only; shorter ones match nothing."""
+    items = [(1, "What is 17 + 25?"), (2, "name the capital of lower saxony"), (3, "yes or no")]
+    docs = [
+        (0, "so what is 17, 25 then"), (1, "what is 17 26"), (2, "Name the capital of Lower Saxony!"), (3, "name the capital of upper saxony"),
+        (4, "yes or no"), (5, "what is 17"), (6, "25 what is 17"),
+    ]
+    assert found(spark, docs, items) == {(0, 1): 1.0, (2, 2): 1.0}
+
+
+def test_scripts_without_spaces(spark):
+    """Every character is a word; two count as one for the least and the sufficient length."""
+    item = "请写出三角形面积的计算公式并说明每个符号的意思"
+    docs = [
+        (0, "题目：" + item + "。以下是答案"), (1, "今天天气很好，我们去公园散步。"), (2, "请写出三角形面积的计算公式，谢谢"),
+        (3, "三角形"), (4, "Plain English words with “quotes” and numbers 12"),
+    ]
+    got = found(spark, docs, [(7, item), (8, "三角形面积的计"), (9, "สวัสดีครับผมชื่อ")])
+    assert got == {(0, 7): 1.0, (2, 7): 13 / 23}
+
+
+def test_a_batch_does_not_change_its_neighbours():
+    """Texts hash alike with and without a text of another script beside them."""
+    import pyarrow as pa
+
+    texts = ["a “quoted” word — and a dash", "naïve café", None, ""]
+    alone = [h.tolist() for _, _, h, _ in decontaminate._word_hashes(pa.array(texts))][0]
+    beside = [h.tolist() for _, _, h, _ in decontaminate._word_hashes(pa.array([*texts, "三角形"]))][0]
+    assert beside[: len(alone)] == alone and len(beside) == len(alone) + 3

@@ -244,3 +244,18 @@ def test_numbered_words_are_no_copies(spark):
     docs = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(40))), (2, "so " + item), (3, " ".join(str(k) for k in range(50)))], "doc_id long, text string")
     bench = spark.createDataFrame([(1, item), (2, " ".join(str(7 * k) for k in range(20, 40)))], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()} == {(2, 1)}
+
+
+def test_classifiers_learn_one_row_of_an_id(spark):
+    """An id that repeats in the documents sends one row to the fit, the same in any order."""
+    from meterframe.llm import quality, toxicity
+
+    rows = [(d, _words(d, 20 + d % 7)) for d in range(1, 41)]
+    labels = spark.createDataFrame([(d, d % 2, d % 2) for d in range(1, 41)], "doc_id long, quality int, toxic int")
+    copies = rows + [(3, _words(k, 9)) for k in range(200)]
+    one = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
+    two = spark.createDataFrame(copies[::-1], "doc_id long, text string").coalesce(1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for part in (quality, toxicity):
+        a, b = (sorted((r["doc_id"], r["score"]) for r in part.score(docs, part.train(x, labels)).collect()) for x in (one, two))
+        assert a == b and len(a) == 40

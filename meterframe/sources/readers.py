@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterframe.schema import DEFAULT_ROLES, Roles
+from meterframe.sources import headers
 
 CSV_GLOB_FILTER = "*.[cC][sS][vV]"  # upload gate: extension csv in any case
 ALLOWED_EXTENSIONS = {"csv"}
@@ -42,8 +43,9 @@ def read_csv(
     """A1 / A2: CSV files (a folder, a glob or a list of paths) with a header row.
 
     Columns are matched by header, not by place: files whose headers differ (in order, or by a column)
-    are read group by group and joined by name, absent columns as null.  Telling the groups apart takes
-    one pass over the files' lines, made only where there is more than one file.
+    are read group by group and joined by name, absent columns as null.  Where there is more than one
+    file, telling the groups apart reads the start of each; only stores that ``headers`` cannot open are
+    passed over line by line.
     """
     paths = paths if isinstance(paths, (str, list)) else list(paths)
 
@@ -72,16 +74,21 @@ def _files_by_header(spark: SparkSession, paths, glob_filter: Optional[str]) ->
     if glob_filter:
         r = r.option("pathGlobFilter", glob_filter)
     lines = r.text(paths)
-    if len(lines.inputFiles()) < 2:
+    files = lines.inputFiles()
+    if len(files) < 2:
         return []
-    first = (
-        lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
-        .withColumn("line", F.struct("start", F.monotonically_increasing_id()))
-        .groupBy("file").agg(F.min_by("value", "line").alias("header"))
-    )
+    if all(map(headers.can_open, files)):
+        first = headers.header_lines(spark, files)
+    else:
+        first = (
+            lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+            .filter(F.trim("value") != "")
+            .withColumn("line", F.struct("start", F.monotonically_increasing_id()))
+            .groupBy("file").agg(F.min_by("value", "line").alias("header"))
+        )
     # One row per file, as in the file listing that any scan keeps on the driver.
     by_header: dict = {}
-    for row in first.orderBy("file").collect():
+    for row in first.filter("header != ''").orderBy("file").collect():
         by_header.setdefault(row["header"], []).append(unquote(row["file"]))
     return list(by_header.values())
 

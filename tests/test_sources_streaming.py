@@ -182,6 +182,37 @@ def test_csv_columns_are_matched_by_header(spark):
     assert got == [("1", "05-Jan-20", None), ("2", "06-Jan-20", None), ("3", None, "X")]
 
 
+def test_header_groups_are_the_same_by_either_way(spark, tmp_path, monkeypatch):
+    """Line ends, blank first lines, an empty file and a name with spaces: one read by header, one by lines."""
+    for name, text in (
+        ("a b.csv", "x,y\r\n1,2\r\n"), ("b.csv", "y,x\n4,3\n"), ("c%1.csv", "\n\nx,y\n5,6\n"), ("d.csv", "z\n7"), ("0.CSV", ""),
+    ):
+        (tmp_path / name).write_bytes(text.encode())
+    want = [("1", "2", None), ("3", "4", None), ("5", "6", None), (None, None, "7")]
+    key = lambda r: str(r)
+    assert sorted(rows(rd.read_csv(spark, str(tmp_path)), "x", "y", "z"), key=key) == want
+    monkeypatch.setattr(rd.headers, "can_open", lambda f: False)
+    assert sorted(rows(rd.read_csv(spark, str(tmp_path)), "x", "y", "z"), key=key) == want
+
+
+def test_header_needs_only_the_start_of_a_file(spark, tmp_path):
+    import io
+
+    from meterframe.sources import headers
+
+    long = io.BytesIO(b"\r\n \n" + b"c" * 40_000 + b",d\r\n" + b"1,2\n" * 1_000_000)
+    assert headers.first_line(long) == "c" * 40_000 + ",d" and long.tell() <= 4 * headers.CHUNK_BYTES
+    assert [headers.first_line(io.BytesIO(b)) for b in (b"", b"\n\n", b"a,b", "ö\r1".encode())] == ["", "", "a,b", "ö"]
+    files = []
+    for k in range(300):
+        (tmp_path / f"{k}.csv").write_text(f"h{k % 3}\n" + "1\n" * 9)
+        files.append((tmp_path / f"{k}.csv").as_uri())
+    got = headers.header_lines(spark, files)
+    assert got.rdd.getNumPartitions() > 1
+    assert sorted(r["header"] for r in got.collect()) == sorted(f"h{k % 3}" for k in range(300))
+    assert not headers.can_open("wasbs://a@b/c.csv") and headers.can_open("s3a://b/c.csv")
+
+
 def test_only_missing_sources_are_passed_over(spark, tmp_path):
     from pyspark.sql import types as T
 

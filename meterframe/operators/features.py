@@ -22,16 +22,16 @@ Physical plan
   last five rows of the block before it (and the first row after it) as halo
   rows, and the ordinary window expressions run per (meter, block).  Work for one
   hot meter is spread over all tasks; no window groups more than one chunk.
-* Category codes come from a fitted ``StringIndexer`` (labels sorted
-  alphabetically, null -> -1), which can be persisted with the model.
+* Category codes are a table (labels in sorted order, null -> -1), joined by its
+  size, or part of the expression where they are few; it can be persisted with the model.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Optional, Sequence
 
-from pyspark.ml.feature import StringIndexer, StringIndexerModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meterframe.functions.scalars import month_cos, month_sin, nan_to_null, safe_ratio
@@ -59,24 +59,77 @@ ROLLS = {"roll3": (3, 2), "roll6": (6, 3)}
 MAX_LAG = 5  # the widest frame (6 rows) reaches 5 rows back
 HOT_KEY_ROWS = 2_000_000  # rows of one meter above which the positional path is used
 RANGE_PARTITIONS = None  # range partitions of the hot rows (None: spark.sql.shuffle.partitions)
+INLINE_LABELS = 64  # category labels up to which the codes are part of the expression
 BLOCK_ROWS = 1 << 20  # consecutive positions of one hot meter handled by one window partition
 
 
 # --------------------------------------------------------------------- category codes
-def fit_category_codes(df: DataFrame, columns: Sequence[str] = ("loc", "res")) -> StringIndexerModel:
-    """Fit alphabetical codes per category column (labels are collected: one per category)."""
-    return StringIndexer(
-        inputCols=list(columns), outputCols=[f"{c}__idx" for c in columns],
-        stringOrderType="alphabetAsc", handleInvalid="keep",
-    ).fit(df)
-
-
-def apply_category_codes(df: DataFrame, model: StringIndexerModel, columns: Sequence[str] = ("loc", "res")) -> DataFrame:
-    """Codes 0..n-1 in sorted label order; null or unseen -> -1 (``cat.codes``)."""
-    out = model.transform(df)
-    for c, labels in zip(columns, model.labelsArray):
-        idx = F.col(f"{c}__idx")
-        out = out.withColumn(f"{c}_enc", F.when(idx < len(labels), idx.cast("int")).otherwise(F.lit(-1))).drop(f"{c}__idx")
+@dataclass(frozen=True)
+class CategoryCodes:
+    """A table (column, label, code); codes 0..n-1 follow the labels' order in each column.
+
+    ``few`` holds its rows where there are at most ``INLINE_LABELS``.
+    """
+
+    table: DataFrame
+    few: Optional[Sequence[tuple]] = None
+
+    def of(self, column: str) -> DataFrame:
+        return self.table.filter(F.col("column") == column).select("label", "code")
+
+    def save(self, path: str) -> None:
+        self.table.write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "CategoryCodes":
+        """The saved codes, copied to the scratch folder so that ``path`` can be written over."""
+        table = stored(spark.read.parquet(path), "category-codes")
+        few = table.select("column", "label", "code").limit(INLINE_LABELS + 1).collect()
+        return cls(table, [tuple(r) for r in few] if len(few) <= INLINE_LABELS else None)
+
+
+def fit_category_codes(df: DataFrame, columns: Sequence[str] = ("loc", "res")) -> CategoryCodes:
+    """Codes of each category column, by a range sort of its labels and prefix sums of the pieces.
+
+    No task holds more than its range of them, and none comes to the driver unless ``INLINE_LABELS`` or
+    fewer are all there are: these are numbered there.  Nulls have no code.
+    """
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("label")) for c in columns])
+    labels = df.select(F.explode(pairs).alias("p")).select("p.*").filter("label is not null").distinct()
+    few = labels.limit(INLINE_LABELS + 1).collect()
+    if len(few) <= INLINE_LABELS:
+        coded = [(c, l, k) for c in columns for k, l in enumerate(sorted((r["label"] for r in few if r["column"] == c), key=str.encode))]
+        return CategoryCodes(df.sparkSession.createDataFrame(coded, "column string, label string, code int"), coded)
+    # The pieces' numbers are physical: written once, so that both uses below see the same ones.
+    ranged = stored(
+        labels.repartitionByRange("column", "label").sortWithinPartitions("column", "label")
+        .withColumn("_pid", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()),
+        "category-labels",
+    )
+    pieces = ranged.groupBy("column", "_pid").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per column and piece.
+    starts = pieces.withColumn("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).drop("_n", "_first")
+    coded = ranged.join(F.broadcast(starts), ["column", "_pid"])
+    return CategoryCodes(stored(coded.select("column", "label", (F.col("_at") + F.col("_id")).cast("int").alias("code")), "category-codes"))
+
+
+def apply_category_codes(df: DataFrame, codes: CategoryCodes, columns: Sequence[str] = ("loc", "res")) -> DataFrame:
+    """``<column>_enc``: the label's code; null or unseen -> -1 (``cat.codes``).
+
+    Few codes are part of the expression.  More are joined, by broadcast or by shuffle as the stored table's
+    size decides.
+    """
+    out = df
+    for c in columns:
+        if codes.few is not None:
+            pairs = [F.lit(x) for column, *pair in codes.few if column == c for x in pair]
+            code = F.try_element_at(F.create_map(*pairs), F.col(c).cast("string")) if pairs else F.lit(None).cast("int")
+            out = out.withColumn(f"{c}_enc", F.coalesce(code, F.lit(-1)))
+            continue
+        part = codes.of(c).select(F.col("label").alias(f"{c}__label"), F.col("code").alias(f"{c}__code"))
+        out = out.join(part, F.col(c).cast("string") == F.col(f"{c}__label"), "left")
+        out = out.withColumn(f"{c}_enc", F.coalesce(f"{c}__code", F.lit(-1))).drop(f"{c}__label", f"{c}__code")
     return out
 
 
@@ -183,7 +236,7 @@ def build_features(
     df: DataFrame,
     as_of=None,
     roles: Roles = DEFAULT_ROLES,
-    codes: Optional[StringIndexerModel] = None,
+    codes: Optional[CategoryCodes] = None,
     with_targets: bool = False,
     drop_incomplete: bool = True,
     hot_key_rows: Optional[int] = HOT_KEY_ROWS,
@@ -243,7 +296,7 @@ def build_features(
     return feats.select(*lead, *FEATURES, *tail)
 
 
-def training_frame(df: DataFrame, as_of, roles: Roles = DEFAULT_ROLES, codes: Optional[StringIndexerModel] = None, **kw) -> DataFrame:
+def training_frame(df: DataFrame, as_of, roles: Roles = DEFAULT_ROLES, codes: Optional[CategoryCodes] = None, **kw) -> DataFrame:
     """K2 re-aimed: the K1 features with next-period targets, rows without a target dropped."""
     feats = build_features(df, as_of, roles, codes, with_targets=True, **kw)
     return feats.dropna(subset=list(TARGETS))

@@ -51,6 +51,43 @@ def test_category_codes_sorted_and_null(spark):
     assert sorted(set(rows(out, "loc", "loc_enc")), key=str) == sorted({("A", 0), ("B", 1), (None, -1)}, key=str)
 
 
+def test_category_codes_of_a_million_labels(spark):
+    """The codes are the labels' ranks over all pieces; no label list comes to the driver."""
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    labels = spark.range(0, 2 * n, 1, 8).select(
+        F.format_string("%07d", (F.col("id") * 7919) % n).alias("loc"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("R"), F.col("id") % 5)).alias("res")
+    )
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several pieces
+    try:
+        codes = ft.fit_category_codes(labels)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert codes.of("loc").count() == n
+    assert codes.of("loc").filter("code != cast(label as int)").isEmpty()
+    assert sorted(rows(codes.of("res"), "label", "code")) == [(f"R{k}", k - 1) for k in range(1, 5)]
+    got = ft.apply_category_codes(labels, codes)
+    assert got.columns == ["loc", "res", "loc_enc", "res_enc"] and got.count() == 2 * n
+    assert got.filter("loc_enc != cast(loc as int) or res_enc != coalesce(cast(substr(res, 2) as int) - 1, -1)").isEmpty()
+
+
+@pytest.mark.parametrize("inline", [64, 1])
+def test_category_codes_saved_over_their_own_folder(spark, tmp_path, monkeypatch, inline):
+    monkeypatch.setattr(ft, "INLINE_LABELS", inline)  # 1: by the join
+    df = spark.createDataFrame([("b", "x"), ("a", None), (None, "x"), ("ä", "y")], "loc string, res string")
+    path = str(tmp_path / "codes")
+    ft.fit_category_codes(df).save(path)
+    back = ft.CategoryCodes.load(spark, path)
+    back.save(path)
+    new = df.union(spark.createDataFrame([("c", "y")], df.schema))
+    got = rows(ft.apply_category_codes(new, ft.CategoryCodes.load(spark, path)), "loc", "loc_enc", "res_enc")
+    assert sorted(got, key=str) == sorted([("b", 1, 0), ("a", 0, -1), (None, -1, 0), ("ä", 2, 1), ("c", -1, 1)], key=str)
+    empty = ft.fit_category_codes(df.limit(0))
+    assert {r[1:] for r in rows(ft.apply_category_codes(df, empty), "loc", "loc_enc", "res_enc")} == {(-1, -1)}
+
+
 @pytest.mark.parametrize(
     "threshold,parts,block", [(0, None, 1 << 20), (10, None, 1 << 20), (0, 3, 1 << 20), (0, 1, 4), (10, 7, 5)]
 )

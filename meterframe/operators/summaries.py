@@ -2,9 +2,9 @@
 
 * ``Rollup`` (E1, E3, E5, E38): per day, location and residence, the number of rows and for each metric its
   sum, count and NaN count.  Sums and counts merge, so a new day's rows are rolled up alone and appended.
-* ``MeterBitmaps`` (E8, E13): per month, location and residence, the set of meters as bitmaps of 32,768 ids a
+* ``MeterBitmaps`` (E8, E13): per month, location and residence, the set of meters as bitmaps of 64 ids a
   bucket.  Bitmaps merge by OR, so distinct counts over any months and places are exact without a distinct
-  over rows.  A bucket takes 4 KiB however few of its ids occur: ids should be dense, as numbered meters are.
+  over rows.  A bucket is one long, so merging is a hash aggregate of small rows however sparse the ids are.
 * ``MeterIndex`` (H2, H3): the meters with their locations, and a posting table from three-letter pieces to
   meters, stored by piece, that narrows LIKE and regex searches before the exact test.
 
@@ -115,13 +115,13 @@ def meter_bitmaps(rows: DataFrame, roles: Roles = DEFAULT_ROLES) -> DataFrame:
     """month, location, residence, bucket, bits: the meters with rows there.  Rows without a meter keep their
     month in an empty bitmap.  Parts for new rows can be appended."""
     m = F.col(roles.meter).cast("long")
-    bits = F.bitmap_construct_agg(F.bitmap_bit_position(m)).alias("bits")
-    return rows.groupBy(F.trunc(roles.date, "month").alias("month"), *_dims(rows, roles), F.bitmap_bucket_number(m).alias("bucket")).agg(bits)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), m.bitwiseAND(F.lit(63)).cast("int"))
+    return rows.groupBy(F.trunc(roles.date, "month").alias("month"), *_dims(rows, roles), F.shiftright(m, 6).alias("bucket")).agg(F.bit_or(bit).alias("bits"))
 
 
 def _count_meters(bitmaps: DataFrame, *by: str) -> DataFrame:
-    merged = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("unique_meters"))
+    merged = bitmaps.groupBy(*by, "bucket").agg(F.bit_or("bits").alias("bits"))
+    return merged.groupBy(*by).agg(F.coalesce(F.sum(F.bit_count("bits").cast("long")), F.lit(0).cast("long")).alias("unique_meters"))
 
 
 def monthly_distinct_meters(bitmaps: DataFrame) -> DataFrame:

@@ -137,3 +137,16 @@ def test_pieces_are_in_every_match():
             text = "".join(r.choice("ab1") for _ in range(r.randint(0, 8)))
             if pattern.search(text):
                 assert all(p in text for p in sm.regex_pieces(q)), (q, text)
+
+
+def test_sparse_meters_take_small_rows_in_hash_aggregates(spark):
+    """Far apart ids, both ends of the range of longs among them: no wide bitmap row is built, sorted or stored."""
+    ids = [None, -(2**63), -65, -64, -1, 0, 63, 64, 2**62, 2**63 - 1] + [k * 10**6 for k in range(1, 300)]
+    data = [(dt.date(2020, 1 + k % 3, 1), m, "A", "Commercial", 1.0, 1.0, 1.0, i) for i, (m, k) in enumerate((m, k) for m in ids for k in (0, 1, 1))]
+    df = spark.createDataFrame(data, SCHEMA)
+    bitmaps = sm.meter_bitmaps(df)
+    _same(sm.monthly_distinct_meters(bitmaps), pr.monthly_distinct_meters(df))
+    _same(sm.dataset_summary(sm.rollup(sm.roll_up(df), df), bitmaps, df), agg.dataset_summary(df))
+    assert dict(bitmaps.dtypes)["bits"] == "bigint"
+    for made in (bitmaps, sm.monthly_distinct_meters(bitmaps)):
+        assert "SortAggregate" not in made._jdf.queryExecution().executedPlan().toString()

@@ -82,8 +82,9 @@ def attach(left: DataFrame, stats: DataFrame, key: str, weight: str, total: int)
     return out.select(*[F.col(c) for c in left.columns], *[got[c].alias(c) for c in cols])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, out: int, bound: int) -> DataFrame:
-    """doc_id, label of at most ``bound`` labelled documents that are not held out, lowest hash first.
+def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, out: int, bound: int | None = None) -> DataFrame:
+    """doc_id, label of the labelled documents that are not held out; with ``bound`` at most so many, lowest hash
+    first.
 
     A row is held out where crc32(doc_id as text) mod ``modulus`` is ``out``.  Of contradicting labels of
     one id the larger counts; null ids and labels are passed over.
@@ -91,7 +92,7 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, modulus: int, out:
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     rows = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).filter(crc % modulus != out)
     rows = rows.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return rows if bound is None else rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
 def is_held_out(modulus: int, out: int) -> Column:

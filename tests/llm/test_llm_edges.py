@@ -259,3 +259,25 @@ def test_classifiers_learn_one_row_of_an_id(spark):
     for part in (quality, toxicity):
         a, b = (sorted((r["doc_id"], r["score"]) for r in part.score(docs, part.train(x, labels)).collect()) for x in (one, two))
         assert a == b and len(a) == 40
+
+
+def test_toxicity_learns_from_every_labelled_row_whole(spark, monkeypatch):
+    """Every labelled row that is not held out is learned from or validated on, long texts to their ends, and
+    so are those of several workers."""
+    import zlib
+
+    from meterframe.llm import toxicity
+
+    # What tells the classes apart stands at the end of texts of more words than were once taken.
+    long = "filler words " * 2100
+    text = lambda d: (long if d % 50 == 0 else "") + _words(d, 12) + (" vile scum" if d % 2 else " kind folk")
+    docs = spark.createDataFrame([(d, text(d)) for d in range(1, 601)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, d % 2) for d in range(1, 601)], "doc_id long, toxic int")
+    mine = [d for d in range(1, 601) if zlib.crc32(str(d).encode()) % 3 != 1]
+    monkeypatch.setattr(toxicity, "WORKER_ROWS", 120)
+    rows = toxicity.training_rows(docs, labels, "toxic", 3, 1).collect()
+    assert len(rows) == len(mine) and len({r["worker"] for r in rows}) == 4
+    assert sum(len(r["w"]) > 4000 * 4 * (1 + len(toxicity.PREFIXES)) for r in rows) == sum(d % 50 == 0 for d in mine) > 0
+    model = toxicity.train(docs, labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect() if r["held_out"]}
+    assert sum(p == d % 2 for d, p in got.items()) > 0.9 * len(got)

@@ -6,7 +6,7 @@ Filters one, two and three words wide run over the whole text, each is max-poole
 reads the pools.  Training is Adam over the whole texts of all labelled documents that are not held out.
 They are dealt by hash to up to ``WORKERS`` tasks, one for every ``WORKER_ROWS`` rows; in each epoch every task
 runs over its rows from the same network, and what the tasks changed is averaged (a row of the table over the
-tasks that used it), so a fit of one task is plain Adam.
+tasks that used it).  Up to ``WORKER_ROWS`` rows of ``HELD_BYTES`` are fitted in one task as a whole.
 
 Language buckets come from the text itself (the function words it uses most).  For each bucket the
 threshold on the raw output is set on a fifth of the labelled rows (by hash) that the network does not learn
@@ -33,6 +33,8 @@ from meterframe.session import scratch_path
 
 #: Tasks that train side by side at most, and labelled rows for each before another one is worth its averaging.
 WORKERS, WORKER_ROWS = 16, 8_000
+#: Bytes of word rows that one task may hold at once; up to so many and WORKER_ROWS rows are fitted in one go.
+HELD_BYTES = 128 << 20
 #: Words of a mini-batch; one longer text is a batch of its own.
 BATCH_WORDS = 1 << 17
 #: Steps of the raw output to which validation rows are counted, and the outputs beyond which all count as one.
@@ -315,16 +317,16 @@ def _texts(b) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, column: str, modulus: int, out: int) -> DataFrame:
-    """worker, valid, label, w (the word rows) of every labelled document that is not held out, stored."""
+    """doc_id, worker, valid, label, w (the word rows) of every labelled document that is not held out, stored."""
     ids = labelled(docs, labels, column, modulus, out)
     workers = max(1, min(WORKERS, -(-ids.count() // WORKER_ROWS)))
 
     def run(batches):
         for b in batches:
-            raw = [b.column(n) for n in ("worker", "valid", "label")]
+            raw = [b.column(n) for n in ("doc_id", "worker", "valid", "label")]
             ids_, first = word_ids(b.column("text"))
             w = pa.array([ids_[i:j].tobytes() for i, j in zip(first[:-1], first[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*raw, w], names=["worker", "valid", "label", "w"])
+            yield pa.RecordBatch.from_arrays([*raw, w], names=["doc_id", "worker", "valid", "label", "w"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
     # One row an id, however often the id repeats.
@@ -336,10 +338,26 @@ def training_rows(docs: DataFrame, labels: DataFrame, column: str, modulus: int,
     # By hash, so that a task meets its rows in no order of theirs, and the same one each time.
     rows = rows.repartitionById(workers, F.col("worker")).sortWithinPartitions("worker", "h", "doc_id")
     path = scratch_path(docs.sparkSession, "toxicity")
-    rows.mapInArrow(run, "worker int, valid boolean, label int, w binary").write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(run, "doc_id long, worker int, valid boolean, label int, w binary").write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
+def _fit_small(rows: DataFrame) -> dict:
+    """The model of few rows, fitted by one task that holds them all, in the order of their ids."""
+
+    def run(batches):
+        ids, each, y = [], [], []
+        for b in batches:
+            texts, labels = _texts(b)
+            ids += b.column("doc_id").to_pylist()
+            each += texts
+            y += labels.tolist()
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([each[i] for i in order], np.array([y[i] for i in order], float)))], pa.binary())], names=["model"])
+
+    return pickle.loads(rows.coalesce(1).mapInArrow(run, "model binary").head()["model"])
+
+
 def _epoch(rows: DataFrame, p: dict, state: dict, weights: tuple[float, float], epoch: int) -> tuple[dict, dict]:
     """One pass of every worker over its rows, averaged."""
     sc = rows.sparkSession.sparkContext
@@ -395,12 +413,16 @@ def _validate(rows: DataFrame, model: dict) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int = 3, out: int = 1) -> dict:
     bounded_batches(docs.sparkSession)
     rows = training_rows(docs, labels, column, modulus, out)
-    n, toxic, fitted, fitted_toxic = (x or 0 for x in rows.agg(F.count(F.lit(1)), F.sum("label"), F.count_if(~F.col("valid")), F.sum(F.when(~F.col("valid"), F.col("label")))).head())
+    learns = ~F.col("valid")
+    counts = rows.agg(F.count(F.lit(1)), F.sum("label"), F.count_if(learns), F.sum(F.when(learns, F.col("label"))), F.sum(F.length("w")))
+    n, toxic, fitted, fitted_toxic, size = (x or 0 for x in counts.head())
     if toxic in (0, n):
         return _constant(n, toxic)
+    if n <= WORKER_ROWS and size <= HELD_BYTES:
+        return _fit_small(rows)
     model = new_network()
     state, weights = new_state(model), class_weights(fitted, fitted_toxic)
-    learned = rows.filter(~F.col("valid"))
+    learned = rows.filter(learns)
     for epoch in range(EPOCHS):
         model, state = _epoch(learned, model, state, weights, epoch)
     model["function"] = _function_table()
